@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import mixing
+from factloom.llm import mixing, quality_rules
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 
 ORACLES = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
