@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factloom.llm import mixing, quality_rules
+from factloom.llm import mixing, quality_rules, token_files
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLES = {
