@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import mixing, near_dedup, quality_rules, rule_ensemble, token_files
+from factloom.llm import html_template, mixing, near_dedup, quality_rules, rule_ensemble, token_files
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_files": token_files.op9_token_files,
+    "op10_html_template": html_template.op10_html_template,
 }
 
 ORACLES = {
