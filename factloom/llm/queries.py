@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factloom.llm import html_template, mixing, near_dedup, quality_rules, rule_ensemble, token_files, unigram_pieces
+from factloom.llm import html_template, mixing, near_dedup, quality_rules, rule_ensemble, secret_scan, token_files, unigram_pieces
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_unigram_pieces": unigram_pieces.op3_unigram_pieces,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_rule_ensemble": rule_ensemble.op6_rule_ensemble,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
