@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from factloom.llm import audio_fingerprint, html_template, mixing, near_dedup, quality_rules, rule_ensemble, secret_scan, token_files, unigram_pieces
+from factloom.llm import audio_fingerprint, edit_counts, html_template, mixing, near_dedup, quality_rules, rule_ensemble, secret_scan, token_files, unigram_pieces
 
 QUERIES = {
     "op1_audio_fingerprint": audio_fingerprint.op1_audio_fingerprint,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_unigram_pieces": unigram_pieces.op3_unigram_pieces,
+    "op4_edit_counts": edit_counts.op4_edit_counts,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_rule_ensemble": rule_ensemble.op6_rule_ensemble,
     "op7_near_dedup": near_dedup.op7_near_dedup,
