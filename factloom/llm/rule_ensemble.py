@@ -86,8 +86,8 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        return F.col(self.feature) > self.threshold if self.above else F.col(self.feature) <= self.threshold
+    def column(self, of=F.col) -> Column:
+        return of(self.feature) > self.threshold if self.above else of(self.feature) <= self.threshold
 
 
 @dataclass(frozen=True)
@@ -97,11 +97,11 @@ class RuleEnsemble:
     rules: tuple[tuple[tuple[Condition, ...], float], ...]
     intercept: float
 
-    def column(self) -> Column:
-        """The score as one Spark expression over the statistics' columns."""
+    def column(self, of=F.col) -> Column:
+        """The score as one Spark expression; ``of`` gives the column of a statistic's name."""
         total = F.lit(float(self.intercept))
         for conditions, weight in self.rules:
-            holds = reduce(lambda a, b: a & b, [c.column() for c in conditions])
+            holds = reduce(lambda a, b: a & b, [c.column(of) for c in conditions])
             total = total + F.when(holds, F.lit(float(weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
@@ -194,21 +194,39 @@ def _lasso(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "quality", max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """doc_id, held_out and score of every row; ``labels`` (doc_id, label) mark some ids."""
-    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     measured = materialise(docs.select("doc_id", statistics(F.col(text)).alias("s")).select("doc_id", "s.*"), "quality-statistics")
     model = fit_from(measured, labels, label=label, max_fit_rows=max_fit_rows)
-    return measured.select("doc_id", (fold == HELD_OUT).alias("held_out"), model.column().alias("score"))
+    return measured.select("doc_id", (_fold() == HELD_OUT).alias("held_out"), model.column().alias("score"))
 
 
-def fit_from(measured: DataFrame, labels: DataFrame, *, label: str = "quality", max_fit_rows: int = MAX_FIT_ROWS) -> RuleEnsemble:
-    """Fit on at most ``max_fit_rows`` labelled rows outside the held-out fold."""
-    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
-    marked = labels.select("doc_id", F.col(label).cast("double").alias("label")).filter(F.col("label").isin(0.0, 1.0) & (fold != HELD_OUT))
-    sample = marked.join(measured, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *FEATURES).limit(max_fit_rows)
+def _fold() -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
+
+
+def _marked(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the labelled rows that a fit may see."""
+    return labels.select("doc_id", F.col(label).cast("double").alias("label")).filter(F.col("label").isin(0.0, 1.0) & (_fold() != HELD_OUT))
+
+
+def _fit(sample: DataFrame) -> RuleEnsemble:
     rows = sample.select("label", *FEATURES).toPandas()
     return fit_rules(rows[list(FEATURES)].to_numpy(dtype=np.float64).reshape(-1, len(FEATURES)), rows["label"].to_numpy(dtype=np.float64))
 
 
+def fit_from(measured: DataFrame, labels: DataFrame, *, label: str = "quality", max_fit_rows: int = MAX_FIT_ROWS) -> RuleEnsemble:
+    """Fit on measured rows: at most ``max_fit_rows`` labelled ones outside the held-out fold."""
+    found = _marked(labels, label).join(measured, "doc_id")
+    return _fit(found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", *FEATURES).limit(max_fit_rows))
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "quality", max_fit_rows: int = MAX_FIT_ROWS) -> RuleEnsemble:
+    """Fit on texts: measures only those documents that at most ``max_fit_rows`` labels pick."""
+    picked = _marked(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_fit_rows)
+    measured = docs.select("doc_id", F.col(text).alias("__text")).join(F.broadcast(picked), "doc_id")
+    measured = measured.select("doc_id", "label", statistics(F.col("__text")).alias("s")).select("doc_id", "label", "s.*")
+    return _fit(measured.orderBy(F.xxhash64("doc_id"), "doc_id", "label", *FEATURES).limit(max_fit_rows))
+
+
 def op6_rule_ensemble(spark, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", F.when(F.col("score") >= CUTOFF, 1).otherwise(0).cast("int"))
