@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import scratch_dir, table
 
 CACHE_WORDS = 400_000
+#: ASCII punctuation other than the apostrophe, which starts clitics in the tokenizer's pattern.
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -34,6 +37,29 @@ PAGE_ROWS = 5_000
 _loaded: dict = {}
 
 
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """The word, lower-cased where that commutes with the normalizer, and its closing punctuation.
+
+    Below U+0300 normal form C changes nothing and the tokenizer lower-cases letter by letter, and a
+    run of letters or digits ends where ASCII punctuation begins. Other words, and those that may
+    hold the text of a special token, stay whole.
+    """
+    if word.isascii():
+        if b"<|" in word:
+            return (word,)
+        lower = word.lower()
+        core = lower.rstrip(PUNCTUATION)
+        letter = bool(core) and 97 <= core[-1] <= 122
+    else:
+        text = word.decode("utf-8", "replace")
+        if "<|" in text or max(text) >= "\u0300":
+            return (word,)
+        lower = word.lower()
+        core = lower.rstrip(PUNCTUATION)
+        letter = bool(core) and core.decode("utf-8", "replace")[-1].lower().isalpha()
+    return (core, lower[len(core) :]) if letter and len(core) < len(lower) else (lower,)
+
+
 class WordEncoder:
     """Ids of texts as little-endian 32-bit bytes, word by word through a bounded cache."""
 
@@ -44,26 +70,36 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
         self.cache: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()  # words met again since they became known: kept when the cache is full
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > self.cache_words:
-            self.cache = {}
-            new = list(words)
-        texts = [w.decode("utf-8", "replace") for w in new]
-        for word, got in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            self.cache[word] = np.array(got.ids, dtype="<u4").tobytes()
+        """Make the ids of all these words known."""
+        known = self.cache
+        new = words.difference(known)
+        self.again |= words.difference(new)
+        if len(known) + len(new) > self.cache_words:
+            self.cache = known = {w: known[w] for w in self.again} if len(self.again) < self.cache_words // 2 else {}
+            self.again = set()
+            new = words.difference(known)
+        parts = {w: _parts(w) for w in new}
+        units = {u for part in parts.values() for u in part}.difference(known)
+        fresh = list(units)
+        texts = [u.decode("utf-8", "replace") for u in fresh]
+        for unit, got in zip(fresh, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            known[unit] = array("I", got.ids).tobytes()
+        for word, part in parts.items():
+            if len(part) == 2 or part[0] != word:
+                known[word] = b"".join([known[u] for u in part])
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = (text or "").encode("utf-8").split()
-            known = self.cache
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                self.learn(set(words))
-                known = self.cache
-                yield b"".join([known[w] for w in words])
+        split = [(t or "").encode("utf-8").split() for t in texts]
+        words: set[bytes] = set()
+        for w in split:
+            words.update(w)
+        self.learn(words)
+        known = self.cache
+        for w in split:
+            yield b"".join(map(known.__getitem__, w))
 
 
 def _encoder(path: str) -> WordEncoder:
