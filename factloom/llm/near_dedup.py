@@ -6,12 +6,14 @@
    ``CHUNKS * (CHUNK_ERRORS + 1) - 1`` of these symbols agree, by the pigeonhole principle, in some
    chunk but for ``CHUNK_ERRORS`` symbols; every chunk is therefore indexed once for each choice of
    symbols to ignore, and such a pair is certain to share a key.
-3. Each bucket first compares all its members with its least one only (a star, not all pairs); those
-   within ``MAX_DISTANCE`` over the whole signature are confirmed on the full sets, and links give
-   components. A large group of near copies falls into one component here, at linear cost.
+3. Each bucket first compares all its members with one of them only, the one that shares most keys
+   with others (a star, not all pairs); those within ``MAX_DISTANCE`` over the whole signature are
+   confirmed on the full sets, and links give components. Most of a large group of near copies
+   falls into one component here, at linear cost.
 4. Members of a bucket that are still in different components are then compared with each other, in
-   blocks of bounded size, by signature; what passes is confirmed on the full sets. Pairs inside a
-   component can't change it, so no component that a candidate pair would join is missed.
+   blocks of bounded size, by signature and, where that passes, on the full sets, each pair under
+   its first shared key only. Pairs inside a component can't change it, so no link that joins two
+   components is missed, and only such links leave a task.
 5. Components come from alternating stars over the links, in tables, never on the driver.
 
 A pair of similarity 0.75 differs in 12 of 48 indexed symbols on average; more than 23, the bound of
@@ -29,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -46,6 +49,7 @@ CHUNK_SYMBOLS = 4
 CHUNK_ERRORS = 1
 MAX_DISTANCE = 58
 BLOCK_ROWS = 1500
+BLOCK_SHINGLES = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -211,39 +215,58 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     )
 
 
-def _cross_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of one bucket but different components within MAX_DISTANCE, block against block.
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted distinct arrays."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.minimum(a.searchsorted(b), len(a) - 1)
+    return int((a[at] == b).sum())
 
-    members: key, node, comp, sig; sizes: key, n. A bucket of n rows has ceil(n / BLOCK_ROWS) blocks;
-    a row meets each block of its bucket once, in a task that holds two blocks at most.
+
+def _cross_links(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (a, b) between rows of one bucket but different components, block against block.
+
+    members: key, node, comp, sig, shingles; sizes: key, blocks. A row meets each block of its bucket
+    once, in a task that holds two blocks at most. A pair that shares several keys is compared under
+    its first key only, and one whose components a link of the task has joined is not compared any
+    more, so a task returns fewer links than it has rows.
     """
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1))
-    dealt = members.join(sizes, "key").withColumn("blocks", blocks.cast("int"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = dealt.select("key", "node", "comp", "sig", "mine", other.alias("other")).select(
-        "key", "node", "comp", "sig", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")
+    dealt = members.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = dealt.select(
+        "key", "node", "comp", "sig", "shingles", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        tag = int(pdf["key"].iloc[0]) >> (16 * (CHUNK_SYMBOLS - CHUNK_ERRORS))
+        chunk, mask = divmod(tag, comb(CHUNK_SYMBOLS, CHUNK_ERRORS))
         signs = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), HASHES)
-        comps, block = pd.factorize(pdf["comp"])[0], pdf["mine"].to_numpy()
-        nodes, single = pdf["node"].to_numpy(), pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        indexed = signs[:, : CHUNKS * CHUNK_SYMBOLS]
+        roots, block = pd.factorize(pdf["comp"])[0], pdf["mine"].to_numpy()
+        sets, nodes, single = pdf["shingles"].to_list(), pdf["node"].to_list(), pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        sizes = np.array([len(s) for s in sets])
         # Rows of the most frequent component can't meet each other; the rest meet every row.
-        lead = np.bincount(comps).argmax()
-        out_a, out_b = [], []
-        for x in np.flatnonzero(comps != lead):
-            rows = comps != comps[x]
+        lead = roots == np.bincount(roots).argmax()
+        links = []
+        for x in np.flatnonzero(~lead):
+            rows = (roots != roots[x]) & (np.minimum(sizes, sizes[x]) * 100 >= np.maximum(sizes, sizes[x]) * SIMILARITY_PERCENT)
             if not single:
                 rows &= block != block[x]
-            rows &= (comps == lead) | (np.arange(len(comps)) > x)
+            rows[: x + 1] &= lead[: x + 1]
             at = np.flatnonzero(rows)
-            for y in at[(signs[at] != signs[x]).sum(axis=1) <= MAX_DISTANCE]:
-                out_a.append(min(nodes[x], nodes[y]))
-                out_b.append(max(nodes[x], nodes[y]))
-        return pd.DataFrame({"a": out_a, "b": out_b})
+            agree = (indexed[at] == indexed[x]).reshape(len(at), CHUNKS, CHUNK_SYMBOLS).sum(axis=2)
+            first = (agree >= CHUNK_SYMBOLS - CHUNK_ERRORS).argmax(axis=1) == chunk
+            at = at[first & ((agree[:, chunk] == CHUNK_SYMBOLS - CHUNK_ERRORS) | (mask == 0))] if len(at) else at
+            apart = (signs[at] != signs[x]).sum(axis=1)
+            for y in at[np.argsort(apart, kind="stable")][: int((apart <= MAX_DISTANCE).sum())]:
+                if roots[x] != roots[y]:
+                    both = _overlap(sets[x], sets[y])
+                    if both * 100 >= (sizes[x] + sizes[y] - both) * SIMILARITY_PERCENT:
+                        links.append((nodes[x], nodes[y]))
+                        roots[roots == roots[y]] = roots[x]
+        return pd.DataFrame(links, columns=["a", "b"])
 
-    return tasks.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    return tasks.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -256,30 +279,29 @@ def near_duplicates(docs: DataFrame, *, text: str = "text") -> DataFrame:
     keys = index_keys(nodes)
     buckets = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("n > 1")
     buckets = materialise(buckets, "dedup-buckets")
-    shared = materialise(keys.join(buckets.filter("n > 2").select("key", "low", "n"), "key"), "dedup-members")
-    star = buckets.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    star = star.unionByName(shared.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
+    shared = materialise(keys.join(buckets.filter("n > 2").select("key", "n"), "key"), "dedup-members")
+    # The centre of a group of copies shares more keys than its copies do with each other.
+    busy = shared.groupBy("node").agg(F.sum("n").alias("busy"))
+    pivots = shared.join(busy, "node").groupBy("key").agg(F.max(F.struct("busy", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
+    spokes = shared.join(pivots, "key").filter("node != pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    star = buckets.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(spokes).distinct()
     star = materialise(_near(star, nodes), "dedup-star")
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return materialise(_sets_of(docs, nodes.select("node", "doc_id").join(used, "node", "left_semi"), text), "dedup-sets")
-
-    links = materialise(_confirm(star, sets_for(star)), "dedup-links")
+    used = shared.select("node").unionByName(star.select(F.col("a").alias("node"))).unionByName(star.select(F.col("b").alias("node"))).distinct()
+    sets = materialise(_sets_of(docs, nodes.select("node", "doc_id").join(used, "node", "left_semi"), text), "dedup-sets")
+    links = materialise(_confirm(star, sets), "dedup-links")
     comps = materialise(connected_components(links, "dedup-stars"), "dedup-comps")
-    placed = shared.select("key", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("n").alias("n")).filter("c1 != c2")
-    mixed = materialise(mixed.select("key", "n"), "dedup-mixed")
-    members = placed.drop("n").join(mixed.select("key"), "key").join(nodes.select("node", "sig"), "node")
-    cross = _cross_pairs(members, mixed).join(star, ["a", "b"], "left_anti")
-    sizes = nodes.select("node", "n_shingles")
-    cross = cross.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(
-        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILARITY_PERCENT
-    )
-    cross = materialise(cross.select("a", "b"), "dedup-cross")
+    placed = shared.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = placed.join(nodes.select("node", "sig", "n_shingles"), "node")
+    mixed = placed.groupBy("key").agg(
+        F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n"), F.sum("n_shingles").alias("held")
+    ).filter("c1 != c2")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    mixed = materialise(mixed.select("key", blocks.alias("blocks")), "dedup-mixed")
+    members = placed.drop("n_shingles").join(mixed.select("key"), "key").join(sets, "node")
+    cross = materialise(_cross_links(members, mixed), "dedup-cross")
     if not cross.isEmpty():
-        links = links.unionByName(_confirm(cross, sets_for(cross)))
-        comps = materialise(connected_components(links, "dedup-stars"), "dedup-comps")
+        comps = materialise(connected_components(links.unionByName(cross), "dedup-stars"), "dedup-comps")
     named = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     component = named.join(least, "comp").select("node", "component_id")
