@@ -1,11 +1,12 @@
-"""Registry of the evidence engine's queries and their SQL."""
+"""All queries of the evidence engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from factloom.plans import evidence_queries, geometry_queries, text_queries  # noqa: F401  they register themselves
+from factloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    """Resolve one package fact per order from printed price lines."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return QUERIES["parse_money"](spark, sf_dir)
