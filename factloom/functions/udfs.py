@@ -6,15 +6,16 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; null stays null."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full case folding, which ``lower`` is not: it maps sharp s to ss."""
     return text.map(str.casefold, na_action="ignore")
@@ -32,7 +33,7 @@ def edit_distance(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def word_error_rate(truth: pd.Series, read: pd.Series) -> pd.Series:
     """Edited words over words of the truth; for an empty truth 0 if nothing was read, else 1."""
 
