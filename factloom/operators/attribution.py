@@ -13,12 +13,25 @@ from factloom.functions import values as V
 VERSION = "factloom-attribution-1"
 OWN, NEIGHBOUR, FRONT_BONUS, CAP = 0.94, 0.78, 0.03, 0.97
 
-text, near, surface = F.col("clean"), F.col("near"), F.col("surface")
-everything = F.trim(F.concat_ws(" ", text, F.array_join(near, " ")))
+def text() -> Column:
+    return F.col("clean")
+
+
+def near() -> Column:
+    return F.col("near")
+
+
+def surface() -> Column:
+    return F.col("surface")
+
+
+def everything() -> Column:
+    """A line's own text and its neighbours', nearest first."""
+    return F.trim(F.concat_ws(" ", text(), F.array_join(near(), " ")))
 
 
 def confidence(own: Column) -> Column:
-    base = F.when(own, OWN).otherwise(NEIGHBOUR) + F.when(surface == "front", FRONT_BONUS).otherwise(0.0)
+    base = F.when(own, OWN).otherwise(NEIGHBOUR) + F.when(surface() == "front", FRONT_BONUS).otherwise(0.0)
     return F.least(base, F.lit(CAP))
 
 
@@ -33,16 +46,16 @@ def _proposal(field: Column | str, value: Column, own: Column, rule: Column | st
 
 def _numeric(field: str, labels: tuple[str, ...], parse: Callable[[Column], Column], build: Callable[[Column], Column], rule: str, name: str, more: Column | None = None) -> Column:
     """A labelled number: the label here or near, the number here or else in all the text around."""
-    here = T.mentions(text, labels)
-    near_label = F.exists(near, lambda n: T.mentions(n, labels))
-    value = build(F.coalesce(parse(text), parse(everything)))
+    here = T.mentions(text(), labels)
+    near_label = F.exists(near(), lambda n: T.mentions(n, labels))
+    value = build(F.coalesce(parse(text()), parse(everything())))
     why = F.when(here, f"{name} label in region").otherwise(f"{name} label in neighbour")
     why = F.concat(why, more) if more is not None else why
     return F.when(here | near_label, _proposal(field, value, here, rule, why))
 
 
 def mrp() -> Column:
-    taxes = F.when(T.mentions_taxes(everything), "; states inclusive of taxes").otherwise("")
+    taxes = F.when(T.mentions_taxes(everything()), "; states inclusive of taxes").otherwise("")
     return _numeric("package.mrp", T.MRP_LABELS, T.parse_money, V.money, "mrp/label+currency", "MRP", taxes)
 
 
@@ -56,31 +69,31 @@ def unit_sale_price() -> Column:
 
 def dates() -> Column:
     """A line's own label decides; only a line without one may take the one kind of label near it."""
-    made, best = T.mentions(text, T.MANUFACTURE_LABELS), T.mentions(text, T.BEST_BEFORE_LABELS)
-    made_near = F.exists(near, lambda n: T.mentions(n, T.MANUFACTURE_LABELS))
-    best_near = F.exists(near, lambda n: T.mentions(n, T.BEST_BEFORE_LABELS))
+    made, best = T.mentions(text(), T.MANUFACTURE_LABELS), T.mentions(text(), T.BEST_BEFORE_LABELS)
+    made_near = F.exists(near(), lambda n: T.mentions(n, T.MANUFACTURE_LABELS))
+    best_near = F.exists(near(), lambda n: T.mentions(n, T.BEST_BEFORE_LABELS))
     own = made | best
     is_made = F.when(own, F.when(made != best, made)).otherwise(F.when(made_near != best_near, made_near))
     field = F.when(is_made, "declarations.manufacture_date").when(~is_made, "declarations.best_before")
     rule = F.when(own & made, "date/mfg-label").when(own, "date/best-before-label").otherwise("date/neighbour-label")
-    return _proposal(field, V.text(T.parse_date(text)), own, rule, F.when(own, "date label in region").otherwise("date label in neighbouring region"))
+    return _proposal(field, V.text(T.parse_date(text())), own, rule, F.when(own, "date label in region").otherwise("date label in neighbouring region"))
 
 
 def country_of_origin() -> Column:
-    return _proposal("declarations.country_of_origin", V.text(T.parse_country(text)), F.lit(True), "origin/label", "country-of-origin label in region")
+    return _proposal("declarations.country_of_origin", V.text(T.parse_country(text())), F.lit(True), "origin/label", "country-of-origin label in region")
 
 
 def parties() -> Column:
     """The contract has no marketer: such lines are read and dropped."""
-    party = T.parse_party(text)
+    party = T.parse_party(text())
     field = F.when(party["role"] != "marketer", F.concat(F.lit("declarations."), party["role"]))
     return _proposal(field, V.party(party), F.lit(True), F.concat(F.lit("party/"), party["role"]), F.concat(party["role"], F.lit(" label in region")))
 
 
 def consumer_care() -> Column:
     """The label must be the line's own; a neighbour may only complete it, the nearest that can."""
-    labelled, own = T.mentions(text, T.CARE_LABELS), T.parse_consumer_care(text)
-    joined = F.filter(F.transform(near, lambda n: T.parse_consumer_care(F.trim(F.concat_ws(" ", text, n)))), lambda v: v.isNotNull())
+    labelled, own = T.mentions(text(), T.CARE_LABELS), T.parse_consumer_care(text())
+    joined = F.filter(F.transform(near(), lambda n: T.parse_consumer_care(F.trim(F.concat_ws(" ", text(), n)))), lambda v: v.isNotNull())
     value = F.coalesce(own, F.get(joined, F.lit(0)))
     rule = F.when(own.isNotNull(), "consumer_care/label+contact").otherwise("consumer_care/label+adjacent-contact")
     why = F.when(own.isNotNull(), "consumer-care label and contact in region").otherwise("consumer-care label with contact in the next region")
@@ -88,7 +101,7 @@ def consumer_care() -> Column:
 
 
 def generic_name() -> Column:
-    return _proposal("declarations.generic_name", V.text(T.parse_generic_name(text)), F.lit(True), "generic_name/label", "generic-name label in region")
+    return _proposal("declarations.generic_name", V.text(T.parse_generic_name(text())), F.lit(True), "generic_name/label", "generic-name label in region")
 
 
 #: The extension point: a rule is a function without arguments that returns a proposal column.
@@ -106,7 +119,7 @@ def attribute(lines: DataFrame, attributors: list[Callable[[], Column]] | None =
 def observed_statements(lines: DataFrame) -> DataFrame:
     """(run_id, statement, geometries): wordings worth keeping that are no contract fields."""
     found = F.array(
-        F.when(T.mentions_not_for_retail(text), "not_for_retail_sale"), F.when(T.mentions_taxes(text), "mrp_inclusive_of_taxes")
+        F.when(T.mentions_not_for_retail(text()), "not_for_retail_sale"), F.when(T.mentions_taxes(text()), "mrp_inclusive_of_taxes")
     )
     rows = lines.select("run_id", "artifact_id", "seq", "geom", F.explode(F.filter(found, lambda s: s.isNotNull())).alias("statement"))
     listed = rows.groupBy("run_id", "statement").agg(F.array_sort(F.collect_list(F.struct("artifact_id", "seq", "geom"))).alias("g"))

@@ -101,7 +101,7 @@ _LINES_SQL = f"""{_ONCE}, lines AS (SELECT *, seq % 6 AS k FROM once)"""
  CASE k WHEN 0 THEN 'amount=' || printf('%.6f', q::DOUBLE) || '|currency=INR' WHEN 1 THEN 'qty=' || printf('%.6f', q::DOUBLE) || '|unit=g' WHEN 2 THEN 'text=2026-07'
  WHEN 3 THEN 'text=India' WHEN 4 THEN 'address=Pune|name=Maker ' || s END AS value, CASE WHEN seq % 2 = 0 THEN 0.97 ELSE 0.94 END::DOUBLE AS confidence FROM lines WHERE k < 5""")
 def attribute_candidates(spark, d):
-    found = attribution.attribute(extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=False))
+    found = attribution.attribute(extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=False, unicode=False))
     return found.select("run_id", "seq", "field", V.canonical(F.col("value")).alias("value"), F.col("attribution_confidence").alias("confidence"))
 
 
@@ -117,7 +117,7 @@ def status_counts(spark, d):
 
 
 def order_facts(spark, d):
-    return extraction.facts_of_lines(extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=False))
+    return extraction.facts_of_lines(extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=False, unicode=False))
 
 
 @query(f"""WITH {_ONCE}, g AS (SELECT run_id, count(DISTINCT q) FILTER (seq % 6 = 0) AS dm, max(q) FILTER (seq % 6 = 0) AS m, count(DISTINCT q) FILTER (seq % 6 = 1) AS dn,
@@ -196,7 +196,7 @@ def surface_coverage(spark, d):
 @query()
 def extraction_pipeline(spark, d):
     """Lines to released snapshots: attribution with neighbours, resolution, validation, hashes."""
-    lines = extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=True)
+    lines = extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=True, unicode=False)
     return extraction.snapshots(extraction.facts_of_lines(lines))
 
 

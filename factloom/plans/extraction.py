@@ -26,9 +26,10 @@ def lines_of_orders(once: DataFrame) -> DataFrame:
     )
 
 
-def prepared(lines: DataFrame, near: bool = True) -> DataFrame:
-    """Usable lines, cleaned once, with their neighbours' texts."""
-    ready = ingest.usable_lines(lines).withColumn("clean", T.clean(F.col("text"))).withColumn("bounds", G.bounds(F.col("geom")))
+def prepared(lines: DataFrame, near: bool = True, unicode: bool = True) -> DataFrame:
+    """Usable lines, cleaned once, with their neighbours' texts; ``unicode`` folds compatible forms."""
+    cleaned = T.clean_unicode(F.col("text")) if unicode else T.clean(F.col("text"))
+    ready = ingest.usable_lines(lines).withColumn("clean", cleaned).withColumn("bounds", G.bounds(F.col("geom")))
     return neighbours.with_neighbours(ready) if near else ready.withColumn("near", F.array().cast("array<string>"))
 
 
