@@ -1,0 +1,143 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.llm import (
+    audio_fingerprint, edit_counts, html_template, mixing, near_dedup, quality_rules, rule_ensemble, secret_scan, token_files, unigram_pieces,
+)
+from factloom.llm.common import word_count
+
+tokenizers = pytest.importorskip("public_tokenizers")
+LONG = "word " * 60_000 + "end"
+ROWS = [
+    (1, "plain words of a short text", "en", "a"), (2, None, "en", None), (3, "", None, "a"), (4, LONG, "de", "b"), (5, "plain words of a short text", "en", "a"),
+    (5, "plain words of a short text", "en", "a"), (None, "no id here at all", "en", "b"), (7, " \t\n ", "en", "b"), (8, "éà ﬁ 漢字 \U0001f600", "fr", "c"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    extra = {c: F.lit("clash") for c in ("size", "key", "node", "sig", "ids", "score", "label", "target", "n_tokens", "comp", "bucket", "host", "shard", "seq", "value", "codes", "sound", "stats", "s", "__text")}
+    return spark.createDataFrame(ROWS, SCHEMA).withColumns(extra)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+LABELS = "doc_id long, quality int, toxic int"
+RUN = {
+    "quality_rules": lambda s, d: quality_rules.apply_quality_rules(d),
+    "rule_ensemble": lambda s, d: rule_ensemble.score_quality(d, s.createDataFrame([(1, 1, 0), (2, None, 0), (4, 0, 0)], LABELS)),
+    "near_dedup": lambda s, d: near_dedup.near_duplicates(d),
+    "mixing": lambda s, d: mixing.mix_sources(d.select("doc_id", "source", word_count(F.col("text")).alias("size"))),
+    "pieces": lambda s, d: unigram_pieces.encode_pieces(d, unigram_pieces.default_model()),
+    "edits": lambda s, d: edit_counts.count_with_edits(d, edit_counts.revision(F.col("text"), F.col("doc_id")), ranks=tokenizers.path("byte_bpe_50k.tiktoken")),
+}
+
+
+@pytest.mark.parametrize("name", RUN)
+def test_one_row_each(spark, docs, none, name):
+    got = RUN[name](spark, docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in ROWS)
+    assert RUN[name](spark, none).collect() == []
+
+
+def test_quality_rules_values(spark, docs):
+    got = {r.doc_id: r for r in quality_rules.apply_quality_rules(docs).collect()}
+    assert (got[2].n_words, got[2].base_failed, got[2].kept) == (0, True, False)
+    assert got[4].n_words == 60_001 and got[4].n_repeat_words == 60_000 and not got[4].kept
+    assert got[7].n_words == 0 and got[8].word_chars == 6
+
+
+def test_near_dedup_values(spark, docs):
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
+    assert got[5].component_id == 1 and not got[5].kept and got[1].kept
+    assert (got[2].n_shingles, got[2].component_id, got[2].kept) == (0, 2, True) and got[7].kept
+    assert got[None].kept and got[8].n_shingles == 1
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    path = tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    for encoding in ("dictionary", "delta"):
+        out = str(tmp_path / encoding)
+        token_files.write_token_files(docs, out, tokenizer=path, metadata=("source",), encoding=encoding, files=3)
+        rows = token_files.token_starts(token_files.read_token_files(spark, out)).orderBy("start").collect()
+        ids = [r.doc_id for r in rows]
+        assert ids == [None, 1, 2, 3, 4, 5, 5, 7, 8]
+        at = 0
+        for r in rows:
+            text = next(t for i, t, *_ in ROWS if i == r.doc_id)
+            assert r.ids == plain.encode(text or "", add_special_tokens=False).ids + [2] and r.start == at
+            at += r.n_tokens
+        some = token_files.read_token_files(spark, out, ("doc_id",), low=4, high=8)
+        assert sorted(r.doc_id for r in some.collect()) == [4, 5, 5, 7] and "PushedFilters: [IsNotNull(doc_id)" in some._jdf.queryExecution().toString()
+    token_files.write_token_files(none, str(tmp_path / "none"), tokenizer=path)
+    assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_delta_files_are_delta_encoded(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    for encoding, mark in (("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        out = tmp_path / encoding
+        token_files.write_token_files(docs, str(out), tokenizer=tokenizers.path("word_bpe_49k.json"), encoding=encoding, files=1)
+        meta = pq.ParquetFile(next(out.glob("*.parquet"))).metadata
+        column = next(meta.row_group(0).column(i) for i in range(meta.num_columns) if "ids" in meta.row_group(0).column(i).path_in_schema)
+        assert mark in column.encodings or (encoding == "dictionary" and "PLAIN_DICTIONARY" in column.encodings)
+        assert column.has_offset_index
+
+
+def test_secret_scan(spark, docs, none):
+    forest = secret_scan.Forest.fit(secret_scan.labelled_findings(spark, 600))
+    assert secret_scan.scan_secrets(none, forest).count() == 0 and secret_scan.scan_secrets(docs, forest).count() == 0
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, f'Das ist token = "{key}" hier.'), (2, f"commit {key} fixed"), (3, "see https://example.com/static/images/page1.html now"), (4, None), (1, f'Das ist token = "{key}" hier.')]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("value", F.lit(1))
+    found = secret_scan.scan_secrets(frame, forest).collect()
+    assert [r.doc_id for r in found if r.is_secret] == [1, 1] and all(r.value == key for r in found if r.is_secret)
+    clean = {r.doc_id: r for r in secret_scan.redact_secrets(frame, forest).collect()}
+    assert clean[1].text == 'Das ist token = "<secret>" hier.' and clean[2].text == rows[1][1] and clean[4].text is None and clean[1].value == 1
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    made = secret_scan.labelled_findings(spark, 1200, seed=3)
+    forest = secret_scan.Forest.fit(secret_scan.labelled_findings(spark, 1200, seed=4))
+    scored = made.select("label", F.get(secret_scan.findings(F.col("text"), forest), F.lit(0)).alias("f")).filter("f is not null").collect()
+    assert np.mean([r.f.is_secret == bool(r.label) for r in scored]) > 0.95
+
+
+def test_html(spark):
+    page = "<html><body><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use cookies</div><div class='post'><p>{}</p><p>Second &amp; last</p></div><div id='comments'><p>Nice</p></div><form><p>Sign up</p></form></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"Text {i}")) for i in range(6)]
+    rows += [(10, None, None), (11, "http://x.example/", ""), (12, "http://x.example/", "<p>a<br>b  c</p>tail <di"), (12, "http://x.example/", "<p>a<br>b  c</p>tail <di"), (13, "http://y.example", "<article><header><h1>T</h1></header>a &lt; b<script>x</script></article>x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("template", F.lit(1))
+    got = {r.page_id: r.text for r in html_template.extract_main_text(frame).collect()}
+    assert got[0] == "Text 0" and got[3] == "Text 3"  # "Second & last" is on every page of the host: template
+    assert got[10] == "" and got[11] == "" and got[12] == "a b c\ntail" and got[13] == "T\na < b"
+    assert html_template.extract_main_text(frame.limit(0)).count() == 0
+
+
+def test_audio_edges(spark, docs, none):
+    run = lambda d: audio_fingerprint.match_recordings(d, "text", F.col("doc_id") % 5 == 0)
+    got = run(docs).collect()
+    assert len([r for r in got if r.query_id is None]) == len(ROWS) and run(none).count() == 0
+
+
+def test_mixing_water_fill(spark):
+    rows = [(i, s, n) for i, (s, n) in enumerate([("a", 10), ("a", 0), ("b", 100), ("c", 500), (None, 20), (None, 20)])]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    targets = {r.source: (r.source_size, r.target) for r in got}
+    assert targets["a"] == (10, 30.0) and targets[None] == (40, 120.0) and targets["b"] == (100, 300.0) and targets["c"][1] == 200.0
+    taken = {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    assert taken == {"a": 30, "b": 300, "c": 200, None: 120}
