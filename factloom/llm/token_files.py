@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import scratch_dir, table
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: ASCII punctuation other than the apostrophe, which starts clitics in the tokenizer's pattern.
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END_ID = 2
