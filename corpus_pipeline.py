@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, table, word_count
+from factloom.llm.common import let, materialise, table, word_count
 from factloom.llm.mixing import mix_sources
 from factloom.llm.near_dedup import near_duplicates
 from factloom.llm.rule_ensemble import CUTOFF, fit_sample, statistics
@@ -24,8 +24,8 @@ from factloom.llm.unigram_pieces import default_model, encode_pieces
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the rule ensemble, fitted on the folder's labels, scores at ``CUTOFF`` or more."""
     model = fit_sample(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("*", statistics(F.col("text")).alias("__stats"))
-    return scored.filter(model.column(lambda name: F.col("__stats")[name]) >= CUTOFF).select(*docs.columns)
+    # Bound by a lambda: a filter on a struct column would be pushed below it and measure once a rule.
+    return docs.filter(let(statistics(F.col("text")), lambda s: model.column(lambda name: s[name])) >= CUTOFF)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
