@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long run of key characters with a digit or mixed case in it, or a shorter value
-that a word such as "password" assigns. Its features are its length, the transitions between
+A candidate is a long run of key characters with a digit or mixed case in it, or a value of six or
+more characters, not all digits, that a word such as "password" assigns; a word may hold several.
+Its features are its length, the transitions between
 character classes, how much of it common words cover, whether it looks like a path, address or
 identifier, and which words stand around it. The forest is trained by Spark's own learner from
 labelled findings; ``labelled_findings`` makes a bounded set of them by rule, and any other table of
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import let, table
 
 MIN_RUN = 16
+MIN_ASSIGNED = 6
 TREES = 24
 DEPTH = 6
 CUTOFF = 0.5
@@ -34,7 +36,10 @@ MASK = "<secret>"
 SEED = 17
 #: Characters that keys, tokens and encoded data are made of.
 RUN = r"[A-Za-z0-9+/_=.~\-]"
-ASSIGNED = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api_?key|credential)s?[\"']?\s*[:=]\s*[\"']?"
+NAMED = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api_?key|credential)s?[\"']?"
+ASSIGNED = NAMED + r"\s*[:=]\s*[\"']?"
+#: An assigned value: up to its quote, or else up to a delimiter; "&" is one only before the next name of a URL's query.
+VALUE = r"(?:(?<=\")(?!<)[^\s\"]{6,}|(?<=')(?!<)[^\s']{6,}|(?:[^\s\"'`,;&<>]|&(?![A-Za-z_][\w.\-]*=)){6,})"
 #: Fixed lists: words of code, paths and prose that keys don't hold; words that announce a secret or an example.
 DICTIONARY = (
     "admin account address article assets backup build bucket button cache class client cloud common config content control country "
@@ -69,8 +74,8 @@ def _flag(condition: Column) -> Column:
 
 
 def features(c: Column) -> dict[str, Column]:
-    """Features of one candidate struct (value, word, before, after)."""
-    value, around = c["value"], F.lower(F.concat_ws(" ", c["before"], c["word"], c["after"]))
+    """Features of one candidate struct (value, part, before, after)."""
+    value, around = c["value"], F.lower(F.concat_ws(" ", c["before"], c["part"], c["after"]))
     length = F.char_length(value)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "\u0001"), "[A-Z]", "\u0002"), "[a-z]", "\u0003")
     runs = F.char_length(F.regexp_replace(classes, r"(.)\1+", "$1"))
@@ -97,50 +102,61 @@ def features(c: Column) -> dict[str, Column]:
         "dashes": F.regexp_count(value, F.lit("-")).cast("double"),
         "underscores": F.regexp_count(value, F.lit("_")).cast("double"),
         "uuid": _flag(F.lower(value).rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
-        "address": _flag(F.lower(c["word"]).rlike(r"https?:|www\.|@|\.(?:com|org|net|io|example)\b")),
+        "address": _flag(F.lower(c["part"]).rlike(r"https?:|www\.|@|\.(?:com|org|net|io|example)\b")),
         "extension": _flag(F.lower(value).rlike(r"\.[a-z]{1,4}[0-9]?$")),
         "hex": _flag(F.lower(value).rlike("^(?:0x)?[0-9a-f]+$")),
         "announced": _flag(around.rlike("|".join(ANNOUNCE))),
         "example": _flag(around.rlike("|".join(EXAMPLES))),
-        "assigned": _flag(F.concat_ws(" ", c["before"], c["word"]).rlike(r"(?i)(?:" + "|".join(ANNOUNCE) + r")[a-z_]*[\"']?\s*[:=]")),
-        "quoted": _flag(c["word"].rlike("[\"'`]")),
+        "assigned": _flag(F.concat_ws(" ", c["before"], c["part"]).rlike(r"(?i)(?:" + "|".join(ANNOUNCE) + r")[a-z_]*[\"']?\s*[:=]")),
+        "quoted": _flag(c["part"].rlike("[\"'`]")),
     }
 
 
 def candidates(text: Column) -> Column:
-    """Array of (position, word, value, before, after); position counts white-space words from 0."""
+    """Array of (position, word, part, value, before, after); position counts white-space words from 0.
+
+    A word gives every value that is assigned in it or by the two words before it, then every run in
+    what is left of it. ``part`` is the assignment, or the word for a run.
+    """
     whole = F.coalesce(text, F.lit(""))
-    worth_it = whole.rlike(f"{RUN}{{{MIN_RUN},}}") | whole.rlike(ASSIGNED + RUN)
+    worth_it = whole.rlike(f"{RUN}{{{MIN_RUN},}}") | whole.rlike(ASSIGNED + VALUE)
     words = F.split(F.trim(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", " ")), " ")
+    row = "array<struct<position:int,word:string,part:string,value:string,assigned:boolean>>"
 
     def near(every: Column, low: Column, high: Column) -> Column:
         start = F.greatest(low, F.lit(0))
         return F.array_join(F.slice(every, start + 1, F.greatest(F.least(high, F.size(every)) - start, F.lit(0))), " ")
 
+    def in_word(w: Column, i: Column, led: Column) -> Column:
+        def one(part: Column, value: Column, assigned: bool) -> Column:
+            return F.struct(i.alias("position"), w.alias("word"), part.alias("part"), value.alias("value"), F.lit(assigned).alias("assigned"))
+
+        def assigned(part: Column, value: Column) -> Column:
+            bare = F.when(part.rlike(r"[:=]\s*[\"']"), value).otherwise(F.regexp_replace(value, r"[.:)\]}]+$", ""))
+            return one(part, F.regexp_replace(bare, r"^[=.\-]+", ""), True)
+
+        values = F.zip_with(F.regexp_extract_all(led, F.lit(ASSIGNED + VALUE), F.lit(0)), F.regexp_extract_all(led, F.lit(f"{ASSIGNED}({VALUE})"), F.lit(1)), assigned)
+        runs = F.regexp_extract_all(F.regexp_replace(led, ASSIGNED + VALUE, " "), F.lit(f"{RUN}{{{MIN_RUN},}}"), F.lit(0))
+        return F.concat(F.filter(values, lambda r: F.char_length(r["value"]) >= MIN_ASSIGNED), F.transform(runs, lambda v: one(w, v, False)))
+
     def found(every: Column) -> Column:
-        rows = F.transform(
-            every,
-            lambda w, i: F.when(
-                F.char_length(w) >= 6,
-                F.struct(
-                    i.alias("position"), w.alias("word"),
-                    F.coalesce(
-                        F.nullif(F.regexp_extract(w, f"({RUN}{{{MIN_RUN},}})", 1), F.lit("")),
-                        F.when(
-                            F.concat(near(every, i - 2, i), F.lit(" "), w).rlike(ASSIGNED + RUN + "{6,}[^A-Za-z0-9]*$"),
-                            F.nullif(F.regexp_extract(w, f"({RUN}{{6,}})[^A-Za-z0-9]*$", 1), F.lit("")),
-                        ),
-                    ).alias("value"),
-                ),
-            ),
-        )
+        def led(w: Column, i: Column) -> Column:
+            """The word, after a stand-in for the assignment that the words before it begin."""
+            return let(
+                near(every, i - 2, i),
+                lambda before: F.concat(
+                    F.when(before.rlike(ASSIGNED + "$"), "token=").when(before.rlike(NAMED + "$") & w.rlike("^[:=]"), "token").otherwise(""), w),
+            )
+
+        rows = F.flatten(F.transform(every, lambda w, i: F.when(F.char_length(w) >= MIN_ASSIGNED, let(led(w, i), lambda x: in_word(w, i, x).cast(row))).otherwise(F.array().cast(row))))
         # Prose has long words too: a candidate holds a digit, an inner capital or a sign, or is assigned.
-        kept = F.filter(rows, lambda r: r["value"].isNotNull() & (r["value"].rlike("[0-9+/_=~]|[a-z][A-Z]") | (F.char_length(r["value"]) < MIN_RUN)))
+        kept = F.filter(rows, lambda r: r["assigned"] | r["value"].rlike("[0-9+/_=~]|[a-z][A-Z]"))
         kept = F.filter(kept, lambda r: ~r["value"].rlike(r"^(.)\1*$|^[0-9.\-]+$"))
         return F.transform(
             kept,
             lambda r: F.struct(
-                r["position"].alias("position"), r["word"].alias("word"), F.regexp_replace(r["value"], r"^[=.\-]+|[.\-]+$", "").alias("value"),
+                r["position"].alias("position"), r["word"].alias("word"), r["part"].alias("part"),
+                F.when(r["assigned"], r["value"]).otherwise(F.regexp_replace(r["value"], r"^[=.\-]+|[.\-]+$", "")).alias("value"),
                 near(every, r["position"] - NEAR_WORDS, r["position"]).alias("before"), near(every, r["position"] + 1, r["position"] + 3).alias("after"),
             ),
         )
@@ -203,6 +219,8 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = SEED) -
         lambda: rng.choice(("ghp_", "gho_", "glpat-", "sk_live_", "xoxb-", "npm_", "AIza")) + pick(letters + "0123456789", 36),
         lambda: ".".join(("eyJ" + pick(letters + "0123456789_-", 30), pick(letters + "0123456789_-", 60), pick(letters + "0123456789_-", 43))),
         lambda: pick(letters, 4) + pick("0123456789", 3) + pick("+/_~", 1) + pick(letters + "0123456789", 6),
+        lambda: pick(letters, rng.randint(3, 6)) + pick("!@#%^&*$", rng.randint(1, 2)) + pick(letters + "0123456789!@#%^&", rng.randint(3, 8)),
+        lambda: "".join(rng.choices((*DICTIONARY, *syllables), k=rng.randint(4, 6))),
     ]
     announce = ["token = \"{}\"", "api_key: {}", "secret={}", "password = '{}'", "export AUTH_TOKEN={}", "Authorization: Bearer {}", "access_key = \"{}\"", "\"private_key\": \"{}\"", "pwd={}"]
     negative = [
@@ -228,7 +246,7 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = SEED) -
             if rng.random() < 0.3:
                 value, frame = pick("0123456789abcdef", rng.choice((32, 40, 64))), rng.choice(hashes)
             elif rng.random() < 0.2:
-                value, frame = rng.choice(("YOUR_API_KEY_HERE", "xxxxxxxxxxxxxxxxxxxx1", "changeme_please_123", "example_token_value_1", "<placeholder_token_1>")), rng.choice(announce)
+                value, frame = rng.choice(("YOUR_API_KEY_HERE", "xxxxxxxxxxxxxxxxxxxx1", "changeme_please_123", "example_token_value_1", "<placeholder_token_1>", rng.choice(DICTIONARY), compound(2))), rng.choice(announce)
         text = f"{prose(4)} {frame.format(value)} {prose(3)}"
         made.append((text.upper() if rng.random() < 0.05 else text, label))
     return spark.createDataFrame(made, "text string, label int")
