@@ -5,17 +5,18 @@
    host's pages holds it.
 2. Tokens with equal vectors form an equivalence class. Vectors are never gathered: each page adds
    a hash of (page, count) to its token's sum, and equal sums over equal supports stand for equal
-   vectors, so a host's pages may lie on any number of machines.
+   vectors, so a host's pages may lie on any number of machines. Pages of a host with the same text
+   in their main slots count as one page: copies of an article are articles, not template.
 3. A class is valid if it occurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's
    pages and has a structural token. Valid classes nest by path: an element's slot belongs to the
    nearest enclosing element that is in the template. At most (mean tokens a page) / ``MIN_SHARE``
    tokens of a host can be valid, which bounds the template that joins its pages.
 4. On each page the template's elements and its constant texts are taken away; what remains are the
    slots. Slots in menus, headers, footers, asides, adverts, notices, forms and comments are left
-   out; if an article or main element encloses slots, only those count.
+   out; if an article or main element encloses slots, only those count, and the template's constant
+   texts are taken away there too. A page of which nothing would remain keeps its slots.
 
-Hosts with too few pages for a template, and pages without a url, get steps 1 and 4 alone. Inside an
-article, text that other pages repeat is kept: copies of an article are articles.
+Hosts with too few pages for a template, and pages without a url, get steps 1 and 4 alone.
 
 Defined cases: null or empty html gives an empty text; cut-off tags, comments and scripts end at the
 page's end and are no text; repeated rows get repeated results; an empty table gives an empty
@@ -65,6 +66,8 @@ MARKED = re.compile(
 ROLE_MAIN = re.compile(r"(?:^|[\s_-])(?:main|articlebody|article-body|post-content|entry-content)(?:$|[\s_-])", re.I)
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Stands for a token that every page has.
+EVERY = 0
 
 
 class Block(NamedTuple):
@@ -145,18 +148,23 @@ def _token(kind: str, path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{kind}\x00{path}\x00{text}".encode("utf-8", "replace")) - 2**63
 
 
-def page_tokens(page: str | None) -> tuple[Counter, Counter]:
-    """Counts of a page's structural and text tokens."""
+def main_slots(blocks: list[Block]) -> list[Block]:
+    """The blocks that may be the page's text: those in an article or main element if there are any."""
+    slots = [b for b in blocks if not b.aside]
+    return [b for b in slots if b.main] or slots
+
+
+def page_tokens(page: str | None) -> tuple[int, Counter, Counter]:
+    """A key of what the page's main slots say, and counts of its structural and text tokens."""
     elements, blocks = parse(page)
-    return Counter(_token("e", p) for p in elements), Counter(_token("t", b.path, b.text) for b in blocks)
+    key = _token("k", "", "\x00".join(b.text for b in main_slots(blocks)))
+    return key, Counter(_token("e", p) for p in elements), Counter(_token("t", b.path, b.text) for b in blocks)
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """What remains of the page's main slots once the template is taken away."""
     _, blocks = parse(page)
-    slots = [b for b in blocks if not b.aside]
-    if any(b.main for b in slots):
-        return "\n".join(b.text for b in slots if b.main)
+    slots = main_slots(blocks)
     varying = [b for b in slots if _token("t", b.path, b.text) not in template]
     return "\n".join(b.text for b in (varying or slots))
 
@@ -166,26 +174,31 @@ def host(url: Column) -> Column:
 
 
 def occurrence_sums(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, token, structural, support, vector): each token's summed occurrence vector."""
+    """(host, token, structural, support, vector): each token's summed occurrence vector.
+
+    The support of ``EVERY`` is the number of the host's pages that differ in their main slots.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for owner, page_key, page in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
-                    for structural, counts in zip((True, False), page_tokens(page), strict=True):
-                        rows += [(owner, t, structural, xxhash.xxh64_intdigest(f"{page_key}\x00{n}".encode()) >> 1) for t, n in counts.items()]
-                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())],
-                    names=["host", "token", "structural", "mark"],
-                )
-
-    named = pages.select(host(F.col("url")).alias("host"), F.col("page_id").cast("string").alias("page_key"), "html").filter("host != ''")
-    tokens = named.mapInArrow(work, "host string, token long, structural boolean, mark long")
+                for owner, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    key, *kinds = page_tokens(page)
+                    rows.append((owner, EVERY, None, key, 1))
+                    for structural, counts in zip((True, False), kinds, strict=True):
+                        rows += [(owner, t, structural, key, n) for t, n in counts.items()]
+                cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "token", "structural", "page_key", "n"])
+
+    named = pages.select(host(F.col("url")).alias("host"), "html").filter("host != ''")
+    tokens = named.mapInArrow(work, "host string, token long, structural boolean, page_key long, n long")
+    once = tokens.groupBy("host", "token", "structural", "page_key").agg(F.max("n").alias("n"))
     return (
-        tokens.groupBy("host", "token", "structural")
+        once.withColumn("mark", F.shiftrightunsigned(F.xxhash64("page_key", "n"), 1))
+        .groupBy("host", "token", "structural")
         .agg(F.count("*").alias("support"), F.sum(F.col("mark").cast("decimal(38,0)")).alias("vector"))
         .filter(F.col("support") >= min_pages)
     )
@@ -193,8 +206,9 @@ def occurrence_sums(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 def templates(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, template): tokens of the host's valid equivalence classes."""
-    sizes = pages.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
-    frequent = occurrence_sums(pages, min_pages).join(sizes, "host").filter(F.col("support") >= F.col("pages") * min_share)
+    sums = materialise(occurrence_sums(pages, min_pages), "host-tokens")
+    sizes = sums.filter("structural is null").select("host", F.col("support").alias("pages"))
+    frequent = sums.filter("structural is not null").join(sizes, "host").filter(F.col("support") >= F.col("pages") * min_share)
     classes = frequent.groupBy("host", "support", "vector").agg(
         F.bool_or("structural").alias("valid"), F.collect_list(F.when(~F.col("structural"), F.col("token"))).alias("tokens")
     )

@@ -146,6 +146,18 @@ def test_html(spark):
     assert html_template.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_html_template_decides_inside_articles(spark):
+    page = "<html><body><article><h1>Title {0}</h1><p>Body {0}</p>{1}<div><p>Get our letter every week</p></div></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i, f"<p>More {i}</p>" * (i % 3))) for i in range(8)]
+    copied = "<body><nav><p>Menu {}</p></nav><article><h1>Copied</h1><p>An article</p></article></body>"
+    rows += [(100 + i, f"http://c.example/{i}", copied.format(i)) for i in range(8)]
+    rows += [(110 + i, f"http://c.example/o{i}", f"<body><article><h1>Other {i}</h1><p>Text {i}</p></article></body>") for i in range(3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract_main_text(frame).collect()}
+    assert [got[i] for i in range(3)] == ["Title 0\nBody 0", "Title 1\nBody 1\nMore 1", "Title 2\nBody 2\nMore 2\nMore 2"]
+    assert {got[100 + i] for i in range(8)} == {"Copied\nAn article"} and got[111] == "Other 1\nText 1"
+
+
 def test_audio_edges(spark, docs, none):
     run = lambda d: audio_fingerprint.match_recordings(d, "text", F.col("doc_id") % 5 == 0)
     got = run(docs).collect()
