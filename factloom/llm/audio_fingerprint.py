@@ -7,12 +7,10 @@
    that neighbouring levels differ in one bit, and sixteen of them make one 32-bit integer a frame.
 3. Recordings with equal fingerprints form a class; matches are between classes, so that copies are
    not multiplied. Integers picked by a hash of their value (one in ``INDEX_EVERY``) are the index.
-   Each counts
-   where it comes first in a recording. A query and a recording that share some vote for the
-   differences of their positions; the offset
-   with most votes, the least of equals, aligns them, and they match if at most ``MAX_ERROR_RATE``
-   of the bits over an overlap differ that has at least ``MIN_OVERLAP`` integers and half of the
-   shorter recording's.
+   A query and a recording that share some are a pair, and every two positions of a shared one vote
+   for their difference. At every offset, most votes first and the least of equals, the pair is
+   aligned; it matches at the first one where at most ``MAX_ERROR_RATE`` of the bits over an
+   overlap of at least ``MIN_OVERLAP`` integers differ.
 
 The index sees no pair that shares no picked integer: recall against trying every pair and offset is
 measured in the tests (at least 0.9). Neither buckets nor partners are capped.
@@ -47,8 +45,7 @@ SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 FILTERS = 16
 WIDTH = 16
 INDEX_EVERY = 4
-#: Same melodies with noise or cut differ in up to 0.05 of the bits, other melodies in 0.12 or more.
-MAX_ERROR_RATE = 0.10
+MAX_ERROR_RATE = 0.15
 MIN_OVERLAP = 16
 QUERY_EVERY = 50
 CHUNK_FRAMES = 8192
@@ -185,25 +182,47 @@ def fingerprint_table(media: DataFrame, column: str) -> DataFrame:
     return media.select("doc_id", F.col(column).cast("binary").alias("samples")).mapInArrow(work, f"doc_id {kind}, sound binary, codes binary")
 
 
+def picked(codes: np.ndarray) -> np.ndarray:
+    """Which integers the index holds."""
+    return ((codes * np.uint32(2654435761)) >> np.uint32(16)) % INDEX_EVERY == 0
+
+
+def offset_votes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every offset of b against a, those that most shared index integers vote for first, and the votes."""
+    order = np.argsort(b, kind="stable")
+    ranked, at = b[order], np.nonzero(picked(a))[0]
+    low, high = np.searchsorted(ranked, a[at], "left"), np.searchsorted(ranked, a[at], "right")
+    total = np.zeros(len(a) + len(b), dtype=np.int64)
+    for position, lo, hi in zip(at[high > low], low[high > low], high[high > low], strict=True):
+        total[position - order[lo:hi] + len(b)] += 1  # an integer has its positions in b once each
+    offsets = np.argsort(-total, kind="stable")
+    return offsets - len(b), total[offsets]
+
+
+def best_alignment(a: np.ndarray, b: np.ndarray, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> tuple[int, int, int] | None:
+    """(offset, overlap, bit errors) at the first of ``offset_votes`` where b matches a."""
+    for offset in offset_votes(a, b)[0].tolist():
+        overlap, errors = align(a, b, offset)
+        if overlap >= min_overlap and errors <= overlap * (32 * max_error_rate):
+            return offset, overlap, errors
+    return None
+
+
 def _postings(classes: DataFrame) -> DataFrame:
-    """(code, class_id, position) of the integers that the index holds, each where it comes first."""
+    """(code, class_id) of the integers that the index holds, each once a recording."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                first = [np.unique(np.frombuffer(c, dtype="<u4"), return_index=True) for c in part.column(1).to_pylist()]
-                flat = np.concatenate([*(codes for codes, _ in first), np.zeros(0, np.uint32)])
-                owner = np.repeat(np.arange(len(first)), [len(codes) for codes, _ in first])
-                position = np.concatenate([*(at for _, at in first), np.zeros(0, np.int64)]).astype(np.int32)
-                kept = ((flat * np.uint32(2654435761)) >> np.uint32(16)) % INDEX_EVERY == 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[kept].view(np.int32)), part.column(0).take(pa.array(owner[kept])), pa.array(position[kept])],
-                    names=["code", "class_id", "position"],
-                )
+                held = [np.unique(np.frombuffer(c, dtype="<u4")) for c in part.column(1).to_pylist()]
+                flat = np.concatenate([*held, np.zeros(0, np.uint32)])
+                owner = np.repeat(np.arange(len(held)), [len(codes) for codes in held])
+                kept = picked(flat)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[kept].view(np.int32)), part.column(0).take(pa.array(owner[kept]))], names=["code", "class_id"])
 
     kind = dict(classes.dtypes)["class_id"]
-    return classes.select("class_id", "codes").mapInArrow(work, f"code int, class_id {kind}, position int")
+    return classes.select("class_id", "codes").mapInArrow(work, f"code int, class_id {kind}")
 
 
 def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> DataFrame:
@@ -218,31 +237,23 @@ def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate:
     classes = known.groupBy("sound").agg(F.min("doc_id").alias("class_id"), F.first("codes").alias("codes"), F.bool_or(is_query).alias("asked"))
     classes = materialise(classes, "fingerprint-classes")
     postings = _postings(classes)
-    asked = _postings(classes.filter("asked")).select("code", F.col("class_id").alias("query_id"), F.col("position").alias("at"))
-    votes = asked.join(postings, "code").filter("query_id != class_id").groupBy("query_id", "class_id", (F.col("at") - F.col("position")).alias("offset")).agg(
-        F.count("*").alias("votes")
-    )
-    best = votes.groupBy("query_id", "class_id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("minus"))).alias("top"))
-    pairs = best.select("query_id", "class_id", (-F.col("top.minus")).alias("offset"))
+    asked = _postings(classes.filter("asked")).select("code", F.col("class_id").alias("query_id"))
+    pairs = asked.join(postings, "code").filter("query_id != class_id").select("query_id", "class_id").distinct()
     side = classes.select("class_id", "codes")
     both = pairs.join(side.toDF("query_id", "query_codes"), "query_id").join(side, "class_id")
     kind = dict(classes.dtypes)["class_id"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets = batch.column(2).to_pylist()
             found = [
-                align(np.frombuffer(q, dtype="<u4"), np.frombuffer(c, dtype="<u4"), o)
-                for q, c, o in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), offsets, strict=True)
+                best_alignment(np.frombuffer(q, dtype="<u4"), np.frombuffer(c, dtype="<u4"), max_error_rate, min_overlap)
+                for q, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
-            shorter = [min(len(q), len(c)) // 4 for q, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            numbers = [pa.array(x, pa.int32()) for x in ([f[0] for f in found], [f[1] for f in found], shorter)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *numbers], names=["query_id", "class_id", "offset", "overlap", "bit_errors", "shorter"])
+            kept = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+            numbers = [pa.array([f[k] for f in found if f], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), *numbers], names=["query_id", "class_id", "offset", "overlap", "bit_errors"])
 
-    measured = both.select("query_id", "class_id", "offset", "query_codes", "codes").mapInArrow(
-        measure, f"query_id {kind}, class_id {kind}, offset int, overlap int, bit_errors int, shorter int"
-    )
-    good = measured.filter((F.col("overlap") >= min_overlap) & (2 * F.col("overlap") >= F.col("shorter")) & (F.col("bit_errors") <= F.col("overlap") * (32 * max_error_rate)))
+    good = both.select("query_id", "class_id", "query_codes", "codes").mapInArrow(measure, f"query_id {kind}, class_id {kind}, offset int, overlap int, bit_errors int")
     matches = good.select(F.col("class_id").alias("doc_id"), "class_id", "query_id", "offset", "overlap", "bit_errors")
     members = prints.join(classes.select("sound", "class_id"), "sound", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.lit(None).cast(kind).alias("query_id"),

@@ -123,6 +123,31 @@ def test_audio_recall_against_every_offset(spark):
     assert {r.offset for r in got if r.class_id % 50 == 2 and r.query_id == r.class_id - 2} == {100}
 
 
+def test_audio_partial_overlaps_and_repeats(spark):
+    """Documents' bytes: a third shared, and repeats whose first places mislead."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    shared, part = noise(2048), noise(1024)
+    rows = [
+        (0, noise(4096) + shared), (1, shared + noise(4096)),  # a third of each
+        (50, noise(2048) + 8 * part), (51, 2 * part + noise(6400)),  # the end of one is the start of the other
+        (100, noise(4096)), (101, noise(4096)),
+    ]
+    frame = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "doc_id long, pcm binary")
+    got = {(r.query_id, r.class_id): r for r in af.match_recordings(frame, "pcm", F.col("doc_id") % 50 == 0).collect() if r.query_id is not None}
+    assert got[0, 1].offset == 128 and got[0, 1].bit_errors == 0
+    assert (50, 51) in got
+    prints = dict(zip([i for i, _ in rows], af.fingerprints([b for _, b in rows]), strict=True))
+    want = set()
+    for q in (0, 50, 100):
+        for d, codes in prints.items():
+            for offset in range(af.MIN_OVERLAP - len(codes), len(prints[q]) - af.MIN_OVERLAP + 1):
+                overlap, bits = af.align(prints[q], codes, offset)
+                if d != q and overlap >= af.MIN_OVERLAP and bits <= overlap * 32 * 0.15:
+                    want.add((q, d))
+    assert want == got.keys() and len(want) >= 2
+
+
 def test_edits_equal_recounting():
     counter = edit_counts.PieceCounter(P.path("byte_bpe_50k.tiktoken"))
     assert edit_counts.PATTERN == P.PATTERN
