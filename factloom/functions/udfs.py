@@ -22,15 +22,22 @@ def casefold(text: pd.Series) -> pd.Series:
 
 
 def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences, two rows of memory."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Levenshtein distance of two sequences: a column of differences as bits of one integer, so memory grows with one side."""
+    if not a:
+        return len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for y in b:
+        same = places.get(y, 0)
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        right_up, right_down = down | (full & ~(diagonal | up)), up & diagonal
+        distance += bool(right_up & last) - bool(right_down & last)
+        right_up, right_down = (right_up << 1) | 1, right_down << 1
+        up, down = (right_down | ~(diagonal | right_up)) & full, right_up & diagonal & full
+    return distance
 
 
 @F.pandas_udf(DoubleType())

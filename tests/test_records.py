@@ -74,6 +74,29 @@ def test_words_without_confidence_are_left_out(spark):
     assert (line.text, line.l, line.r, line.confidence) == ("Net Wt", 0, 28, 0.85)
 
 
+def test_word_error_rates_of_whole_documents(spark, tmp_path):
+    from factloom.plans.record_queries import word_error_rates
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = np.random.default_rng(1)
+    text = lambda n: "\n".join(" ".join(rng.choice(["a", "b", "c", "d"], 6)) for _ in range(n))
+    docs, items = [(i, text(i % 30)) for i in range(60)] + [(99, None)], [(i, text(i)) for i in range(18)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.wer for r in word_error_rates(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        want, read = (t or "").split(), dict(items).get(i % 20, "").split()
+        assert got[i] == (plain(want, read) / len(want) if want else float(bool(read)))
+
+
 def test_engines():
     assert files.build_engine("words") is files.words_to_lines
     with pytest.raises(KeyError):
