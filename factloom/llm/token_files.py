@@ -1,11 +1,14 @@
 """Token-id output: Parquet list columns, written in id order and read back selectively.
 
 Texts are encoded with a public tokenizer whose pre-tokenizer never joins text across white space,
-so a text's ids are the ids of its white-space words in turn; each worker keeps the ids of words it
-has met (at most ``CACHE_WORDS``, then it starts afresh) and asks the library only for new ones.
-Rows are dealt by ranges of id, so that file i holds smaller ids than file i + 1; ties and repeated
-rows are ordered by a hash of the text. Row groups, pages and encodings are set by options; page
-indexes are always written, and readers that select columns or ranges of ids skip the rest.
+so a text's ids are the ids of its white-space words in turn. A batch of texts is cut into words and
+its distinct words are found by Arrow; below U+0300 a word is lower-cased and parted from the marks
+that close it, as the tokenizer itself would part them. Each worker keeps the ids of these units in
+flat arrays (at most ``CACHE_UNITS``, then only those met again stay) and asks the library for new
+ones only. Rows are dealt by ranges of id, so that file i holds smaller ids than file
+i + 1; ties and repeated rows are ordered by a hash of the text. The number of files follows from the
+bytes of the texts. Row groups, pages and encodings are set by options; page indexes are always
+written, and readers that select columns or ranges of ids skip the rest.
 
 Defined cases: a null or empty text has only the end id; a null id sorts first; repeated rows are
 all written; an empty table gives an empty folder with a schema; only the named columns are kept.
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,79 +31,195 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import scratch_dir, table
 
-CACHE_WORDS = 800_000
-#: ASCII punctuation other than the apostrophe, which starts clitics in the tokenizer's pattern.
-PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+CACHE_UNITS = 3_000_000
 END_ID = 2
+FILE_BYTES = 128 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 5_000
+#: Texts are encoded in slices of about this many bytes; a longer text is a slice of its own.
+SLICE_BYTES = 8 << 20
+#: Words that only the library may take apart: above U+02FF normal form C acts across letters, the
+#: dotted capital I becomes two characters, and a special token's text may stand inside a word.
+WHOLE = r"[^\x00-\x{012F}\x{0131}-\x{02FF}]|<\|"
 _loaded: dict = {}
 
 
-def _parts(word: bytes) -> tuple[bytes, ...]:
-    """The word, lower-cased where that commutes with the normalizer, and its closing punctuation.
+def _marks() -> str:
+    """Characters below U+0300 that are neither letters, numbers nor white space."""
+    import regex
 
-    Below U+0300 normal form C changes nothing and the tokenizer lower-cases letter by letter, and a
-    run of letters or digits ends where ASCII punctuation begins. Other words, and those that may
-    hold the text of a special token, stay whole.
-    """
-    if word.isascii():
-        if b"<|" in word:
-            return (word,)
-        lower = word.lower()
-        core = lower.rstrip(PUNCTUATION)
-        letter = bool(core) and 97 <= core[-1] <= 122
-    else:
-        text = word.decode("utf-8", "replace")
-        if "<|" in text or max(text) >= "\u0300":
-            return (word,)
-        lower = word.lower()
-        core = lower.rstrip(PUNCTUATION)
-        letter = bool(core) and core.decode("utf-8", "replace")[-1].lower().isalpha()
-    return (core, lower[len(core) :]) if letter and len(core) < len(lower) else (lower,)
+    return "".join(c for c in map(chr, range(0x300)) if regex.match(r"[^\s\p{L}\p{N}]", c))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies spell each byte: itself if it can be printed, else one above U+00FF."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of every entry, one after the other."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - ends + sizes, sizes)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 class WordEncoder:
-    """Ids of texts as little-endian 32-bit bytes, word by word through a bounded cache."""
+    """Ids of texts by way of their words' units, kept in flat arrays."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words = cache_words
-        self.cache: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()  # words met again since they became known: kept when the cache is full
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make the ids of all these words known."""
-        known = self.cache
-        new = words.difference(known)
-        self.again |= words.difference(new)
-        if len(known) + len(new) > self.cache_words:
-            self.cache = known = {w: known[w] for w in self.again} if len(self.again) < self.cache_words // 2 else {}
-            self.again = set()
-            new = words.difference(known)
-        parts = {w: _parts(w) for w in new}
-        units = {u for part in parts.values() for u in part}.difference(known)
-        fresh = list(units)
-        texts = [u.decode("utf-8", "replace") for u in fresh]
-        for unit, got in zip(fresh, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            known[unit] = array("I", got.ids).tobytes()
-        for word, part in parts.items():
-            if len(part) == 2 or part[0] != word:
-                known[word] = b"".join([known[u] for u in part])
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        words: set[bytes] = set()
-        for w in split:
-            words.update(w)
-        self.learn(words)
-        known = self.cache
-        for w in split:
-            yield b"".join(map(known.__getitem__, w))
+        self.model = self.tokenizer.model
+        self.spelling = _byte_letters()
+        self.marks = _marks()
+        self.cache_units = cache_units
+        self.salts = np.zeros((2, 0), dtype=np.uint64)
+        none = np.zeros(0, dtype=np.int64)
+        self.flat, self.used = np.zeros(1024, dtype=np.int32), 0
+        self.starts = self.sizes = self.met = none
+        # Known units by a sorted hash: a second hash tells those with the same first one apart.
+        self.keys, self.proofs, self.order = none.view(np.uint64), none.view(np.uint64), none
+
+    def _hashes(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each string: sums of its bytes times random numbers by position."""
+        ends, data = _bytes_of(units)
+        sizes = np.diff(ends)
+        longest = int(sizes.max(initial=0))
+        if longest > self.salts.shape[1]:
+            self.salts = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, size=(max(64, 2 * longest), 2), dtype=np.uint64).T.copy()
+        held = data[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+        place = np.arange(len(held)) - np.repeat(ends[:-1] - ends[0], sizes)
+        out = []
+        for salt in self.salts:
+            total = np.zeros(len(held) + 1, dtype=np.uint64)
+            np.cumsum(held * salt[place], out=total[1:])
+            sums = total[ends[1:] - ends[0]] - total[ends[:-1] - ends[0]]
+            sums ^= sums >> np.uint64(31)
+            out.append(sums * np.uint64(0x9E3779B97F4A7C15))
+        return out[0], out[1]
+
+    def _forget(self, keep: np.ndarray) -> None:
+        """Keep only these units."""
+        place = np.full(len(self.sizes), -1, dtype=np.int64)
+        place[keep] = np.arange(len(keep))
+        stay = place[self.order] >= 0
+        self.keys, self.proofs, self.order = self.keys[stay], self.proofs[stay], place[self.order[stay]]
+        self.flat = _gather(self.flat, self.starts[keep], self.sizes[keep])
+        self.used, self.sizes = len(self.flat), self.sizes[keep]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.met = np.zeros(len(keep), dtype=np.int64)
+
+    def _ids(self, units: list[str], single: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of new units, in turn; single ones are one pre-token each."""
+        sizes, flat = np.zeros(len(units), dtype=np.int64), array("i")
+        tokenize, spelling = self.model.tokenize, self.spelling
+        for i, (unit, one) in enumerate(zip(units, single, strict=True)):
+            if one:  # normal already: the model alone
+                spelt = unit if unit.isascii() and unit.isprintable() else unit.encode("utf-8").decode("latin-1").translate(spelling)
+                ids = [t.id for t in tokenize(spelt)]
+            else:
+                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            sizes[i] = len(ids)
+            flat.extend(ids)
+        return sizes, np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, dtype=np.int32)
+
+    def _places(self, units: pa.Array, single: pa.Array) -> np.ndarray:
+        """Index of every unit; new ones are learnt."""
+        keys, proofs = self._hashes(units)
+        by_key = np.argsort(keys)
+        at = np.zeros(len(keys), dtype=np.int64)
+        at[by_key] = np.searchsorted(self.keys, keys[by_key])
+        inside = np.minimum(at, max(len(self.keys) - 1, 0))
+        places = np.full(len(keys), -1, dtype=np.int64)
+        if len(self.keys):
+            met = (self.keys[inside] == keys) & (self.proofs[inside] == proofs)
+            places[met] = self.order[inside[met]]
+        fresh = by_key[places[by_key] < 0]
+        if len(fresh):
+            chosen = pa.array(fresh)
+            sizes, ids = self._ids(units.take(chosen).to_pylist(), single.take(chosen).to_pylist())
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), dtype=np.int32)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            places[fresh] = len(self.sizes) + np.arange(len(fresh))
+            self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.met = np.concatenate([self.met, np.zeros(len(fresh), dtype=np.int64)])
+            self.used += len(ids)
+            self.keys, self.proofs, self.order = (
+                np.insert(old, at[fresh], new) for old, new in ((self.keys, keys[fresh]), (self.proofs, proofs[fresh]), (self.order, places[fresh]))
+            )
+        self.met[places] += 1
+        return places
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, with ``end_id`` after every text's, and where each text's ids start and end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        if len(self.sizes) + 2 * len(words) > self.cache_units:
+            again = np.flatnonzero(self.met > 1)
+            self._forget(again if len(again) < self.cache_units // 2 else again[:0])
+        # Distinct words of this batch to pairs of units, units to ids, then both back again.
+        whole = pc.match_substring_regex(words, WHOLE)
+        lower = pc.if_else(whole, words, pc.utf8_lower(words))
+        core = pc.if_else(whole, words, pc.utf8_rtrim(lower, characters=self.marks))
+        tail = _tails(lower, core)
+        units = pa.concat_arrays([core, tail]).dictionary_encode()
+        single = pc.match_substring_regex(units.dictionary, r"^(?:\p{L}+|[^\s\x0B\x{85}\x{A0}\p{L}\p{N}]+)$")
+        single = pc.and_(single, pc.invert(pc.match_substring_regex(units.dictionary, WHOLE)))
+        pair = self._places(units.dictionary, single)[units.indices.to_numpy()].reshape(2, len(words))
+        sizes = self.sizes[pair]
+        of_words = _gather(self.flat, self.starts[pair].T.reshape(-1), sizes.T.reshape(-1))
+        word_sizes = sizes.sum(axis=0)
+        word_starts = np.cumsum(word_sizes) - word_sizes
+        if end_id is not None:
+            of_words = np.append(of_words, np.int32(end_id))
+            word_sizes, word_starts = np.append(word_sizes, 1), np.append(word_starts, len(of_words) - 1)
+            codes = np.insert(codes, ends[1:], len(words))
+            ends = ends + np.arange(len(ends))
+        sizes = word_sizes[codes]
+        total = np.zeros(len(codes) + 1, dtype=np.int64)
+        np.cumsum(sizes, out=total[1:])
+        return _gather(of_words, word_starts[codes], sizes), total[ends]
+
+
+def _tails(words: pa.Array, cores: pa.Array) -> pa.Array:
+    """What follows each word's core."""
+    ends, held = _bytes_of(words)
+    core_sizes = pc.binary_length(cores).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.diff(ends) - core_sizes
+    offsets = np.zeros(len(sizes) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    data = _gather(held, ends[:-1] + core_sizes, sizes) if len(sizes) else held[:0]
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a large string array."""
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return ends, np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+
+
+def _slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > at and held + size > limit:
+            yield at, i
+            at, held = i, 0
+        held += size
+    if len(sizes):
+        yield at, len(sizes)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -123,38 +243,36 @@ def write_token_files(
     page_rows: int = PAGE_ROWS,
     files: int | None = None,
 ) -> None:
-    """Write (key, metadata..., ids, n_tokens, shard, seq) in ascending order of key.
+    """Write (key, metadata..., ids, n_tokens, shard, before) in ascending order of key.
 
-    ``encoding`` is "dictionary" or "delta"; ``shard`` numbers the files in order of key and ``seq``
-    the rows within one.
+    ``encoding`` is "dictionary" or "delta"; ``shard`` numbers the files in order of key and
+    ``before`` is the number of ids that stand before a row in its file. Files hold about
+    ``FILE_BYTES`` of text, but there are no fewer than the session has shuffle partitions.
     """
     spark = docs.sparkSession
     kept = [key, *metadata]
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        held = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // FILE_BYTES))
     source = docs.select(*kept, F.col(text).alias("__text"), F.xxhash64(F.col(text)).alias("__tie"))
-    ordered = source.repartitionByRange(files, key, "__tie").sortWithinPartitions(key, "__tie")
+    ordered = source.repartitionByRange(files, key, "__tie").sortWithinPartitions(key, "__tie").drop("__tie")
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes)
-    tail = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("__text"))
-            for at in range(0, batch.num_rows, 512):  # a list of ids is several times its text
-                part = [x + tail for x in encoder.encode(column.slice(at, 512).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in part], dtype=np.int64)
-                offsets = np.zeros(len(part) + 1, dtype=np.int32)
-                np.cumsum(sizes, out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), dtype=np.int32)))
-                rows = len(part)
+            column = batch.column(len(kept))
+            for at, to in _slices(column):
+                ids, ends = encoder.encode(column.slice(at, to - at), end_id)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).slice(at, rows) for i in range(len(kept))], ids, pa.array(sizes),
-                     pa.array(np.full(rows, shard, dtype=np.int32)), pa.array(np.arange(seq, seq + rows, dtype=np.int64))],
-                    names=[*kept, "ids", "n_tokens", "shard", "seq"],
-                )
-                seq += rows
-
-    encoded = ordered.mapInArrow(encode, f"{fields}, ids array<int>, n_tokens long, shard int, seq long")
+                    [*[batch.column(i).slice(at, to - at) for i in range(len(kept))],
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(np.diff(ends)),
+                     pa.array(np.full(to - at, shard, dtype=np.int32)), pa.array(before + ends[:-1])],
+                    names=[*kept, "ids", "n_tokens", "shard", "before"],
+                )
+                before += int(ends[-1])
+
+    encoded = ordered.mapInArrow(encode, f"{fields}, ids array<int>, n_tokens long, shard int, before long")
     encoded.write.options(
         **{
             "parquet.block.size": row_group_bytes,
@@ -177,31 +295,33 @@ def read_token_files(spark: SparkSession, path: str, columns: tuple[str, ...] =
 
 
 def token_starts(rows: DataFrame) -> DataFrame:
-    """Add ``start``, the ids in all rows before: totals of shards, then a window within a shard."""
+    """Add ``start``, the ids in all rows before: those of the files before, and ``before`` in its own.
+
+    rows holds whole files. Totals are one row a file and are summed up in one task: a file holds
+    about ``FILE_BYTES`` of text, so 100 TB make under a million rows.
+    """
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("shard", F.coalesce(F.sum("shard_tokens").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("shard").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offsets, "shard")
-    return placed.withColumn("start", F.col("offset") + F.col("within")).drop("offset", "within")
+    earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(F.col("shard").alias("__shard"), F.coalesce(F.sum("shard_tokens").over(earlier), F.lit(0)).alias("__offset"))
+    placed = rows.join(offsets, F.col("shard") == F.col("__shard"))
+    return placed.withColumn("start", F.col("__offset") + F.col("before")).drop("__shard", "__offset")
 
 
 def id_checksums(rows: DataFrame) -> DataFrame:
-    """doc_id, shard, seq, n_tokens and ids_crc32 from the ids column."""
+    """doc_id, start, n_tokens and ids_crc32; the last two are taken from the ids themselves."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
+            ids = batch.column(2)
             flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
             sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            sizes = np.diff(ends).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "shard", "seq")], pa.array(sizes), pa.array(sums, pa.int64())],
-                names=["doc_id", "shard", "seq", "n_tokens", "ids_crc32"],
+                [batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", "shard", "seq", "ids").mapInArrow(digest, f"doc_id {kind}, shard int, seq long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "start", "ids").mapInArrow(digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +331,4 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
-    sums = id_checksums(read_token_files(spark, path, ("doc_id", "shard", "seq", "ids")))
-    sizes = read_token_files(spark, path, ("shard", "seq", "n_tokens"))
-    starts = token_starts(sizes)
-    return sums.join(starts.select("shard", "seq", "start"), ["shard", "seq"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return id_checksums(token_starts(read_token_files(spark, path)))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,12 +229,14 @@ def test_word_cache_equals_the_library():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    encoder = token_files.WordEncoder(P.path("word_bpe_49k.json"), cache_words=60)
+    encoder = token_files.WordEncoder(P.path("word_bpe_49k.json"), cache_units=60)
     rng = random.Random(3)
-    letters = [*"aB \t\n\x0b\x1c\x1f\xa0 　İßΣς'sst12ñ一\U0001f600", "é", "̈", "<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "가", "***", "?!", "H̱"]
-    for _ in range(3000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 20)))
-        assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    letters = [*"aB \t\n\x0b\x1c\x1f\x85\xa0 　İßΣς'sst12ñ一\U0001f600ÉȺǅ²»¿-_.", "é", "̈", "<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "가", "***", "?!", "H̱", "J̌"]
+    for _ in range(2000):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 20))) for _ in range(3)]
+        ids, ends = encoder.encode(pa.array([*texts, None, ""]), 2)
+        for text, start, end in zip([*texts, "", ""], ends[:-1], ends[1:], strict=True):
+            assert ids[start:end].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
 def test_rule_ensemble_on_held_out_rows():
