@@ -1,26 +1,29 @@
 """Chroma audio fingerprints: integral-image filters over pitch-class frames, aligned by offsets.
 
-1. Samples are cut into overlapping windowed frames; each frame's spectrum is folded into twelve
-   pitch classes, smoothed over time and normalised.
+1. Samples are cut into overlapping windowed frames; each frame's spectrum from ``LOW_HZ`` on, where
+   neighbouring semitones lie in different bins, is folded into twelve pitch classes, smoothed over
+   time and normalised.
 2. Rectangles over the pitch-class image are compared by differences of sums, which an integral
    image gives in constant time; each of ``FILTERS`` comparisons is cut into four levels, coded so
    that neighbouring levels differ in one bit, and sixteen of them make one 32-bit integer a frame.
 3. Recordings with equal fingerprints form a class; matches are between classes, so that copies are
-   not multiplied. Integers picked by a hash of their value (one in ``INDEX_EVERY``) are the index.
-   A query and a recording that share some are a pair, and every two positions of a shared one vote
-   for their difference. At every offset, most votes first and the least of equals, the pair is
-   aligned; it matches at the first one where at most ``MAX_ERROR_RATE`` of the bits over an
-   overlap of at least ``MIN_OVERLAP`` integers differ.
+   not multiplied. The index holds every position of every class under the pair of its integer and
+   the one ``GAP`` later. A query is fingerprinted at ``PHASES`` shifts within a hop, so that one of
+   them meets the frames of any recording it was cut from at any sample.
+4. Positions under equal keys vote for their offset: a histogram for each query, class and shift.
+   Every offset with a vote is aligned, and the pair matches if a run of at least ``MIN_OVERLAP``
+   integers has at most ``MAX_ERROR_RATE`` of its bits different. A pair's row tells its best run.
 
-The index sees no pair that shares no picked integer: recall against trying every pair and offset is
-measured in the tests (at least 0.9). Neither buckets nor partners are capped.
+The index sees no pair without a pair of equal integers: recall against every shift and offset is
+measured in the tests (at least 0.9). Neither buckets, offsets nor partners are capped. A key that
+many recordings share is dealt over ``SPLITS`` tasks.
 
 The tables hold no sound, so the query takes each document's UTF-8 bytes as an 8-bit mono recording
-of ``RATE`` samples a second: exact and near copies then sound alike. The operator itself takes any
-column of 8-bit samples.
+of ``RATE`` samples a second. Copies then sound alike, and so do long passages that texts share; a
+word put in shifts what follows it, which makes a second run at another offset.
 
 Defined cases: null, empty and short recordings have no integers, form classes of one and match
-nothing; constant sound has zero chroma and codes like silence; repeated ids are members by their
+nothing; integers of silence or constant sound agree with nothing; repeated ids are members by their
 sound; an empty table gives an empty result; only the id and the samples are read.
 """
 
@@ -40,15 +43,23 @@ from factloom.llm.common import materialise, table
 RATE = 8000
 FRAME = 256
 HOP = 32
-LOW_HZ, HIGH_HZ = 120.0, 3800.0
+LOW_HZ, HIGH_HZ = 530.0, 3800.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 FILTERS = 16
 WIDTH = 16
-INDEX_EVERY = 4
+#: Integers between the two of a key.
+GAP = 4
+#: Shifts of a query within a hop.
+PHASES = 8
+SPLITS = 8
 MAX_ERROR_RATE = 0.15
 MIN_OVERLAP = 16
 QUERY_EVERY = 50
+#: Stands for an integer of silence.
+SILENT = np.uint32(0xFFFFFFFF)
 CHUNK_FRAMES = 8192
+#: The image in whole numbers: sums over it are exact, whatever stands before a recording in a batch.
+SCALE = 1 << 20
 
 
 @cache
@@ -70,13 +81,13 @@ def _filters() -> list[tuple[int, int, int, int]]:
 
 def chroma(frames: np.ndarray) -> np.ndarray:
     """Pitch-class energies of windowed frames, one row a frame."""
-    spectrum = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1))
-    return (spectrum * spectrum) @ _fold()
+    spectrum = np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1))
+    return (spectrum * spectrum).astype(np.float64) @ _fold()
 
 
 def _responses(image: np.ndarray) -> np.ndarray:
     """Every filter's response at every start frame of a smoothed, normalised image."""
-    total = np.zeros((len(image) + 1, 13))
+    total = np.zeros((len(image) + 1, 13), dtype=np.int64)
     total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
     n = len(image) - WIDTH + 1
     at = np.arange(n)
@@ -107,7 +118,7 @@ def _responses(image: np.ndarray) -> np.ndarray:
         else:  # inner against outer classes
             a = area(t0, t1, yt, y + h - (yt - y)) if h > 2 else area(t0, t1, y, y + 1)
             b = whole - a
-        out[:, i] = np.log1p(np.maximum(a, 0)) - np.log1p(np.maximum(b, 0))
+        out[:, i] = np.log1p(np.maximum(a, 0) / SCALE) - np.log1p(np.maximum(b, 0) / SCALE)
     return out
 
 
@@ -115,7 +126,7 @@ def _image(classes: np.ndarray) -> np.ndarray:
     n = len(classes) - len(SMOOTH) + 1
     smooth = sum(s * classes[i : i + n] for i, s in enumerate(SMOOTH))
     norm = np.sqrt((smooth * smooth).sum(axis=1, keepdims=True))
-    return np.divide(smooth, norm, out=np.zeros_like(smooth), where=norm > 1e-6)
+    return np.rint(np.divide(smooth, norm, out=np.zeros_like(smooth), where=norm > 1e-6) * SCALE).astype(np.int64)
 
 
 @cache
@@ -137,10 +148,13 @@ def fingerprints(recordings: list[bytes | None]) -> list[np.ndarray]:
         if held:
             image_of = np.concatenate([frames for _, frames in held])
             classes = np.concatenate([chroma(image_of[at : at + CHUNK_FRAMES]) for at in range(0, len(image_of), CHUNK_FRAMES)])
-            levels = _responses(_image(classes))[:, None, :] > _levels()[None]
-            level = levels.sum(axis=1)
+            image = _image(classes)
+            level = (_responses(image)[:, None, :] > _levels()[None]).sum(axis=1)
             gray = (level ^ (level >> 1)).astype(np.uint32)
             codes = (gray << (2 * np.arange(FILTERS, dtype=np.uint32))).sum(axis=1, dtype=np.uint32)
+            codes[codes == SILENT] ^= np.uint32(1)
+            quiet = np.concatenate([[0], np.cumsum(~image.any(axis=1))])
+            codes[quiet[WIDTH:] - quiet[:-WIDTH] == WIDTH] = SILENT
             at = 0
             for i, frames in held:
                 out[i] = codes[at : at + len(frames) - least + 1].copy()  # windows across two recordings are left out
@@ -159,70 +173,94 @@ def fingerprints(recordings: list[bytes | None]) -> list[np.ndarray]:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
-    """(overlap, differing bits) of b against a when b's position p lies at a's p + offset."""
-    lo, hi = max(0, offset), min(len(a), len(b) + offset)
-    if hi <= lo:
-        return 0, 0
-    return hi - lo, int(np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).sum())
+def shifts(recording: bytes | None) -> list[np.ndarray]:
+    """Integers of a query at every shift within a hop."""
+    return fingerprints([None if recording is None else recording[HOP * k // PHASES :] for k in range(PHASES)])
 
 
-def fingerprint_table(media: DataFrame, column: str) -> DataFrame:
-    """doc_id, sound (digest of the integers; null if none) and codes of every recording."""
+def best_run(a: np.ndarray, b: np.ndarray, offset: int, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> tuple[float, int, int, int] | None:
+    """(gain, start in a, length, differing bits) of the best run of aligned integers.
+
+    b's position p lies at a's p + offset. A run's gain is what its differing bits leave of what
+    ``max_error_rate`` allows; the best has the greatest, and the first of equals is taken.
+    """
+    low, high = max(0, offset), min(len(a), len(b) + offset)
+    if high - low < min_overlap:
+        return None
+    left, right = a[low:high], b[low - offset : high - offset]
+    errors = np.bitwise_count(left ^ right).astype(np.int64)
+    errors[(left == SILENT) | (right == SILENT)] = 32
+    wrong = np.concatenate([[0], np.cumsum(errors)])
+    gain = 32 * max_error_rate * np.arange(len(wrong)) - wrong
+    least = np.minimum.accumulate(gain[: len(gain) - min_overlap])
+    best = gain[min_overlap:] - least
+    end = int(best.argmax())
+    if best[end] < -1e-9:
+        return None
+    start = int((gain[: end + 1] == least[end]).argmax())
+    length = end + min_overlap - start
+    return float(best[end]), low + start, length, int(wrong[start + length] - wrong[start])
+
+
+def best_alignment(phases: list[np.ndarray], b: np.ndarray, tries: list[tuple[int, int]], max_error_rate: float, min_overlap: int) -> tuple[int, int, int] | None:
+    """(offset in samples, length, bit errors) of the best run over (shift, offset) pairs; the least offset of equals."""
+    found = None
+    for phase, offset in tries:
+        run = best_run(phases[phase], b, offset, max_error_rate, min_overlap)
+        if run:
+            row = (-run[0], offset * HOP + HOP * phase // PHASES, run[2], run[3])
+            found = row if found is None or row < found else found
+    return found[1:] if found else None
+
+
+def keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, keys): an integer and the one ``GAP`` later, where neither is silent."""
+    if len(codes) <= GAP:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    first, second = codes[:-GAP], codes[GAP:]
+    at = np.flatnonzero((first != SILENT) & (second != SILENT))
+    return at, ((first[at].astype(np.uint64) << np.uint64(32)) | second[at]).view(np.int64)
+
+
+def fingerprint_table(media: DataFrame, column: str, is_query) -> DataFrame:
+    """doc_id, asked, sound (digest of the integers; null if none), codes, and a query's codes at every shift."""
     kind = dict(media.dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                codes = [c.astype("<u4").tobytes() for c in fingerprints(part.column(1).to_pylist())]
-                sounds = [blake2b(c, digest_size=16).digest() if c else None for c in codes]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sounds, pa.binary()), pa.array(codes, pa.binary())], names=["doc_id", "sound", "codes"])
-
-    return media.select("doc_id", F.col(column).cast("binary").alias("samples")).mapInArrow(work, f"doc_id {kind}, sound binary, codes binary")
-
-
-def picked(codes: np.ndarray) -> np.ndarray:
-    """Which integers the index holds."""
-    return ((codes * np.uint32(2654435761)) >> np.uint32(16)) % INDEX_EVERY == 0
+                sounds = part.column(1).to_pylist()
+                codes = [c.astype("<u4").tobytes() for c in fingerprints(sounds)]
+                digests = [blake2b(c, digest_size=16).digest() if c else None for c in codes]
+                phases = [[p.astype("<u4").tobytes() for p in shifts(s)] if asked and c else None for s, asked, c in zip(sounds, part.column(2).to_pylist(), codes, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(codes, pa.binary()), pa.array(phases, pa.list_(pa.binary()))],
+                    names=["doc_id", "asked", "sound", "codes", "phases"],
+                )
 
+    sounds = media.select("doc_id", F.col(column).cast("binary").alias("samples"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    return sounds.mapInArrow(work, f"doc_id {kind}, asked boolean, sound binary, codes binary, phases array<binary>")
 
-def offset_votes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every offset of b against a, those that most shared index integers vote for first, and the votes."""
-    order = np.argsort(b, kind="stable")
-    ranked, at = b[order], np.nonzero(picked(a))[0]
-    low, high = np.searchsorted(ranked, a[at], "left"), np.searchsorted(ranked, a[at], "right")
-    total = np.zeros(len(a) + len(b), dtype=np.int64)
-    for position, lo, hi in zip(at[high > low], low[high > low], high[high > low], strict=True):
-        total[position - order[lo:hi] + len(b)] += 1  # an integer has its positions in b once each
-    offsets = np.argsort(-total, kind="stable")
-    return offsets - len(b), total[offsets]
 
-
-def best_alignment(a: np.ndarray, b: np.ndarray, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> tuple[int, int, int] | None:
-    """(offset, overlap, bit errors) at the first of ``offset_votes`` where b matches a."""
-    for offset in offset_votes(a, b)[0].tolist():
-        overlap, errors = align(a, b, offset)
-        if overlap >= min_overlap and errors <= overlap * (32 * max_error_rate):
-            return offset, overlap, errors
-    return None
-
-
-def _postings(classes: DataFrame) -> DataFrame:
-    """(code, class_id) of the integers that the index holds, each once a recording."""
+def _postings(classes: DataFrame, codes: str) -> DataFrame:
+    """(key, owner, phase, at) of every position of every class."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                held = [np.unique(np.frombuffer(c, dtype="<u4")) for c in part.column(1).to_pylist()]
-                flat = np.concatenate([*held, np.zeros(0, np.uint32)])
-                owner = np.repeat(np.arange(len(held)), [len(codes) for codes in held])
-                kept = picked(flat)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[kept].view(np.int32)), part.column(0).take(pa.array(owner[kept]))], names=["code", "class_id"])
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                rows = [(i, phase, *keys(np.frombuffer(c, dtype="<u4"))) for i, phases in enumerate(part.column(1).to_pylist()) for phase, c in enumerate(phases)]
+                sizes = [len(at) for _, _, at, _ in rows]
+                column = lambda k, kind: np.concatenate([*[r[k] for r in rows], np.zeros(0, kind)]).astype(kind)
+                spread = lambda k, kind: np.repeat(np.array([r[k] for r in rows], dtype=kind), sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column(3, np.int64)), part.column(0).take(pa.array(spread(0, np.int64))), pa.array(spread(1, np.int32)), pa.array(column(2, np.int32))],
+                    names=["key", "owner", "phase", "at"],
+                )
 
     kind = dict(classes.dtypes)["class_id"]
-    return classes.select("class_id", "codes").mapInArrow(work, f"code int, class_id {kind}")
+    return classes.select("class_id", F.expr(codes).alias("phases")).mapInArrow(work, f"key long, owner {kind}, phase int, at int")
 
 
 def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> DataFrame:
@@ -230,30 +268,38 @@ def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate:
 
     A row without query_id says which class a recording belongs to; class_id is the least id with
     the same integers. A row with query_id says that this class matches the class of a query: at
-    ``offset`` of the query's positions, with ``bit_errors`` over ``overlap`` integers.
+    ``offset`` samples of the query's, with ``bit_errors`` over a run of ``overlap`` integers.
     """
-    prints = materialise(fingerprint_table(media, column), "fingerprints")
+    prints = materialise(fingerprint_table(media, column, is_query), "fingerprints")
     known = prints.filter("sound is not null")
-    classes = known.groupBy("sound").agg(F.min("doc_id").alias("class_id"), F.first("codes").alias("codes"), F.bool_or(is_query).alias("asked"))
+    # The queries' own rows have shifts: of equal sounds, those of the least id are taken.
+    phases = F.min_by("phases", F.when(F.col("asked"), F.struct("doc_id", "phases"))).alias("phases")
+    classes = known.groupBy("sound").agg(F.min("doc_id").alias("class_id"), F.first("codes").alias("codes"), phases)
     classes = materialise(classes, "fingerprint-classes")
-    postings = _postings(classes)
-    asked = _postings(classes.filter("asked")).select("code", F.col("class_id").alias("query_id"))
-    pairs = asked.join(postings, "code").filter("query_id != class_id").select("query_id", "class_id").distinct()
-    side = classes.select("class_id", "codes")
-    both = pairs.join(side.toDF("query_id", "query_codes"), "query_id").join(side, "class_id")
+    asked = classes.filter("phases is not null")
+    held = _postings(classes, "array(codes)").select("key", F.pmod(F.xxhash64("owner", "at"), F.lit(SPLITS)).alias("split"), F.col("owner").alias("class_id"), F.col("at").alias("held_at"))
+    probes = _postings(asked, "phases").select(
+        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPLITS - 1).cast("long"))).alias("split"), F.col("owner").alias("query_id"), "phase", F.col("at").alias("asked_at")
+    )
+    votes = probes.join(held, ["key", "split"]).filter("query_id != class_id").select("query_id", "class_id", "phase", (F.col("asked_at") - F.col("held_at")).alias("offset")).distinct()
+    # At most shifts times (positions of the one and the other) offsets a pair.
+    pairs = votes.groupBy("query_id", "class_id").agg(F.collect_list(F.struct("phase", "offset")).alias("tries"))
+    both = pairs.join(classes.select("class_id", "codes"), "class_id").join(asked.select(F.col("class_id").alias("query_id"), "phases"), "query_id")
     kind = dict(classes.dtypes)["class_id"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                best_alignment(np.frombuffer(q, dtype="<u4"), np.frombuffer(c, dtype="<u4"), max_error_rate, min_overlap)
-                for q, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
-            kept = pa.array([i for i, f in enumerate(found) if f], pa.int64())
-            numbers = [pa.array([f[k] for f in found if f], pa.int32()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), *numbers], names=["query_id", "class_id", "offset", "overlap", "bit_errors"])
-
-    good = both.select("query_id", "class_id", "query_codes", "codes").mapInArrow(measure, f"query_id {kind}, class_id {kind}, offset int, overlap int, bit_errors int")
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = []
+                for phases, codes, tries in zip(*[part.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+                    views = [np.frombuffer(p, dtype="<u4") for p in phases]
+                    found.append(best_alignment(views, np.frombuffer(codes, dtype="<u4"), [(t["phase"], t["offset"]) for t in tries], max_error_rate, min_overlap))
+                kept = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+                numbers = [pa.array([f[k] for f in found if f], pa.int32()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(kept), part.column(1).take(kept), *numbers], names=["query_id", "class_id", "offset", "overlap", "bit_errors"])
+
+    good = both.select("query_id", "class_id", "phases", "codes", "tries").mapInArrow(measure, f"query_id {kind}, class_id {kind}, offset int, overlap int, bit_errors int")
     matches = good.select(F.col("class_id").alias("doc_id"), "class_id", "query_id", "offset", "overlap", "bit_errors")
     members = prints.join(classes.select("sound", "class_id"), "sound", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.lit(None).cast(kind).alias("query_id"),

@@ -297,13 +297,14 @@ def read_token_files(spark: SparkSession, path: str, columns: tuple[str, ...] =
 def token_starts(rows: DataFrame) -> DataFrame:
     """Add ``start``, the ids in all rows before: those of the files before, and ``before`` in its own.
 
-    rows holds whole files. Totals are one row a file and are summed up in one task: a file holds
-    about ``FILE_BYTES`` of text, so 100 TB make under a million rows.
+    rows holds whole files. Totals are one row of two numbers a file: they are summed up in one task
+    and sent to all others. A file holds about ``FILE_BYTES`` of text, so 100 TB make under a million
+    of them, 16 MB.
     """
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(F.col("shard").alias("__shard"), F.coalesce(F.sum("shard_tokens").over(earlier), F.lit(0)).alias("__offset"))
-    placed = rows.join(offsets, F.col("shard") == F.col("__shard"))
+    placed = rows.join(F.broadcast(offsets), F.col("shard") == F.col("__shard"))
     return placed.withColumn("start", F.col("__offset") + F.col("before")).drop("__shard", "__offset")
 
 
