@@ -7,16 +7,17 @@
    image gives in constant time; each of ``FILTERS`` comparisons is cut into four levels, coded so
    that neighbouring levels differ in one bit, and sixteen of them make one 32-bit integer a frame.
 3. Recordings with equal fingerprints form a class; matches are between classes, so that copies are
-   not multiplied. The index holds every position of every class under the pair of its integer and
-   the one ``GAP`` later. A query is fingerprinted at ``PHASES`` shifts within a hop, so that one of
-   them meets the frames of any recording it was cut from at any sample.
-4. Positions under equal keys vote for their offset: a histogram for each query, class and shift.
-   Every offset with a vote is aligned, and the pair matches if a run of at least ``MIN_OVERLAP``
-   integers has at most ``MAX_ERROR_RATE`` of its bits different. A pair's row tells its best run.
-
-The index sees no pair without a pair of equal integers: recall against every shift and offset is
-measured in the tests (at least 0.9). Neither buckets, offsets nor partners are capped. A key that
-many recordings share is dealt over ``SPLITS`` tasks.
+   not multiplied. The index holds every integer of every class. A query is fingerprinted at
+   ``PHASES`` shifts within a hop, so that one of them meets the frames of any recording it was cut
+   from, at whatever sample.
+4. A query and a class that share an integer are a pair. All positions of shared integers vote for
+   their offset, a histogram for each shift. Every offset with a vote is aligned, and the pair
+   matches if a run of at least ``MIN_OVERLAP`` integers has at most ``MAX_ERROR_RATE`` of its bits
+   different. A pair's row tells its best run.
+
+The index sees no pair without an equal integer: recall against every shift and offset is measured
+in the tests (at least 0.9). Neither buckets, offsets nor partners are capped. An integer that many
+recordings share is dealt over ``SPLITS`` tasks.
 
 The tables hold no sound, so the query takes each document's UTF-8 bytes as an 8-bit mono recording
 of ``RATE`` samples a second. Copies then sound alike, and so do long passages that texts share; a
@@ -47,13 +48,11 @@ LOW_HZ, HIGH_HZ = 530.0, 3800.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 FILTERS = 16
 WIDTH = 16
-#: Integers between the two of a key.
-GAP = 4
 #: Shifts of a query within a hop.
 PHASES = 8
 SPLITS = 8
 MAX_ERROR_RATE = 0.15
-MIN_OVERLAP = 16
+MIN_OVERLAP = 24
 QUERY_EVERY = 50
 #: Stands for an integer of silence.
 SILENT = np.uint32(0xFFFFFFFF)
@@ -87,18 +86,18 @@ def chroma(frames: np.ndarray) -> np.ndarray:
 
 def _responses(image: np.ndarray) -> np.ndarray:
     """Every filter's response at every start frame of a smoothed, normalised image."""
-    total = np.zeros((len(image) + 1, 13), dtype=np.int64)
+    total = np.zeros((13, len(image) + 1), dtype=np.int64).T
     total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
-    n = len(image) - WIDTH + 1
-    at = np.arange(n)
+    n = max(len(image) - WIDTH + 1, 0)
 
-    def area(t0, t1, y0: int, y1: int) -> np.ndarray:
-        return total[t1][:, y1] - total[t0][:, y1] - total[t1][:, y0] + total[t0][:, y0]
+    def area(t0: int, t1: int, y0: int, y1: int) -> np.ndarray:
+        """Sums over frames t0 to t1 after every start and classes y0 to y1."""
+        return total[t1 : t1 + n, y1] - total[t0 : t0 + n, y1] - total[t1 : t1 + n, y0] + total[t0 : t0 + n, y0]
 
     out = np.empty((n, FILTERS))
     for i, (kind, y, h, w) in enumerate(_filters()):
         y = min(y, 12 - h)
-        t0, mid, t1, ym = at, at + w // 2, at + w, y + h // 2
+        t0, mid, t1, ym = 0, w // 2, w, y + h // 2
         third, yt = max(w // 3, 1), y + max(h // 3, 1)
         whole = area(t0, t1, y, y + h)
         if kind == 0:  # level against its own mean over all classes
@@ -202,24 +201,25 @@ def best_run(a: np.ndarray, b: np.ndarray, offset: int, max_error_rate: float =
     return float(best[end]), low + start, length, int(wrong[start + length] - wrong[start])
 
 
-def best_alignment(phases: list[np.ndarray], b: np.ndarray, tries: list[tuple[int, int]], max_error_rate: float, min_overlap: int) -> tuple[int, int, int] | None:
-    """(offset in samples, length, bit errors) of the best run over (shift, offset) pairs; the least offset of equals."""
-    found = None
-    for phase, offset in tries:
-        run = best_run(phases[phase], b, offset, max_error_rate, min_overlap)
-        if run:
-            row = (-run[0], offset * HOP + HOP * phase // PHASES, run[2], run[3])
-            found = row if found is None or row < found else found
-    return found[1:] if found else None
+def voted_offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Offsets of b against a at which some integer other than silence is equal."""
+    order = np.argsort(b, kind="stable")
+    ranked = b[order]
+    low, high = np.searchsorted(ranked, a, "left"), np.searchsorted(ranked, a, "right")
+    at = np.flatnonzero((high > low) & (a != SILENT))
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *[p - order[lo:hi] for p, lo, hi in zip(at, low[at], high[at], strict=True)]]))
 
 
-def keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, keys): an integer and the one ``GAP`` later, where neither is silent."""
-    if len(codes) <= GAP:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    first, second = codes[:-GAP], codes[GAP:]
-    at = np.flatnonzero((first != SILENT) & (second != SILENT))
-    return at, ((first[at].astype(np.uint64) << np.uint64(32)) | second[at]).view(np.int64)
+def best_alignment(phases: list[np.ndarray], b: np.ndarray, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> tuple[int, int, int] | None:
+    """(offset in samples, length, bit errors) of the best run at any shift and voted offset; the least offset of equals."""
+    found = None
+    for phase, a in enumerate(phases):
+        for offset in voted_offsets(a, b).tolist():
+            run = best_run(a, b, offset, max_error_rate, min_overlap)
+            if run:
+                row = (-run[0], offset * HOP + HOP * phase // PHASES, run[2], run[3])
+                found = row if found is None or row < found else found
+    return found[1:] if found else None
 
 
 def fingerprint_table(media: DataFrame, column: str, is_query) -> DataFrame:
@@ -244,23 +244,20 @@ def fingerprint_table(media: DataFrame, column: str, is_query) -> DataFrame:
 
 
 def _postings(classes: DataFrame, codes: str) -> DataFrame:
-    """(key, owner, phase, at) of every position of every class."""
+    """(code, class_id) of every integer of every class, each once; ``codes`` is an array of packed integers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                rows = [(i, phase, *keys(np.frombuffer(c, dtype="<u4"))) for i, phases in enumerate(part.column(1).to_pylist()) for phase, c in enumerate(phases)]
-                sizes = [len(at) for _, _, at, _ in rows]
-                column = lambda k, kind: np.concatenate([*[r[k] for r in rows], np.zeros(0, kind)]).astype(kind)
-                spread = lambda k, kind: np.repeat(np.array([r[k] for r in rows], dtype=kind), sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(column(3, np.int64)), part.column(0).take(pa.array(spread(0, np.int64))), pa.array(spread(1, np.int32)), pa.array(column(2, np.int32))],
-                    names=["key", "owner", "phase", "at"],
-                )
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                held = [np.unique(np.frombuffer(b"".join(c), dtype="<u4")) for c in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(held)), [len(codes) for codes in held])
+                flat = np.concatenate([*held, np.zeros(0, np.uint32)])
+                heard = flat != SILENT
+                yield pa.RecordBatch.from_arrays([pa.array(flat[heard].view(np.int32)), part.column(0).take(pa.array(owner[heard]))], names=["code", "class_id"])
 
     kind = dict(classes.dtypes)["class_id"]
-    return classes.select("class_id", F.expr(codes).alias("phases")).mapInArrow(work, f"key long, owner {kind}, phase int, at int")
+    return classes.select("class_id", F.expr(codes).alias("packed")).mapInArrow(work, f"code int, class_id {kind}")
 
 
 def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> DataFrame:
@@ -277,13 +274,11 @@ def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate:
     classes = known.groupBy("sound").agg(F.min("doc_id").alias("class_id"), F.first("codes").alias("codes"), phases)
     classes = materialise(classes, "fingerprint-classes")
     asked = classes.filter("phases is not null")
-    held = _postings(classes, "array(codes)").select("key", F.pmod(F.xxhash64("owner", "at"), F.lit(SPLITS)).alias("split"), F.col("owner").alias("class_id"), F.col("at").alias("held_at"))
-    probes = _postings(asked, "phases").select(
-        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPLITS - 1).cast("long"))).alias("split"), F.col("owner").alias("query_id"), "phase", F.col("at").alias("asked_at")
-    )
-    votes = probes.join(held, ["key", "split"]).filter("query_id != class_id").select("query_id", "class_id", "phase", (F.col("asked_at") - F.col("held_at")).alias("offset")).distinct()
-    # At most shifts times (positions of the one and the other) offsets a pair.
-    pairs = votes.groupBy("query_id", "class_id").agg(F.collect_list(F.struct("phase", "offset")).alias("tries"))
+    held = _postings(classes, "array(codes)").withColumn("split", F.pmod(F.xxhash64("class_id"), F.lit(SPLITS)).cast("int"))
+    splits = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split")
+    probes = _postings(asked, "phases").select("code", F.col("class_id").alias("query_id"), splits)
+    shared = probes.join(held, ["code", "split"]).filter("query_id != class_id")
+    pairs = shared.select("query_id", "class_id").distinct()
     both = pairs.join(classes.select("class_id", "codes"), "class_id").join(asked.select(F.col("class_id").alias("query_id"), "phases"), "query_id")
     kind = dict(classes.dtypes)["class_id"]
 
@@ -292,14 +287,14 @@ def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = []
-                for phases, codes, tries in zip(*[part.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+                for phases, codes in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     views = [np.frombuffer(p, dtype="<u4") for p in phases]
-                    found.append(best_alignment(views, np.frombuffer(codes, dtype="<u4"), [(t["phase"], t["offset"]) for t in tries], max_error_rate, min_overlap))
+                    found.append(best_alignment(views, np.frombuffer(codes, dtype="<u4"), max_error_rate, min_overlap))
                 kept = pa.array([i for i, f in enumerate(found) if f], pa.int64())
                 numbers = [pa.array([f[k] for f in found if f], pa.int32()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(kept), part.column(1).take(kept), *numbers], names=["query_id", "class_id", "offset", "overlap", "bit_errors"])
 
-    good = both.select("query_id", "class_id", "phases", "codes", "tries").mapInArrow(measure, f"query_id {kind}, class_id {kind}, offset int, overlap int, bit_errors int")
+    good = both.select("query_id", "class_id", "phases", "codes").mapInArrow(measure, f"query_id {kind}, class_id {kind}, offset int, overlap int, bit_errors int")
     matches = good.select(F.col("class_id").alias("doc_id"), "class_id", "query_id", "offset", "overlap", "bit_errors")
     members = prints.join(classes.select("sound", "class_id"), "sound", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.lit(None).cast(kind).alias("query_id"),

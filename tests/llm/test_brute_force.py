@@ -85,68 +85,99 @@ def test_every_pair_within_the_signature_bound_shares_a_key(spark):
     assert all(held[f"a{i}".encode()] & held[f"b{i}".encode()] for i in range(60))
 
 
-def test_audio_recall_against_every_offset(spark):
+def brute_matches(queries, recordings):
+    """Pairs of classes with a run at any shift and offset; least ids stand for classes."""
+    least, prints = {}, {}
+    for i, c in zip(recordings, af.fingerprints(list(recordings.values())), strict=True):
+        prints[least.setdefault(c.tobytes(), i)] = c
+    want = set()
+    for q in queries:
+        phases = af.shifts(recordings[q])
+        own = least[phases[0].tobytes()]
+        for d, codes in prints.items():
+            tries = ((a, o) for a in phases for o in range(af.MIN_OVERLAP - len(codes), len(a) - af.MIN_OVERLAP + 1))
+            if d != own and any(af.best_run(a, codes, o) for a, o in tries):
+                want.add((own, d))
+    return want
+
+
+def test_best_run_equals_every_run():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        a = rng.integers(0, 2**32, rng.integers(1, 60), dtype=np.uint32)
+        b = np.concatenate([rng.integers(0, 2**32, 5, dtype=np.uint32), a ^ (np.uint32(1) << rng.integers(0, 32, len(a), dtype=np.uint32)) * (rng.random(len(a)) < 0.9)])
+        b[rng.integers(0, len(b), len(b) // 4)] = rng.integers(0, 2**32)
+        for offset in (-5, 0, 3):
+            best = None
+            for i in range(len(a)):
+                for j in range(i + af.MIN_OVERLAP, len(a) + 1):
+                    if 0 <= i - offset and j - offset <= len(b):
+                        errors = int(np.bitwise_count(a[i:j] ^ b[i - offset : j - offset]).sum())
+                        gain = 32 * af.MAX_ERROR_RATE * (j - i) - errors
+                        best = gain if gain >= -1e-9 and (best is None or gain > best) else best
+            run = af.best_run(a, b, offset)
+            assert (run is None) == (best is None) and (run is None or abs(run[0] - best) < 1e-6)
+
+
+def test_audio_recall_on_recordings_cut_at_any_sample(spark):
     rng = np.random.default_rng(4)
-    t = np.arange(24_000)
 
     def melody(seed):
         notes = np.random.default_rng(seed).integers(0, 24, 12)
-        hz = 220.0 * 2 ** (np.repeat(notes, 2000) / 12)
-        return 90 * np.sin(2 * np.pi * np.cumsum(hz) / af.RATE + 0 * t)
+        hz = 660.0 * 2 ** (np.repeat(notes, 2000) / 12)
+        return 90 * np.sin(2 * np.pi * np.cumsum(hz) / af.RATE)
 
     def as_bytes(x):
-        return bytearray(np.clip(x + 128, 0, 255).astype(np.uint8).tobytes())
+        return bytes(np.clip(x + 128, 0, 255).astype(np.uint8))
 
-    rows = []
-    for k in range(12):
+    recordings = {}
+    for k in range(10):
         clean = melody(k)
-        rows.append((50 * k, as_bytes(clean)))
-        rows.append((50 * k + 1, as_bytes(clean + rng.normal(0, 4, len(clean)))))
-        rows.append((50 * k + 2, as_bytes(clean[32 * 100 :])))
-        rows.append((50 * k + 3, as_bytes(clean)))
-    rows += [(1001, None), (1002, bytearray()), (1003, bytearray(b"\x80" * 5000))]
-    frame = spark.createDataFrame(rows, "doc_id long, pcm binary")
-    got = [r for r in af.match_recordings(frame, "pcm", F.col("doc_id") % 50 == 0).collect() if r.query_id is not None]
-    prints = dict(zip([r[0] for r in rows], af.fingerprints([bytes(r[1]) if r[1] is not None else None for r in rows]), strict=True))
-    want = set()
-    for q in range(0, 600, 50):
-        for d, codes in prints.items():
-            if np.array_equal(codes, prints[q]):
-                continue
-            for offset in range(af.MIN_OVERLAP - len(codes), len(prints[q]) - af.MIN_OVERLAP + 1):
-                overlap, bits = af.align(prints[q], codes, offset)
-                if overlap >= max(af.MIN_OVERLAP, min(len(codes), len(prints[q])) / 2) and bits <= overlap * 32 * af.MAX_ERROR_RATE:
-                    want.add((q, d))
-                    break
-    found = {(r.query_id, r.class_id) for r in got}
-    assert {(50 * k, 50 * k + 2) for k in range(12)} <= found and len(want) >= 20
-    assert len(found & want) >= 0.9 * len(want)
-    assert {r.offset for r in got if r.class_id % 50 == 2 and r.query_id == r.class_id - 2} == {100}
+        recordings[50 * k] = as_bytes(clean)
+        recordings[50 * k + 1] = as_bytes(clean + rng.normal(0, 4, len(clean)))
+        recordings[50 * k + 2] = as_bytes(clean[32 * 100 + 7 * k + 1 : 20_000])
+        recordings[50 * k + 3] = as_bytes(clean)
+    recordings |= {1001: None, 1002: b"", 1003: b"\x80" * 5000, 1050: b"\x80" * 9000}
+    frame = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in recordings.items()], "doc_id long, pcm binary")
+    got = {(r.query_id, r.class_id): r for r in af.match_recordings(frame, "pcm", F.col("doc_id") % 50 == 0).collect() if r.query_id is not None}
+    want = brute_matches([50 * k for k in range(10)], {i: recordings[i] for i in recordings if i < 200 or i % 50 == 0})
+    inside = {p for p in got if p[1] < 200 or p[1] % 50 == 0}
+    assert inside <= want and len(inside) >= 0.9 * len(want) >= 8
+    for k in range(10):
+        assert abs(got[50 * k, 50 * k + 2].offset - (3200 + 7 * k + 1)) <= af.HOP // af.PHASES
+    assert not any(1003 in p or 1050 in p for p in got)
 
 
 def test_audio_partial_overlaps_and_repeats(spark):
-    """Documents' bytes: a third shared, and repeats whose first places mislead."""
+    """Documents' bytes: a third shared at any place, and repeats whose first places mislead."""
     rng = np.random.default_rng(8)
     noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
     shared, part = noise(2048), noise(1024)
-    rows = [
-        (0, noise(4096) + shared), (1, shared + noise(4096)),  # a third of each
-        (50, noise(2048) + 8 * part), (51, 2 * part + noise(6400)),  # the end of one is the start of the other
-        (100, noise(4096)), (101, noise(4096)),
-    ]
-    frame = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "doc_id long, pcm binary")
+    recordings = {
+        0: noise(4096) + shared, 1: shared + noise(4096), 2: noise(1003) + shared + noise(777),
+        50: noise(2048) + 8 * part, 51: 2 * part + noise(6400),
+        100: noise(4096), 101: noise(4096),
+    }
+    frame = spark.createDataFrame([(i, bytearray(b)) for i, b in recordings.items()], "doc_id long, pcm binary")
     got = {(r.query_id, r.class_id): r for r in af.match_recordings(frame, "pcm", F.col("doc_id") % 50 == 0).collect() if r.query_id is not None}
-    assert got[0, 1].offset == 128 and got[0, 1].bit_errors == 0
-    assert (50, 51) in got
-    prints = dict(zip([i for i, _ in rows], af.fingerprints([b for _, b in rows]), strict=True))
-    want = set()
-    for q in (0, 50, 100):
-        for d, codes in prints.items():
-            for offset in range(af.MIN_OVERLAP - len(codes), len(prints[q]) - af.MIN_OVERLAP + 1):
-                overlap, bits = af.align(prints[q], codes, offset)
-                if d != q and overlap >= af.MIN_OVERLAP and bits <= overlap * 32 * 0.15:
-                    want.add((q, d))
-    assert want == got.keys() and len(want) >= 2
+    assert got[0, 1].offset == 4096 and got[0, 1].bit_errors == 0
+    assert abs(got[0, 2].offset - (4096 - 1003)) <= af.HOP // af.PHASES
+    want = brute_matches([0, 50, 100], recordings)
+    assert want == got.keys() and want == {(0, 1), (0, 2), (50, 51)}
+
+
+def test_audio_recall_on_the_table(spark):
+    """Texts that share a long passage with a query, in the smallest table, at every shift and offset."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode()[:12_000] for r in docs.select("doc_id", "text").collect()}
+    grams = lambda t: {t[i : i + 40] for i in range(0, len(t) - 39)}
+    queries = [i for i in sorted(texts) if i % 50 == 0]
+    asked = set().union(*[grams(texts[i]) for i in queries])
+    some = {i: t for i, t in texts.items() if i in queries or any(t[k : k + 40] in asked for k in range(0, len(t) - 39, 7))}
+    frame = spark.createDataFrame([(i, bytearray(t)) for i, t in some.items()], "doc_id long, pcm binary")
+    got = {(r.query_id, r.class_id) for r in af.match_recordings(frame, "pcm", F.col("doc_id") % 50 == 0).collect() if r.query_id is not None}
+    want = brute_matches(queries, some)
+    assert got <= want and len(got) >= 0.9 * len(want) > 0
 
 
 def test_edits_equal_recounting():
