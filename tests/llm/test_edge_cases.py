@@ -158,6 +158,63 @@ def test_html_template_decides_inside_articles(spark):
     assert {got[100 + i] for i in range(8)} == {"Copied\nAn article"} and got[111] == "Other 1\nText 1"
 
 
+PLAIN_PAGE = (
+    "<html><body><div><ul><li><a href='/'>{0} home</a></li><li><a href='/x'>{0} news</a></li></ul></div><div class='k1'>Buy {0} now</div>"
+    "<div class='k2'><h1>Title {0}</h1><p>{1}</p><p>More {0}</p><p>We never sell your data</p></div><div class='k3'><p>Other {0} stories</p></div></body></html>"
+)
+
+
+def test_html_template_finds_the_slot_without_marks(spark):
+    rows = [(i, f"http://h.example/{i}", PLAIN_PAGE.format(i, f"word{i} " * 80)) for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    body = lambda i: " ".join([f"word{i}"] * 80)
+    got = {r.page_id: r.text for r in html_template.extract_main_text(frame).collect()}
+    assert all(got[i] == f"Title {i}\n{body(i)}\nMore {i}" for i in range(9))
+    off = {r.page_id: r.text for r in html_template.extract_main_text(frame, min_pages=100).collect()}
+    assert all(off[i].startswith(f"{i} home") and off[i].endswith(f"Other {i} stories") for i in range(9))
+
+
+def test_html_layouts_have_ways_of_their_own(spark):
+    """Three layouts on one host, a third of the pages each, in containers that nothing marks."""
+    page = "<html><body><div class='bar{0}'><p>Bar {1} of {0}</p></div><div class='z{0}'><h1>T {1}</h1><p>{2}</p></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format("abc"[i % 3], i, f"w{i} " * 60)) for i in range(15)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract_main_text(frame).collect()}
+    assert all(got[i] == f"T {i}\n" + " ".join([f"w{i}"] * 60) for i in range(15))
+
+
+def test_html_occurrence_vectors_against_gathered_ones(spark):
+    rows = [(i, f"http://h{i % 2}.example/{i}", PLAIN_PAGE.format(i, f"w{i % 5} " * 30) + "<hr>" * (i % 3)) for i in range(14)] + [(20, "http://h0.example/z", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {}
+    for r in html_template.occurrence_sums(frame, 1).filter("structural is not null").collect():
+        got.setdefault((r.host, r.support, r.vector), set()).add((r.token, r.structural))
+    vectors = {}
+    for i, url, page in rows:
+        key, tokens = html_template.page_tokens(page)
+        for t in tokens:
+            vectors.setdefault((url.split("/")[2], t.token, t.structural), {})[key] = t.n
+    want = {}
+    for (owner, token, structural), vector in vectors.items():
+        want.setdefault((owner, frozenset(vector.items())), set()).add((token, structural))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_html_nesting():
+    make = lambda token, parent, n=1.0, vector=1, structural=True, held=10.0: html_template.Frequent(token, structural, parent, 8, vector, n, held, 0.0, False, False)
+    tokens = [make(1, 0), make(2, 1), make(3, 2, n=4.0, vector=2), make(4, 3, vector=3), make(9, 2, structural=False), make(10, 2, structural=False, vector=7)]
+    parents, texts = html_template.nest(tokens)
+    assert parents == {1: 0, 2: 1, 4: 2} and texts == {9}
+
+
+def test_html_deep_pages_and_inline_adverts():
+    deep = "<div>" * 20_000 + "deep" + "</p></div>" * 30_000
+    assert html_template.main_text(deep) == "deep" and len(html_template.page_tokens(deep)[1]) == 20_001
+    page = "<article><p>a <ins class='adsbygoogle'>Buy</ins> b <span hidden>no</span><span class='ad'>x<b>y</b></span><i style='display:none'>z</i> c</p><p class='side'>d</p><div class='share'>e</div></article>"
+    assert html_template.main_text(page) == "a b c\nd"
+    assert html_template.main_text("<article><p>a <span class='ad'>open<p>next</article>") == "a\nnext"
+
+
 def test_audio_edges(spark, docs, none):
     run = lambda d: audio_fingerprint.match_recordings(d, "text", F.col("doc_id") % 5 == 0)
     got = run(docs).collect()
