@@ -10,14 +10,16 @@
    not multiplied. The index holds every integer of every class. A query is fingerprinted at
    ``PHASES`` shifts within a hop, so that one of them meets the frames of any recording it was cut
    from, at whatever sample.
-4. A query and a class that share an integer are a pair. All positions of shared integers vote for
-   their offset, a histogram for each shift. Every offset with a vote is aligned, and the pair
-   matches if a run of at least ``MIN_OVERLAP`` integers has at most ``MAX_ERROR_RATE`` of its bits
-   different. A pair's row tells its best run.
+4. A query and a class that share an integer are a pair, if of its neighbours ``BESIDE`` and twice as
+   many integers away two in turn hardly differ: any run of the least length that holds the integer
+   holds two such. All positions of shared integers then vote for their offset, a histogram for each
+   shift. Every offset with a vote is aligned, and the pair matches if a run of at least
+   ``MIN_OVERLAP`` integers has at most ``MAX_ERROR_RATE`` of its bits different. A pair's row tells
+   its best run.
 
 The index sees no pair without an equal integer: recall against every shift and offset is measured
 in the tests (at least 0.9). Neither buckets, offsets nor partners are capped. An integer that many
-recordings share is dealt over ``SPLITS`` tasks.
+recordings share is a join on a skewed key, which adaptive execution splits.
 
 The tables hold no sound, so the query takes each document's UTF-8 bytes as an 8-bit mono recording
 of ``RATE`` samples a second. Copies then sound alike, and so do long passages that texts share; a
@@ -50,7 +52,9 @@ FILTERS = 16
 WIDTH = 16
 #: Shifts of a query within a hop.
 PHASES = 8
-SPLITS = 8
+#: Distance of an indexed integer's neighbours, and how many of two neighbours' 32 low bits may differ.
+BESIDE = 8
+BESIDE_BITS = 9
 MAX_ERROR_RATE = 0.15
 MIN_OVERLAP = 24
 QUERY_EVERY = 50
@@ -243,21 +247,41 @@ def fingerprint_table(media: DataFrame, column: str, is_query) -> DataFrame:
     return sounds.mapInArrow(work, f"doc_id {kind}, asked boolean, sound binary, codes binary, phases array<binary>")
 
 
+def neighbours(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low halves of the four neighbours of every integer in one number each, and bits for those there are."""
+    near, there = np.zeros(len(codes), dtype=np.uint64), np.zeros(len(codes), dtype=np.int32)
+    at = np.arange(len(codes))
+    for k, step in enumerate((-2 * BESIDE, -BESIDE, BESIDE, 2 * BESIDE)):
+        inside = (at + step >= 0) & (at + step < len(codes))
+        near[inside] |= (codes[at[inside] + step] & np.uint32(0xFFFF)).astype(np.uint64) << np.uint64(16 * k)
+        there[inside] |= 1 << k
+    return near.view(np.int64), there
+
+
+#: Two neighbours in turn, on both sides of a join, that hardly differ.
+_BESIDE = " OR ".join(
+    f"(there & asked_there & {3 << k} = {3 << k} AND bit_count(shiftrightunsigned(near ^ asked_near, {16 * k}) & {0xFFFFFFFF}L) <= {BESIDE_BITS})" for k in range(3)
+)
+
+
 def _postings(classes: DataFrame, codes: str) -> DataFrame:
-    """(code, class_id) of every integer of every class, each once; ``codes`` is an array of packed integers."""
+    """(code, near, there, class_id) of every integer of every class; ``codes`` is an array of packed integers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                held = [np.unique(np.frombuffer(b"".join(c), dtype="<u4")) for c in part.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(held)), [len(codes) for codes in held])
-                flat = np.concatenate([*held, np.zeros(0, np.uint32)])
-                heard = flat != SILENT
-                yield pa.RecordBatch.from_arrays([pa.array(flat[heard].view(np.int32)), part.column(0).take(pa.array(owner[heard]))], names=["code", "class_id"])
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                rows = [(i, c, *neighbours(c)) for i, packed in enumerate(part.column(1).to_pylist()) for c in (np.frombuffer(x, dtype="<u4") for x in packed)]
+                owner = np.repeat(np.array([r[0] for r in rows], dtype=np.int64), [len(r[1]) for r in rows])
+                flat = [np.concatenate([*[r[k] for r in rows], np.zeros(0, kind)]).astype(kind, copy=False) for k, kind in ((1, np.uint32), (2, np.int64), (3, np.int32))]
+                heard = flat[0] != SILENT
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[0][heard].view(np.int32)), *[pa.array(x[heard]) for x in flat[1:]], part.column(0).take(pa.array(owner[heard]))],
+                    names=["code", "near", "there", "class_id"],
+                )
 
     kind = dict(classes.dtypes)["class_id"]
-    return classes.select("class_id", F.expr(codes).alias("packed")).mapInArrow(work, f"code int, class_id {kind}")
+    return classes.select("class_id", F.expr(codes).alias("packed")).mapInArrow(work, f"code int, near long, there int, class_id {kind}")
 
 
 def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> DataFrame:
@@ -274,11 +298,9 @@ def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate:
     classes = known.groupBy("sound").agg(F.min("doc_id").alias("class_id"), F.first("codes").alias("codes"), phases)
     classes = materialise(classes, "fingerprint-classes")
     asked = classes.filter("phases is not null")
-    held = _postings(classes, "array(codes)").withColumn("split", F.pmod(F.xxhash64("class_id"), F.lit(SPLITS)).cast("int"))
-    splits = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split")
-    probes = _postings(asked, "phases").select("code", F.col("class_id").alias("query_id"), splits)
-    shared = probes.join(held, ["code", "split"]).filter("query_id != class_id")
-    pairs = shared.select("query_id", "class_id").distinct()
+    probes = _postings(asked, "phases").select("code", F.col("near").alias("asked_near"), F.col("there").alias("asked_there"), F.col("class_id").alias("query_id")).distinct()
+    shared = probes.join(_postings(classes, "array(codes)"), "code").filter(f"query_id != class_id AND ({_BESIDE})")
+    pairs = materialise(shared.select("query_id", "class_id").distinct(), "fingerprint-pairs")
     both = pairs.join(classes.select("class_id", "codes"), "class_id").join(asked.select(F.col("class_id").alias("query_id"), "phases"), "query_id")
     kind = dict(classes.dtypes)["class_id"]
 

@@ -131,7 +131,7 @@ def test_audio_recall_on_recordings_cut_at_any_sample(spark):
         return bytes(np.clip(x + 128, 0, 255).astype(np.uint8))
 
     recordings = {}
-    for k in range(10):
+    for k in range(5):
         clean = melody(k)
         recordings[50 * k] = as_bytes(clean)
         recordings[50 * k + 1] = as_bytes(clean + rng.normal(0, 4, len(clean)))
@@ -140,10 +140,10 @@ def test_audio_recall_on_recordings_cut_at_any_sample(spark):
     recordings |= {1001: None, 1002: b"", 1003: b"\x80" * 5000, 1050: b"\x80" * 9000}
     frame = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in recordings.items()], "doc_id long, pcm binary")
     got = {(r.query_id, r.class_id): r for r in af.match_recordings(frame, "pcm", F.col("doc_id") % 50 == 0).collect() if r.query_id is not None}
-    want = brute_matches([50 * k for k in range(10)], {i: recordings[i] for i in recordings if i < 200 or i % 50 == 0})
+    want = brute_matches([50 * k for k in range(5)], {i: recordings[i] for i in recordings if i < 200 or i % 50 == 0})
     inside = {p for p in got if p[1] < 200 or p[1] % 50 == 0}
-    assert inside <= want and len(inside) >= 0.9 * len(want) >= 8
-    for k in range(10):
+    assert inside <= want and len(inside) >= 0.9 * len(want) >= 4
+    for k in range(5):
         assert abs(got[50 * k, 50 * k + 2].offset - (3200 + 7 * k + 1)) <= af.HOP // af.PHASES
     assert not any(1003 in p or 1050 in p for p in got)
 
