@@ -3,11 +3,18 @@
 Text statistics are exact and come from built-in functions only. The documents that pass the fixed
 base rules feed one quantile sketch per language, source and statistic: a log-linear histogram,
 ``SUB_BUCKETS`` buckets an octave, so a quantile is off by at most one part in ``SUB_BUCKETS``. Two
-sketches merge by adding counts, in any order; groups of fewer than ``MIN_DOCS`` documents use the
-sketch merged over their language, and small languages the one merged over everything. A statistic
-is out of bounds where it lies further from its group's median than ``SPREADS`` times the distance
-between median and lower (upper) quartile, and further than its margin. Medians and quartiles on
-the robust side keep a group that is up to half junk from hiding it.
+sketches merge by adding counts, in any order.
+
+A group's bounds come from its own sketch. Its upper bound is its 90th percentile and ``SPREADS``
+times what lies between that and its median; the lower one mirrors it at the 10th percentile. What
+lies outside the bounds of the next wider level (its language; for a language, everything) is left
+out of a group's sketch first if it is at most one part in ``CLIPPED`` of it, so that junk does not
+hide itself, while a source that differs as a whole keeps bounds of its own. Percentiles shrink
+towards the wider level's as if ``PRIOR_DOCS`` documents had been seen there: small groups lean on
+their language, large ones don't, and there is no switch between the two.
+
+A share that is bounded above is judged by its count: ``ALLOWANCE`` standard deviations of a count of
+that rate are allowed on top, so a short text with one or two marks passes even where the rest has none.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources form
 groups of their own; repeated rows give repeated results; an empty table gives an empty result;
@@ -28,13 +35,14 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SUB_BUCKETS = 32
-MIN_DOCS = 200
 SPREADS = 6
-#: Least distance from the median that counts as out of bounds: symbols and duplicate lines and
-#: repeated words in parts per million, mean word length in thousandths of a character.
-MARGINS = {"symbols": 30_000, "dup_lines": 400_000, "repeats": 300_000, "word_len": 2_000}
-#: Only these statistics can be too low.
-TWO_SIDED = ("word_len",)
+CLIPPED = 4
+PRIOR_DOCS = 100
+ALLOWANCE = 6
+#: Counts and what they are shares of; bounds of shares are in parts per million.
+SHARES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+#: Percentiles that a sketch is asked for.
+PERCENTILES = (10, 50, 90)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -84,17 +92,10 @@ def text_statistics(text: Column) -> Column:
     )
 
 
-def _ratio(part: str, whole: str, scale: int) -> Column:
-    return F.expr(f"{part} * {scale} div greatest({whole}, 1)")
-
-
 def _metrics() -> dict[str, Column]:
-    return {
-        "symbols": _ratio("n_symbols", "word_chars", 1_000_000),
-        "dup_lines": _ratio("n_dup_lines", "n_lines", 1_000_000),
-        "repeats": _ratio("n_repeat_words", "n_words", 1_000_000),
-        "word_len": _ratio("word_chars", "n_words", 1_000),
-    }
+    """Statistics of a row: shares in parts per million and the mean word length in thousandths."""
+    ratio = lambda part, whole, scale: F.expr(f"{part} * {scale} div greatest({whole}, 1)")
+    return {k: ratio(*of, 1_000_000) for k, of in SHARES.items()} | {"word_len": ratio("word_chars", "n_words", 1_000)}
 
 
 def _bucket_sql(value: str) -> str:
@@ -116,47 +117,43 @@ def build_sketches(stats: DataFrame) -> DataFrame:
     return long_form.withColumn("bucket", F.expr(_bucket_sql("value"))).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
-def sketch_quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles and median of every merged sketch, and how many values it holds."""
-    merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+def sketch_quantiles(sketches: DataFrame, keys: list[str], wider: DataFrame | None = None) -> DataFrame:
+    """Percentiles of every merged sketch, shrunk towards those of ``wider``, and its bounds.
+
+    wider: the same for a part of the keys; what lies outside its bounds is left out if it is a minority.
+    """
     group = W.partitionBy(*keys, "metric")
-    ranked = merged.select(
-        "*", F.sum("n").over(group.orderBy("bucket")).alias("below"), F.sum("n").over(group).alias("total")
-    )
-    quartile = lambda i: F.min(F.when(F.col("below") * 4 >= F.col("total") * i, F.col("bucket")))
+    merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n")).withColumn("value", F.expr(_bucket_low_sql("bucket")))
+    if wider is not None:
+        shared = [c for c in wider.columns if c in (*keys, "metric")]
+        merged = merged.join(wider.select(*shared, "low", "high", *[F.col(f"p{i}").alias(f"w{i}") for i in PERCENTILES]), shared)
+        inside = F.col("value").between(F.col("low"), F.col("high"))
+        merged = merged.withColumns({"inside": inside, "out": F.sum(F.when(~inside, F.col("n")).otherwise(0)).over(group), "all": F.sum("n").over(group)})
+        merged = merged.filter(F.col("inside") | (F.col("out") * CLIPPED > F.col("all")))
+    ranked = merged.withColumn("below", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
     found = ranked.groupBy(*keys, "metric").agg(
-        quartile(1).alias("b1"), quartile(2).alias("b2"), quartile(3).alias("b3"), F.max("total").alias("total")
-    )
-    return found.select(*keys, "metric", "total", *[F.expr(_bucket_low_sql(f"b{i}")).alias(f"q{i}") for i in (1, 2, 3)])
-
-
-def thresholds(sketches: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per language and source with a lower and an upper bound for each statistic."""
-    pack = F.struct("total", "q1", "q2", "q3")
-    own = sketch_quantiles(sketches, ["lang", "source"]).select("lang", "source", "metric", pack.alias("own"))
-    by_lang = sketch_quantiles(sketches, ["lang"]).select("lang", "metric", pack.alias("by_lang"))
-    overall = sketch_quantiles(sketches, []).select("metric", pack.alias("overall"))
-    chosen = (
-        own.join(by_lang, ["lang", "metric"])
-        .join(overall, ["metric"])
-        .select(
-            "lang", "source", "metric",
-            F.when(F.col("own.total") >= min_docs, F.col("own"))
-            .when(F.col("by_lang.total") >= min_docs, F.col("by_lang"))
-            .otherwise(F.col("overall")).alias("q"),
-        )
-    )
-    margin = F.create_map(*[F.lit(x) for kv in MARGINS.items() for x in kv])[F.col("metric")]
-    bounds = chosen.select(
-        "lang", "source", "metric",
-        (F.col("q.q2") - F.greatest(SPREADS * (F.col("q.q3") - F.col("q.q2")), margin)).alias("low"),
-        (F.col("q.q2") + F.greatest(SPREADS * (F.col("q.q2") - F.col("q.q1")), margin)).alias("high"),
+        F.max("total").alias("total"), *[F.min(F.when(F.col("below") * 100 >= F.col("total") * i, F.col("value"))).alias(f"p{i}") for i in PERCENTILES],
+        *([F.min(f"w{i}").alias(f"w{i}") for i in PERCENTILES] if wider is not None else []),
+    )
+    if wider is not None:
+        shrunk = {f"p{i}": F.expr(f"(total * p{i} + {PRIOR_DOCS} * w{i}) div (total + {PRIOR_DOCS})") for i in PERCENTILES}
+        found = found.withColumns(shrunk)
+    return found.select(
+        *keys, "metric", *[f"p{i}" for i in PERCENTILES],
+        (F.col("p10") - SPREADS * (F.col("p50") - F.col("p10"))).alias("low"), (F.col("p90") + SPREADS * (F.col("p90") - F.col("p50"))).alias("high"),
     )
+
+
+def thresholds(sketches: DataFrame) -> DataFrame:
+    """One row per language and source with an upper bound for each share and two bounds for word_len."""
+    overall = sketch_quantiles(sketches, [])
+    by_lang = sketch_quantiles(sketches, ["lang"], overall)
+    bounds = sketch_quantiles(sketches, ["lang", "source"], by_lang)
     pick = lambda k, side: F.max(F.when(F.col("metric") == k, F.col(side))).alias(f"{k}_{side}")
-    return bounds.groupBy("lang", "source").agg(*[pick(k, "high") for k in MARGINS], *[pick(k, "low") for k in TWO_SIDED])
+    return bounds.groupBy("lang", "source").agg(*[pick(k, "high") for k in (*SHARES, "word_len")], pick("word_len", "low"))
 
 
-def apply_quality_rules(docs: DataFrame, *, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def apply_quality_rules(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """Statistics, base verdict and adaptive verdict of every document (doc_id, text, lang, source)."""
     none = "\x00"  # stands for a null language or source in groups and joins
     stats = materialise(
@@ -168,9 +165,13 @@ def apply_quality_rules(docs: DataFrame, *, text: str = "text", min_docs: int =
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    limits = thresholds(materialise(build_sketches(stats.filter(~failed)), "quality-sketches"), min_docs)
-    metrics = _metrics()
-    bad = [metrics[k] > F.col(f"{k}_high") for k in MARGINS] + [metrics[k] < F.col(f"{k}_low") for k in TWO_SIDED]
+    # Written first: its size is then known, and it is sent to all tasks only if it is small.
+    limits = materialise(thresholds(materialise(build_sketches(stats.filter(~failed)), "quality-sketches")), "quality-limits")
+    word_len = _metrics()["word_len"]
+    bad = [(word_len > F.col("word_len_high")) | (word_len < F.col("word_len_low"))]
+    for k, (part, whole) in SHARES.items():
+        expected = F.col(whole) * F.col(f"{k}_high") / F.lit(1e6)
+        bad.append(F.col(part) > expected + F.lit(float(ALLOWANCE)) * F.sqrt(expected + F.lit(1.0)))
     outside = F.coalesce(reduce(lambda a, b: a | b, bad), F.lit(False))
     judged = stats.join(limits, ["lang", "source"], "left")
     return judged.select(
@@ -209,37 +210,43 @@ long_form AS (
   UNPIVOT (SELECT lang, source, symbols, dup_lines, repeats, word_len FROM judged WHERE NOT base_failed)
   ON symbols, dup_lines, repeats, word_len INTO NAME metric VALUE value),
 shifts AS (SELECT *, greatest(length(bin(value)) - 6, 0) AS sh FROM long_form),
-sketch AS (SELECT lang, source, metric, sh * 32 + (value >> sh) AS bucket, count(*) AS n FROM shifts GROUP BY ALL),
-levels AS (
-  SELECT lang, source, metric, bucket, sum(n) AS n, grouping(lang) AS gl, grouping(source) AS gs FROM sketch
-  GROUP BY GROUPING SETS ((lang, source, metric, bucket), (lang, metric, bucket), (metric, bucket))),
-ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY gl, gs, lang, source, metric ORDER BY bucket) AS below,
-         sum(n) OVER (PARTITION BY gl, gs, lang, source, metric) AS total FROM levels),
-quartiles AS (
-  SELECT gl, gs, lang, source, metric, max(total) AS total, min(bucket) FILTER (4 * below >= total) AS b1,
-         min(bucket) FILTER (4 * below >= 2 * total) AS b2, min(bucket) FILTER (4 * below >= 3 * total) AS b3
-  FROM ranked GROUP BY ALL),
-lows AS (
-  SELECT gl, gs, lang, source, metric, total,
-         (b1 - greatest(b1 // 32 - 1, 0) * 32) << greatest(b1 // 32 - 1, 0) AS q1,
-         (b2 - greatest(b2 // 32 - 1, 0) * 32) << greatest(b2 // 32 - 1, 0) AS q2,
-         (b3 - greatest(b3 // 32 - 1, 0) * 32) << greatest(b3 // 32 - 1, 0) AS q3 FROM quartiles),
-chosen AS (
-  SELECT o.lang, o.source, o.metric,
-         CASE WHEN o.total >= 200 THEN {'a': o.q1, 'b': o.q2, 'c': o.q3} WHEN l.total >= 200 THEN {'a': l.q1, 'b': l.q2, 'c': l.q3}
-              ELSE {'a': a.q1, 'b': a.q2, 'c': a.q3} END AS q
-  FROM lows o JOIN lows l ON l.gl = 0 AND l.gs = 1 AND l.lang = o.lang AND l.metric = o.metric
-  JOIN lows a ON a.gl = 1 AND a.metric = o.metric WHERE o.gl = 0 AND o.gs = 0),
-margins AS (SELECT * FROM (VALUES ('symbols', 30000), ('dup_lines', 400000), ('repeats', 300000), ('word_len', 2000)) t(metric, margin)),
+sketch AS (SELECT lang, source, metric, sh * 32 + (value >> sh) AS bucket, ((value >> sh) << sh) AS low_value, count(*) AS n FROM shifts GROUP BY ALL),
+all_ranked AS (
+  SELECT metric, low_value, sum(sum(n)) OVER (PARTITION BY metric ORDER BY low_value) AS below, sum(sum(n)) OVER (PARTITION BY metric) AS total
+  FROM sketch GROUP BY metric, low_value),
+all_bounds AS (
+  SELECT *, p10 - 6 * (p50 - p10) AS low, p90 + 6 * (p90 - p50) AS high FROM (
+    SELECT metric, min(low_value) FILTER (100 * below >= 10 * total) AS p10, min(low_value) FILTER (100 * below >= 50 * total) AS p50,
+           min(low_value) FILTER (100 * below >= 90 * total) AS p90 FROM all_ranked GROUP BY metric)),
+lang_cells AS (
+  SELECT s.lang, s.metric, s.low_value, sum(s.n) AS n, any_value(a.p10) AS w10, any_value(a.p50) AS w50, any_value(a.p90) AS w90,
+         bool_and(s.low_value BETWEEN a.low AND a.high) AS inside
+  FROM sketch s JOIN all_bounds a USING (metric) GROUP BY s.lang, s.metric, s.low_value),
+lang_kept AS (
+  SELECT * FROM (SELECT *, coalesce(sum(n) FILTER (NOT inside) OVER g, 0) AS n_out, sum(n) OVER g AS n_all FROM lang_cells WINDOW g AS (PARTITION BY lang, metric))
+  WHERE inside OR 4 * n_out > n_all),
+lang_ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, metric ORDER BY low_value) AS below, sum(n) OVER (PARTITION BY lang, metric) AS total FROM lang_kept),
+lang_bounds AS (
+  SELECT *, p10 - 6 * (p50 - p10) AS low, p90 + 6 * (p90 - p50) AS high FROM (
+    SELECT lang, metric, (total * q10 + 100 * w10) // (total + 100) AS p10, (total * q50 + 100 * w50) // (total + 100) AS p50, (total * q90 + 100 * w90) // (total + 100) AS p90
+    FROM (SELECT lang, metric, max(total) AS total, min(low_value) FILTER (100 * below >= 10 * total) AS q10, min(low_value) FILTER (100 * below >= 50 * total) AS q50,
+                 min(low_value) FILTER (100 * below >= 90 * total) AS q90, min(w10) AS w10, min(w50) AS w50, min(w90) AS w90 FROM lang_ranked GROUP BY lang, metric))),
+cells AS (SELECT s.*, l.p10 AS w10, l.p50 AS w50, l.p90 AS w90, s.low_value BETWEEN l.low AND l.high AS inside FROM sketch s JOIN lang_bounds l USING (lang, metric)),
+kept_cells AS (
+  SELECT * FROM (SELECT *, coalesce(sum(n) FILTER (NOT inside) OVER g, 0) AS n_out, sum(n) OVER g AS n_all FROM cells WINDOW g AS (PARTITION BY lang, source, metric))
+  WHERE inside OR 4 * n_out > n_all),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY low_value) AS below, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM kept_cells),
 bounds AS (
-  SELECT lang, source, metric, q.b - greatest(6 * (q.c - q.b), margin) AS low, q.b + greatest(6 * (q.b - q.a), margin) AS high
-  FROM chosen JOIN margins USING (metric)),
+  SELECT lang, source, metric, p10 - 6 * (p50 - p10) AS low, p90 + 6 * (p90 - p50) AS high FROM (
+    SELECT lang, source, metric, (total * q10 + 100 * w10) // (total + 100) AS p10, (total * q50 + 100 * w50) // (total + 100) AS p50, (total * q90 + 100 * w90) // (total + 100) AS p90
+    FROM (SELECT lang, source, metric, max(total) AS total, min(low_value) FILTER (100 * below >= 10 * total) AS q10, min(low_value) FILTER (100 * below >= 50 * total) AS q50,
+                 min(low_value) FILTER (100 * below >= 90 * total) AS q90, min(w10) AS w10, min(w50) AS w50, min(w90) AS w90 FROM ranked GROUP BY lang, source, metric))),
 outside AS (
-  SELECT DISTINCT rid FROM (
-    UNPIVOT (SELECT rid, lang, source, symbols, dup_lines, repeats, word_len FROM judged)
-    ON symbols, dup_lines, repeats, word_len INTO NAME metric VALUE value) v
-  JOIN bounds b USING (lang, source, metric) WHERE value > high OR (metric = 'word_len' AND value < low))
+  SELECT DISTINCT j.rid FROM judged j JOIN bounds b USING (lang, source)
+  WHERE (b.metric = 'word_len' AND (j.word_len > b.high OR j.word_len < b.low))
+     OR (b.metric = 'symbols' AND n_symbols > word_chars * b.high / 1e6::DOUBLE + 6 * sqrt(word_chars * b.high / 1e6::DOUBLE + 1))
+     OR (b.metric = 'dup_lines' AND n_dup_lines > n_lines * b.high / 1e6::DOUBLE + 6 * sqrt(n_lines * b.high / 1e6::DOUBLE + 1))
+     OR (b.metric = 'repeats' AND n_repeat_words > n_words * b.high / 1e6::DOUBLE + 6 * sqrt(n_words * b.high / 1e6::DOUBLE + 1)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND rid NOT IN (SELECT rid FROM outside) AS kept
 FROM judged

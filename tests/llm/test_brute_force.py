@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import audio_fingerprint as af
-from factloom.llm import edit_counts, near_dedup, rule_ensemble, token_files, unigram_pieces
+from factloom.llm import edit_counts, near_dedup, quality_rules, rule_ensemble, token_files, unigram_pieces
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -270,6 +270,30 @@ def test_word_cache_equals_the_library():
             assert ids[start:end].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_thresholds_differ_between_groups_and_resist_junk(spark):
+    """A source of code keeps its symbols; junk, a fifth of one source, moves no bounds."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    prose = lambda marks: " ".join(rng.choice(vocabulary) + (rng.choice("#$%&") * 2 if rng.random() < marks else "") for _ in range(60))
+    rows = [(i, prose(0.0), "en", "books") for i in range(2200)] + [(20_000 + i, prose(0.8), "en", "books") for i in range(60)]
+    rows += [(10_000 + i, prose(rng.uniform(0.4, 0.7)), "en", "code") for i in range(120)]
+    rows += [(11_000 + i, prose(0.0), "de", "books" if i < 150 else "news") for i in range(198)] + [(21_000 + i, prose(0.8), "de", "news") for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality_rules.apply_quality_rules(frame).filter("kept").collect()} == {r[0] for r in rows if r[0] < 20_000}
+    stats = frame.select("doc_id", "lang", "source", quality_rules.text_statistics(F.col("text")).alias("s")).select("doc_id", "lang", "source", "s.*")
+    bounds = {(r.lang, r.source): r.symbols_high for r in quality_rules.thresholds(quality_rules.build_sketches(stats)).collect()}
+    assert bounds["en", "code"] > 100_000 and bounds["en", "books"] == bounds["de", "books"] == bounds["de", "news"] == 0
+
+
+def test_sketches_merge_in_any_order(spark):
+    rows = [(i, "en" if i % 3 else "de", f"s{i % 5}", 60 + i, 300 + 7 * i, i % 9, i % 4, i % 30, 5 + i % 6) for i in range(400)]
+    names = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+    build = lambda part: quality_rules.build_sketches(spark.createDataFrame(part, names))
+    halves = build(rows[250:]).unionByName(build(rows[:250]))
+    key = lambda r: (r.lang, r.source)
+    assert sorted(quality_rules.thresholds(halves).collect(), key=key) == sorted(quality_rules.thresholds(build(rows)).collect(), key=key)
+
+
 def test_rule_ensemble_on_held_out_rows():
     rng = np.random.default_rng(0)
     x = rng.random((3000, len(rule_ensemble.FEATURES)))
