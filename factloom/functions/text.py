@@ -86,6 +86,13 @@ def clean_unicode(text: Column) -> Column:
     return clean(F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text))
 
 
+def folded(text: Column) -> Column:
+    """Full case folding; only texts that are not ASCII leave the JVM."""
+    from factloom.functions.udfs import casefold
+
+    return F.coalesce(casefold(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+
+
 def mentions(text: Column, labels: tuple[str, ...]) -> Column:
     """Whether the cleaned text holds one of the labels, in any case."""
     lowered = F.lower(text)

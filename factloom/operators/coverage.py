@@ -66,14 +66,37 @@ def accepted_sequence(states: DataFrame) -> DataFrame:
     return states.filter(F.col("status").startswith("captured")).withColumn("sequence_index", F.row_number().over(order))
 
 
-def legibility(lines: DataFrame) -> DataFrame:
-    """(capture_id, verdict): lines, their mean confidence and the share of legible heights decide."""
+def distinct_lines(lines: DataFrame, overlap: float = 0.6) -> DataFrame:
+    """Lines of every capture without repeats: of two that overlap by more than ``overlap`` of the smaller one the larger stays.
+
+    lines: capture_id, seq, left, top, right, bottom. A capture is one photograph, so its lines are
+    few; they are folded in one row, the largest first and the first read of equals.
+    """
+    area = lambda r: (r["right"] - r["left"]) * (r["bottom"] - r["top"])
+
+    def repeats(a: Column, b: Column) -> Column:
+        width = F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"])
+        height = F.least(a["bottom"], b["bottom"]) - F.greatest(a["top"], b["top"])
+        smaller = F.least(area(a), area(b))
+        return (width > 0) & (height > 0) & (smaller > 0) & (width * height / smaller > overlap)
+
+    sides = [F.col(c).cast("double").alias(c) for c in ("left", "top", "right", "bottom")]
+    here = F.struct(*sides)
+    row = F.struct((-area(here)).alias("minus"), F.col("seq").cast("long").alias("seq"), *sides)
+    listed = lines.groupBy("capture_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda done, r: F.when(F.exists(done, lambda d: repeats(d, r)), done).otherwise(F.concat(done, F.array(r))))
+    return listed.select("capture_id", F.explode(kept).alias("r")).select("capture_id", "r.seq", "r.left", "r.top", "r.right", "r.bottom")
+
+
+def legibility(lines: DataFrame, min_lines: int = 3) -> DataFrame:
+    """(capture_id, n, score, verdict): too few lines fail with half their legible share, else the mean confidence, or without any the legible share, decides."""
     stats = lines.groupBy("capture_id").agg(
         F.count("*").alias("n"), F.avg("confidence").alias("mean"), F.avg(F.when(F.col("legible"), 1.0).otherwise(0.0)).alias("share")
     )
-    score = F.coalesce("mean", "share")
+    few, told = F.col("n") < min_lines, F.coalesce("mean", "share")
     low, high = F.when(F.col("mean").isNull(), 0.30).otherwise(0.50), F.when(F.col("mean").isNull(), 0.60).otherwise(0.70)
-    verdict = F.when((F.col("n") < 3) | (score < low), "fail").when(score < high, "warn").otherwise("pass")
+    verdict = F.when(few | (told < low), "fail").when(told < high, "warn").otherwise("pass")
+    score = F.when(few, F.col("share") * 0.5).otherwise(F.greatest(F.least(told, F.lit(1.0)), F.lit(0.0)))
     return stats.select("capture_id", "n", score.alias("score"), verdict.alias("verdict"))
 
 

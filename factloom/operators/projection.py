@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import text as T
 from factloom.functions import values as V
 from factloom.schemas import CONTRACT_STATUSES, INTERNAL_FIELDS, PROJECTION, SNAPSHOT_VERSION, VALUE_STATUSES
 
@@ -48,6 +49,7 @@ def fact_problems(facts: DataFrame) -> DataFrame:
         (~valued & c("value").isNotNull(), "value without a status that carries one"),
         (valued & (c("artifact_id").isNull() | c("region_id").isNull()), "provenance missing"),
         ((c("status") == "DERIVED") & F.coalesce(F.size("source_fact_ids") < 1, F.lit(True)), "derivation missing"),
+        ((c("status") == "DECLARED_ABSENCE") & (F.trim(F.coalesce(c("note"), F.lit(""))) == ""), "absence without a stated basis"),
         ((c("status") == "CONFLICTING") & F.coalesce(F.size("conflicts") < 2, F.lit(True)), "fewer than two conflicting readings"),
         (~c("confidence").between(0, 1), "confidence out of range"),
         (~for_contract(c("status")).isin(*CONTRACT_STATUSES), "unknown status"),
@@ -59,10 +61,11 @@ def fact_problems(facts: DataFrame) -> DataFrame:
 
 
 def snapshot_problems(snapshots: DataFrame) -> DataFrame:
-    """(run_id, field, problem) of snapshot headers: version and ids."""
+    """(run_id, field, problem) of snapshot headers: version and ids; the extraction run's where the table has it."""
     checks = _problems(
         (~F.col("schema_version").eqNullSafe(F.lit(SNAPSHOT_VERSION)), "schema version"),
         (F.coalesce(F.trim("package_id"), F.lit("")) == "", "package id missing"),
+        *([(F.coalesce(F.trim("extraction_run_id"), F.lit("")) == "", "extraction run missing")] if "extraction_run_id" in snapshots.columns else []),
     )
     return snapshots.select("run_id", F.lit(None).cast("string").alias("field"), F.explode(checks).alias("problem"))
 
@@ -76,40 +79,85 @@ def quarantine(runs: DataFrame, diverged: DataFrame, problems: DataFrame) -> Dat
     return joined.withColumn("reason", reason).withColumn("released", reason.isNull())
 
 
-def fact_text(semantic: bool) -> Column:
-    """One fact as canonical text; the semantic form leaves out ids that a rerun may change."""
-    parts = {"field": F.col("field"), "status": for_contract(F.col("status")), "value": V.canonical(F.col("value")), "confidence": F.format_string("%.6f", F.col("confidence"))}
-    if not semantic:
-        parts |= {"fact_id": F.col("fact_id"), "region_id": F.col("region_id")}
-    items = [F.when(c.isNotNull(), F.concat(F.lit(f'"{k}":"'), c, F.lit('"'))) for k, c in sorted(parts.items())]
-    return F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}"))
-
-
-def hashes(facts: DataFrame) -> DataFrame:
-    """(run_id, content_hash, semantic_hash): sha-256 over a run's facts in the order of their fields."""
-    rows = facts.select("run_id", "field", fact_text(False).alias("full"), fact_text(True).alias("meaning"))
-    listed = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("field", "full", "meaning"))).alias("f"))
-    digest = lambda part: F.sha2(F.array_join(F.transform("f", lambda x: x[part]), ","), 256)
-    return listed.select("run_id", digest("full").alias("content_hash"), digest("meaning").alias("semantic_hash"))
-
-
-def status_counts(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("run_id", "status").agg(F.count("*").alias("n"))
+#: Keys that name a run instead of saying what was found.
+RUN_KEYS = ("fact_id", "region_id", "ocr_run_id")
+#: Optional columns of headers, with their types.
+HEADER = {
+    "as_of": "date", "country": "string", "state": "string", "sale_channel": "string", "is_imported": "boolean", "is_for_retail": "boolean",
+    "is_ecommerce_listing": "boolean", "classification_confidence": "double", "extraction_run_id": "string",
+}
+
+
+def _ordered(**parts: Column) -> Column:
+    """A struct with its keys in alphabetical order."""
+    return F.struct(*[parts[k].alias(k) for k in sorted(parts)])
+
+
+def _entry(facts: DataFrame, skip: tuple[str, ...]) -> Column:
+    """One fact of a document: what it says, where that was seen, how sure it is and what speaks against it."""
+    have = lambda name: F.col(name) if name in facts.columns else None
+    keep = lambda **parts: {k: v for k, v in parts.items() if v is not None and k not in skip}
+
+    def places(of: Column) -> Column:
+        return F.transform(of, lambda x: _ordered(**keep(artifact_id=x["artifact_id"], region_id=x["region_id"])))
+
+    seen = keep(artifact_id=have("artifact_id"), region_id=have("region_id"), ocr_run_id=have("ocr_run_id"), supporting=places(F.col("supporting")) if "supporting" in facts.columns else None)
+    derived = {"rule_id": F.lit("unit_sale_price/mrp-over-net-quantity"), "rule_version": F.lit(T.VERSION), "source_fact_ids": have("source_fact_ids")}
+    against = None
+    if isinstance(dict(facts.dtypes).get("conflicts"), str) and "struct" in dict(facts.dtypes)["conflicts"]:
+        against = F.transform(
+            "conflicts",
+            lambda x: _ordered(value=x["value"], confidence=F.round(x["confidence"], 4), provenance=_ordered(**keep(artifact_id=x["artifact_id"], region_id=x["region_id"]))),
+        )
+    told = for_contract(F.col("status"))
+    return _ordered(
+        **keep(
+            fact_id=have("fact_id"), field=F.col("field"), status=told, value=F.col("value"), confidence=F.round("confidence", 4),
+            provenance=F.when(F.col("artifact_id").isNotNull(), _ordered(**seen)) if "artifact_id" in facts.columns else None,
+            derivation=F.when(F.col("source_fact_ids").isNotNull(), _ordered(**derived)) if "source_fact_ids" in facts.columns else None,
+            conflicts=against, confidence_breakdown=have("breakdown"), note=F.when(F.col("note") != "", F.col("note")) if "note" in facts.columns else None,
+            internal_status=F.when(told != F.col("status"), F.col("status")),
+        )
+    )
 
 
 def snapshot_documents(facts: DataFrame, headers: DataFrame) -> DataFrame:
-    """(run_id, document): JSON of header, projection and facts, keys in alphabetical order."""
-    entry = F.struct(
-        F.col("confidence"), F.col("fact_id"), F.col("field"), F.col("field").isin(*PROJECTION).alias("is_contract_field"),
-        for_contract(F.col("status")).alias("status"), F.col("value"),
-    )
-    listed = facts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("field", entry.alias("entry")))).alias("f"))
-    body = listed.select("run_id", F.transform("f", lambda x: x["entry"]).alias("facts")).join(project(facts), "run_id").join(headers, "run_id")
-    blocks = {}
+    """(run_id, document, content_hash, semantic_hash) of every run of ``headers`` (run_id, package_id and any of ``HEADER``).
+
+    A document is JSON of header, typed blocks and facts, keys in alphabetical order, facts in the
+    order of their fields, nulls left out. The content hash covers all of it but the extraction run;
+    the semantic one also leaves out ``RUN_KEYS`` wherever they stand, so it moves only with the result.
+    """
+    valued = F.when(carries_value(F.col("status")), F.col("value"))
+    typed = [F.max(F.when(F.col("field") == f, valued)).alias(f.replace(".", "__")) for f in PROJECTION]
+    entries = F.array_sort(F.collect_list(F.struct("field", _entry(facts, ()).alias("full"), _entry(facts, RUN_KEYS).alias("meaning"))))
+    body = facts.groupBy("run_id").agg(entries.alias("f"), *typed)
+    known = headers.select("run_id", "package_id", *[(F.col(c) if c in headers.columns else F.lit(None)).cast(t).alias(c) for c, t in HEADER.items()])
+    joined = known.join(body, "run_id")
+    blocks: dict[str, dict[str, Column]] = {}
     for field, (block, key) in PROJECTION.items():
-        blocks.setdefault(block, {})[key] = F.col(field.replace(".", "__")).alias(key)
-    document = F.struct(
-        *[F.struct(*[c[k] for k in sorted(c)]).alias(b) for b, c in sorted(blocks.items())], F.col("facts"), F.col("package_id"), F.lit(SNAPSHOT_VERSION).alias("schema_version")
+        blocks.setdefault(block, {})[key] = F.col(field.replace(".", "__"))
+    blocks["commodity"]["classification_confidence"] = F.round("classification_confidence", 4)
+
+    def document(part: str, **more: Column) -> Column:
+        return _ordered(
+            schema_version=F.lit(SNAPSHOT_VERSION), package_id=F.col("package_id"), as_of=F.col("as_of"), jurisdiction=_ordered(country=F.coalesce("country", F.lit("IN")), state=F.col("state")),
+            commercial_context=_ordered(**{c: F.col(c) for c in ("sale_channel", "is_imported", "is_for_retail", "is_ecommerce_listing")}),
+            facts=F.transform("f", lambda x: x[part]), **{b: _ordered(**c) for b, c in blocks.items()}, **more,
+        )
+
+    return joined.select(
+        "run_id", F.to_json(document("full", extraction_run_id=F.col("extraction_run_id"))).alias("document"),
+        F.sha2(F.to_json(document("full")), 256).alias("content_hash"), F.sha2(F.to_json(document("meaning")), 256).alias("semantic_hash"),
     )
-    return body.select("run_id", F.to_json(document).alias("document"))
 
+
+def hashes(facts: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """(run_id, content_hash, semantic_hash) of the runs' documents; without headers a run's id names its package."""
+    if headers is None:
+        headers = facts.select("run_id").distinct().withColumn("package_id", F.col("run_id").cast("string"))
+    return snapshot_documents(facts, headers).select("run_id", "content_hash", "semantic_hash")
+
+
+def status_counts(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("run_id", "status").agg(F.count("*").alias("n"))

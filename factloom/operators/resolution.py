@@ -91,7 +91,7 @@ def value_groups(candidates: DataFrame) -> DataFrame:
     member = F.struct(
         (-(F.col("attribution_confidence") * F.col("recognition_confidence"))).alias("minus"), F.col("seq").cast("bigint").alias("seq"),
         "candidate_id", "artifact_id", "region_id", F.col("geom")["space"].alias("space"), box.cast(_BOX).alias("box"), value.alias("value"),
-        F.lower(T.clean(words)).alias("fold") if "fold" not in candidates.columns else F.col("fold"),
+        T.folded(T.clean(words)).alias("fold") if "fold" not in candidates.columns else F.col("fold"),
         F.col("recognition_confidence").alias("ocr"), F.col("attribution_confidence").alias("attribution"),
         F.coalesce("region_quality", F.lit(1.0)).alias("quality"),
     )
@@ -170,18 +170,26 @@ def identity_warnings(candidates: DataFrame) -> DataFrame:
     return groups.filter((F.size("groups") > 1) & (F.size(artifacts) > 1)).select("run_id", "field", F.size("groups").alias("n_values"))
 
 
-def near_duplicate_artifacts(texts: DataFrame, threshold: float = 0.85) -> DataFrame:
+def near_duplicate_artifacts(texts: DataFrame, threshold: float = 0.85, min_chars: int = 4) -> DataFrame:
     """(run_id, a, b, overlap) of artifacts whose sets of texts overlap: shared over the smaller set.
 
-    texts: run_id, artifact_id, clean. Pairs meet only on a text that both have.
+    texts: run_id, artifact_id, clean. Texts are compared case-folded, shorter ones than ``min_chars``
+    are ignored. A set of n texts that shares ``threshold`` of them with another shares one of its
+    n - ceil(threshold * n) + 1 rarest: only those are looked up, so frequent texts make no pairs.
     """
-    sets = texts.filter("clean != ''").select("run_id", "artifact_id", "clean").distinct()
-    sizes = sets.groupBy("run_id", "artifact_id").agg(F.count("*").alias("n"))
-    left, right = sets.withColumnRenamed("artifact_id", "a"), sets.withColumnRenamed("artifact_id", "b")
-    shared = left.join(right, ["run_id", "clean"]).filter("a < b").groupBy("run_id", "a", "b").agg(F.count("*").alias("shared"))
-    counted = shared.join(sizes.toDF("run_id", "a", "n_a"), ["run_id", "a"]).join(sizes.toDF("run_id", "b", "n_b"), ["run_id", "b"])
-    overlap = F.col("shared") / F.least("n_a", "n_b")
-    return counted.select("run_id", "a", "b", overlap.alias("overlap")).filter(F.col("overlap") >= threshold)
+    folded = texts.select("run_id", "artifact_id", T.folded(F.col("clean")).alias("text"))
+    sets = folded.filter(F.char_length("text") >= min_chars).distinct()
+    counts = sets.groupBy("run_id", "text").agg(F.count("*").alias("held"))
+    own = W.partitionBy("run_id", "artifact_id")
+    ranked = sets.join(counts, ["run_id", "text"]).select("*", F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("held", "text")).alias("rank"))
+    rare = ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    probe = rare.select("run_id", "text", F.col("artifact_id").alias("small"), F.col("n").alias("n_small"))
+    held = ranked.select("run_id", "text", F.col("artifact_id").alias("other"), F.col("n").alias("n_other"))
+    met = probe.join(held, ["run_id", "text"]).filter("small != other AND n_small <= n_other")
+    pairs = met.select("run_id", F.least("small", "other").alias("a"), F.greatest("small", "other").alias("b"), F.col("n_small").alias("least")).distinct()
+    side = lambda x: sets.select("run_id", F.col("artifact_id").alias(x), "text")
+    shared = pairs.join(side("a"), ["run_id", "a"]).join(side("b"), ["run_id", "b", "text"]).groupBy("run_id", "a", "b", "least").agg(F.count("*").alias("shared"))
+    return shared.select("run_id", "a", "b", (F.col("shared") / F.col("least")).alias("overlap")).filter(F.col("overlap") >= threshold)
 
 
 def surface_coverage(artifacts: DataFrame) -> DataFrame:

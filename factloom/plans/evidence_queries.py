@@ -101,7 +101,7 @@ _LINES_SQL = f"""{_ONCE}, lines AS (SELECT *, seq % 6 AS k FROM once)"""
  CASE k WHEN 0 THEN 'amount=' || printf('%.6f', q::DOUBLE) || '|currency=INR' WHEN 1 THEN 'qty=' || printf('%.6f', q::DOUBLE) || '|unit=g' WHEN 2 THEN 'text=2026-07'
  WHEN 3 THEN 'text=India' WHEN 4 THEN 'address=Pune|name=Maker ' || s END AS value, CASE WHEN seq % 2 = 0 THEN 0.97 ELSE 0.94 END::DOUBLE AS confidence FROM lines WHERE k < 5""")
 def attribute_candidates(spark, d):
-    found = attribution.attribute(extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=False, unicode=False))
+    found = attribution.attribute(extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=True, unicode=True))
     return found.select("run_id", "seq", "field", V.canonical(F.col("value")).alias("value"), F.col("attribution_confidence").alias("confidence"))
 
 
@@ -117,7 +117,7 @@ def status_counts(spark, d):
 
 
 def order_facts(spark, d):
-    return extraction.facts_of_lines(extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=False, unicode=False))
+    return extraction.facts_of_lines(extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=True, unicode=True))
 
 
 @query(f"""WITH {_ONCE}, g AS (SELECT run_id, count(DISTINCT q) FILTER (seq % 6 = 0) AS dm, max(q) FILTER (seq % 6 = 0) AS m, count(DISTINCT q) FILTER (seq % 6 = 1) AS dn,
@@ -147,25 +147,55 @@ def quarantine_split(spark, d):
     return projection.quarantine(runs, diverged, problems).select("run_id", "reason", "released")
 
 
-@query("""SELECT o_orderkey AS run_id, unnest(CASE o_orderkey % 4 WHEN 0 THEN ['value missing', 'provenance missing'] WHEN 1 THEN ['confidence out of range'] WHEN 2 THEN ['unknown field'] ELSE []::VARCHAR[] END) AS problem FROM orders""")
+@query("""SELECT o_orderkey AS run_id, unnest(CASE o_orderkey % 6 WHEN 0 THEN ['value missing', 'provenance missing'] WHEN 1 THEN ['confidence out of range'] WHEN 2 THEN ['unknown field']
+ WHEN 3 THEN ['absence without a stated basis'] WHEN 4 THEN ['fewer than two conflicting readings'] ELSE []::VARCHAR[] END) AS problem FROM orders""")
 def contract_problems(spark, d):
-    k = F.col("o_orderkey") % 4
+    k = F.col("o_orderkey") % 6
+    status = F.when(k == 0, "OBSERVED").when(k.isin(3, 5), "DECLARED_ABSENCE").when(k == 4, "CONFLICTING").otherwise("UNKNOWN")
     facts = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("run_id"), F.when(k == 2, "package.colour").otherwise("package.mrp").alias("field"), F.when(k == 0, "OBSERVED").otherwise("UNKNOWN").alias("status"),
+        F.col("o_orderkey").alias("run_id"), F.when(k == 2, "package.colour").otherwise("package.mrp").alias("field"), status.alias("status"),
         V.money(F.lit(None).cast("double")).alias("value"), F.when(k == 1, 1.5).otherwise(0.5).alias("confidence"), F.lit(None).cast("string").alias("artifact_id"),
         F.lit(None).cast("string").alias("region_id"), F.lit(None).cast("array<string>").alias("source_fact_ids"), F.lit(None).cast("array<string>").alias("conflicts"),
+        F.when(k == 3, "  ").when(k == 5, "The panel says it is not for sale.").alias("note"),
     )
     return projection.fact_problems(facts).select("run_id", "problem")
 
 
-@query("""SELECT o_orderkey AS run_id, sha256('{"confidence":"0.500000","field":"package.mrp","status":"OBSERVED","value":"amount=' || printf('%.6f', round(o_totalprice, 2)) || '|currency=INR"}') AS semantic_hash,
- sha256('{"confidence":"0.500000","fact_id":"F-1","field":"package.mrp","region_id":"R-1","status":"OBSERVED","value":"amount=' || printf('%.6f', round(o_totalprice, 2)) || '|currency=INR"}') AS content_hash FROM orders""")
+@query("""SELECT o_orderkey AS run_id, unnest(['presentation.letter_height_mm', 'presentation.principal_display_panel_area_mm2']) AS field, 'NOT_TESTABLE' AS status FROM orders""")
+def not_testable_fields(spark, d):
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"))
+    none = spark.createDataFrame([], "run_id long, field string, status string, confidence double, note string, fact_id string")
+    return resolution.not_testable(runs, none).select("run_id", "field", "status")
+
+
+_HEAD_SQL = """SELECT o_orderkey AS run_id, '{"as_of":"' || o_orderdate::DATE || '","commercial_context":{"is_ecommerce_listing":false,"is_for_retail":true,"is_imported":' || (o_orderkey % 2 = 0) || ',"sale_channel":"retail"},"commodity":{},"declarations":{},"facts":[' AS head,
+ '],"jurisdiction":{"country":"IN"},"package":{"mrp":' || v || '},"package_id":"PKG-' || o_orderkey || '","schema_version":"package-facts/1.1"}' AS tail, v
+ FROM (SELECT *, '{"kind":"money","amount":' || round(o_totalprice, 2)::DOUBLE || ',"currency":"INR"}' AS v FROM orders)"""
+
+
+@query(f"""SELECT run_id, sha256(head || '{{"confidence":0.5,"field":"package.mrp","note":"Single observation.","provenance":{{"artifact_id":"A-1"}},"status":"OBSERVED","value":' || v || '}}' || tail) AS semantic_hash,
+ sha256(head || '{{"confidence":0.5,"fact_id":"F-1","field":"package.mrp","note":"Single observation.","provenance":{{"artifact_id":"A-1","region_id":"R-1"}},"status":"OBSERVED","value":' || v || '}}' || tail) AS content_hash FROM ({_HEAD_SQL})""")
 def snapshot_hashes(spark, d):
-    facts = table(spark, d, "orders").select(
+    """Hashes over the whole document: header, typed blocks and facts."""
+    orders = table(spark, d, "orders")
+    facts = orders.select(
         F.col("o_orderkey").alias("run_id"), F.lit("package.mrp").alias("field"), F.lit("OBSERVED").alias("status"), V.money(F.col("o_totalprice")).alias("value"),
-        F.lit(0.5).alias("confidence"), F.lit("F-1").alias("fact_id"), F.lit("R-1").alias("region_id"),
+        F.lit(0.5).alias("confidence"), F.lit("F-1").alias("fact_id"), F.lit("A-1").alias("artifact_id"), F.lit("R-1").alias("region_id"), F.lit("Single observation.").alias("note"),
+    )
+    headers = orders.select(
+        F.col("o_orderkey").alias("run_id"), F.concat(F.lit("PKG-"), F.col("o_orderkey").cast("string")).alias("package_id"), F.col("o_orderdate").cast("date").alias("as_of"),
+        F.lit("retail").alias("sale_channel"), (F.col("o_orderkey") % 2 == 0).alias("is_imported"), F.lit(True).alias("is_for_retail"), F.lit(False).alias("is_ecommerce_listing"), F.lit("RUN").alias("extraction_run_id"),
     )
-    return projection.hashes(facts)
+    return projection.hashes(facts, headers)
+
+
+@query(f"""WITH {_ONCE} SELECT run_id, seq, q::DOUBLE AS amount FROM once""")
+def context_attribution(spark, d):
+    """A label and its price on two lines: the line above gives the price its field."""
+    lines = extraction.split_labels(once(spark, d))
+    found = attribution.attribute(extraction.prepared(lines)).filter("field = 'package.mrp'")
+    # The label line borrows the amount below it, the price line the label above it: one declaration.
+    return found.select("run_id", F.floor(F.col("seq") / 2).cast("int").alias("seq"), F.col("value")["amount"].alias("amount")).distinct()
 
 
 @query(f"""WITH {_ONCE} SELECT run_id, 'package.net_quantity' AS field, count(DISTINCT 500 + q % 3 * 100)::BIGINT AS n_values FROM once GROUP BY 1 HAVING count(DISTINCT q % 3) > 1 AND count(DISTINCT seq % 3) > 1""")
@@ -175,12 +205,14 @@ def package_identity_warnings(spark, d):
     return found.select("run_id", "field", F.col("n_values").cast("long").alias("n_values"))
 
 
-@query("""WITH sets AS (SELECT DISTINCT lang, doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS clean FROM documents), n AS (SELECT lang, doc_id, count(*) AS n FROM sets GROUP BY ALL),
+@query(r"""WITH l AS (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT lang, doc_id, replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), 'ß', 'ss') AS clean FROM l),
+ sets AS (SELECT DISTINCT lang, doc_id, clean FROM c WHERE length(clean) >= 4), n AS (SELECT lang, doc_id, count(*) AS n FROM sets GROUP BY ALL),
  s AS (SELECT x.lang, x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y ON x.lang = y.lang AND x.clean = y.clean AND x.doc_id < y.doc_id GROUP BY ALL)
  SELECT a, b, round(shared / least(na.n, nb.n), 9)::DOUBLE AS overlap FROM s JOIN n na ON na.doc_id = a AND na.lang = s.lang JOIN n nb ON nb.doc_id = b AND nb.lang = s.lang WHERE shared / least(na.n, nb.n) >= 0.85""")
 def near_duplicate_artifacts(spark, d):
     """Documents of a language as artifacts of one run, their lines as recognised texts."""
-    lines = table(spark, d, "documents").select(F.col("lang").alias("run_id"), F.col("doc_id").alias("artifact_id"), F.explode(F.split("text", "\n", -1)).alias("clean"))
+    lines = table(spark, d, "documents").select(F.col("lang").alias("run_id"), F.col("doc_id").alias("artifact_id"), F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = lines.withColumn("clean", T.clean_unicode(F.col("line")))
     return resolution.near_duplicate_artifacts(lines).select("a", "b", F.round("overlap", 9).alias("overlap"))
 
 
@@ -196,15 +228,18 @@ def surface_coverage(spark, d):
 @query()
 def extraction_pipeline(spark, d):
     """Lines to released snapshots: attribution with neighbours, resolution, validation, hashes."""
-    lines = extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=True, unicode=False)
+    lines = extraction.prepared(extraction.lines_of_orders(once(spark, d)), near=True, unicode=True)
     return extraction.snapshots(extraction.facts_of_lines(lines))
 
 
 @query()
 def resolved_documents(spark, d):
-    """Snapshot documents of all orders as JSON."""
+    """Snapshot documents of all orders as JSON, with their hashes."""
     facts = order_facts(spark, d)
-    headers = facts.select("run_id").distinct().withColumn("package_id", F.concat(F.lit("PKG-"), F.col("run_id").cast("string")))
+    headers = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("run_id"), F.concat(F.lit("PKG-"), F.col("o_orderkey").cast("string")).alias("package_id"), F.col("o_orderdate").cast("date").alias("as_of"),
+        F.lit("retail").alias("sale_channel"), F.lit(False).alias("is_imported"), F.lit(True).alias("is_for_retail"), F.lit(False).alias("is_ecommerce_listing"),
+    )
     return projection.snapshot_documents(facts, headers)
 
 

@@ -26,6 +26,16 @@ def lines_of_orders(once: DataFrame) -> DataFrame:
     )
 
 
+def split_labels(once: DataFrame) -> DataFrame:
+    """A price's label and its amount as two lines, one under the other, an artifact for each (run_id, seq)."""
+    part = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("M.R.P.").alias("text")), F.struct(F.lit(1).alias("k"), F.concat(F.lit("Rs. "), F.col("q").cast("string")).alias("text"))))
+    y = F.col("p.k") * 45.0 + 300
+    return once.select("run_id", "seq", part.alias("p")).select(
+        "run_id", F.concat(F.lit("A"), F.col("seq").cast("string")).alias("artifact_id"), (F.col("seq") * 2 + F.col("p.k")).alias("seq"), F.col("p.text").alias("text"),
+        G.bbox(F.lit(0.0), y, F.lit(300.0), y + 40).alias("geom"), F.lit(0.96).alias("confidence"), F.lit("front").alias("surface"),
+    )
+
+
 def prepared(lines: DataFrame, near: bool = True, unicode: bool = True) -> DataFrame:
     """Usable lines, cleaned once, with their neighbours' texts; ``unicode`` folds compatible forms."""
     cleaned = T.clean_unicode(F.col("text")) if unicode else T.clean(F.col("text"))
