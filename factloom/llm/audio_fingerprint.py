@@ -13,9 +13,9 @@
 4. A query and a class that share an integer are a pair, if of its neighbours ``BESIDE`` and twice as
    many integers away two in turn hardly differ: any run of the least length that holds the integer
    holds two such. All positions of shared integers then vote for their offset, a histogram for each
-   shift. Every offset with a vote is aligned, and the pair matches if a run of at least
-   ``MIN_OVERLAP`` integers has at most ``MAX_ERROR_RATE`` of its bits different. A pair's row tells
-   its best run.
+   shift. Offsets are aligned in turn, most votes first, until the pair matches or none is left: a
+   run of at least ``MIN_OVERLAP`` integers must have at most ``MAX_ERROR_RATE`` of its bits
+   different. A pair's row tells the best run at that offset.
 
 The index sees no pair without an equal integer: recall against every shift and offset is measured
 in the tests (at least 0.9). Neither buckets, offsets nor partners are capped. An integer that many
@@ -205,25 +205,32 @@ def best_run(a: np.ndarray, b: np.ndarray, offset: int, max_error_rate: float =
     return float(best[end]), low + start, length, int(wrong[start + length] - wrong[start])
 
 
-def voted_offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Offsets of b against a at which some integer other than silence is equal."""
+def voted_offsets(phases: list[np.ndarray], b: np.ndarray) -> list[tuple[int, int]]:
+    """(shift, offset) of b against a at which integers other than silence are equal: most votes first, then the least."""
     order = np.argsort(b, kind="stable")
     ranked = b[order]
+    a = np.concatenate(phases)
+    phase = np.repeat(np.arange(len(phases)), [len(p) for p in phases])
+    at = np.concatenate([np.arange(len(p)) for p in phases])
     low, high = np.searchsorted(ranked, a, "left"), np.searchsorted(ranked, a, "right")
-    at = np.flatnonzero((high > low) & (a != SILENT))
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *[p - order[lo:hi] for p, lo, hi in zip(at, low[at], high[at], strict=True)]]))
+    hits = np.where(a == SILENT, 0, high - low)
+    total = int(hits.sum())
+    if not total:
+        return []
+    places = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(total)
+    keys = (np.repeat(at, hits) - order[places]) * len(phases) + np.repeat(phase, hits)
+    found, votes = np.unique(keys, return_counts=True)
+    found = found[np.argsort(-votes, kind="stable")]
+    return list(zip((found % len(phases)).tolist(), (found // len(phases)).tolist(), strict=True))
 
 
 def best_alignment(phases: list[np.ndarray], b: np.ndarray, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> tuple[int, int, int] | None:
-    """(offset in samples, length, bit errors) of the best run at any shift and voted offset; the least offset of equals."""
-    found = None
-    for phase, a in enumerate(phases):
-        for offset in voted_offsets(a, b).tolist():
-            run = best_run(a, b, offset, max_error_rate, min_overlap)
-            if run:
-                row = (-run[0], offset * HOP + HOP * phase // PHASES, run[2], run[3])
-                found = row if found is None or row < found else found
-    return found[1:] if found else None
+    """(offset in samples, length, bit errors) of the best run at the first of ``voted_offsets`` that has one."""
+    for phase, offset in voted_offsets(phases, b):
+        run = best_run(phases[phase], b, offset, max_error_rate, min_overlap)
+        if run:
+            return offset * HOP + HOP * phase // PHASES, run[2], run[3]
+    return None
 
 
 def fingerprint_table(media: DataFrame, column: str, is_query) -> DataFrame:
@@ -258,14 +265,14 @@ def neighbours(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near.view(np.int64), there
 
 
-#: Two neighbours in turn, on both sides of a join, that hardly differ.
+#: Two neighbours in turn, of some place on either side of a join, that hardly differ.
 _BESIDE = " OR ".join(
-    f"(there & asked_there & {3 << k} = {3 << k} AND bit_count(shiftrightunsigned(near ^ asked_near, {16 * k}) & {0xFFFFFFFF}L) <= {BESIDE_BITS})" for k in range(3)
+    f"(h.there & a.there & {3 << k} = {3 << k} AND bit_count(shiftrightunsigned(h.near ^ a.near, {16 * k}) & {0xFFFFFFFF}L) <= {BESIDE_BITS})" for k in range(3)
 )
 
 
 def _postings(classes: DataFrame, codes: str) -> DataFrame:
-    """(code, near, there, class_id) of every integer of every class; ``codes`` is an array of packed integers."""
+    """(code, class_id, seen) of every integer of every class, with the neighbours of all its places; ``codes`` is an array of packed integers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,15 +280,22 @@ def _postings(classes: DataFrame, codes: str) -> DataFrame:
                 part = batch.slice(start, 512)
                 rows = [(i, c, *neighbours(c)) for i, packed in enumerate(part.column(1).to_pylist()) for c in (np.frombuffer(x, dtype="<u4") for x in packed)]
                 owner = np.repeat(np.array([r[0] for r in rows], dtype=np.int64), [len(r[1]) for r in rows])
-                flat = [np.concatenate([*[r[k] for r in rows], np.zeros(0, kind)]).astype(kind, copy=False) for k, kind in ((1, np.uint32), (2, np.int64), (3, np.int32))]
-                heard = flat[0] != SILENT
+                code, near, there = (np.concatenate([*[r[k] for r in rows], np.zeros(0, kind)]).astype(kind, copy=False) for k, kind in ((1, np.uint32), (2, np.int64), (3, np.int32)))
+                order = np.lexsort((there, near, code, owner))
+                order = order[code[order] != SILENT]
+                owner, code, near, there = owner[order], code[order], near[order], there[order]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
+                fresh = new.copy()
+                fresh[1:] |= (near[1:] != near[:-1]) | (there[1:] != there[:-1])
+                ends = np.append(np.flatnonzero(new[fresh]), int(fresh.sum())).astype(np.int32)
+                seen = pa.StructArray.from_arrays([pa.array(near[fresh]), pa.array(there[fresh])], names=["near", "there"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[0][heard].view(np.int32)), *[pa.array(x[heard]) for x in flat[1:]], part.column(0).take(pa.array(owner[heard]))],
-                    names=["code", "near", "there", "class_id"],
+                    [pa.array(code[new].view(np.int32)), part.column(0).take(pa.array(owner[new])), pa.ListArray.from_arrays(pa.array(ends), seen)], names=["code", "class_id", "seen"]
                 )
 
     kind = dict(classes.dtypes)["class_id"]
-    return classes.select("class_id", F.expr(codes).alias("packed")).mapInArrow(work, f"code int, near long, there int, class_id {kind}")
+    return classes.select("class_id", F.expr(codes).alias("packed")).mapInArrow(work, f"code int, class_id {kind}, seen array<struct<near:long,there:int>>")
 
 
 def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> DataFrame:
@@ -298,8 +312,9 @@ def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate:
     classes = known.groupBy("sound").agg(F.min("doc_id").alias("class_id"), F.first("codes").alias("codes"), phases)
     classes = materialise(classes, "fingerprint-classes")
     asked = classes.filter("phases is not null")
-    probes = _postings(asked, "phases").select("code", F.col("near").alias("asked_near"), F.col("there").alias("asked_there"), F.col("class_id").alias("query_id")).distinct()
-    shared = probes.join(_postings(classes, "array(codes)"), "code").filter(f"query_id != class_id AND ({_BESIDE})")
+    probes = _postings(asked, "phases").toDF("code", "query_id", "asked_seen")
+    beside = F.expr(f"exists(asked_seen, a -> exists(seen, h -> {_BESIDE}))")
+    shared = probes.join(_postings(classes, "array(codes)"), "code").filter((F.col("query_id") != F.col("class_id")) & beside)
     pairs = materialise(shared.select("query_id", "class_id").distinct(), "fingerprint-pairs")
     both = pairs.join(classes.select("class_id", "codes"), "class_id").join(asked.select(F.col("class_id").alias("query_id"), "phases"), "query_id")
     kind = dict(classes.dtypes)["class_id"]
