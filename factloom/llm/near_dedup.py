@@ -7,8 +7,9 @@
    chunk but for ``CHUNK_ERRORS`` symbols; every chunk is therefore indexed once for each choice of
    symbols to ignore, and such a pair is certain to share a key.
 3. Each bucket first compares all its members with one of them only, the one that shares most keys
-   with others (a star, not all pairs); those within ``MAX_DISTANCE`` over the whole signature are
-   confirmed on the full sets, and links give components. Most of a large group of near copies
+   with others (a star, not all pairs). Pairs within the guaranteed distance over the indexed
+   symbols, and those within ``MAX_DISTANCE`` over the whole signature besides, are confirmed on the
+   full sets, and links give components. Most of a large group of near copies
    falls into one component here, at linear cost.
 4. Members of a bucket that are still in different components are then compared with each other, in
    blocks of bounded size, by signature and, where that passes, on the full sets, each pair under
@@ -48,6 +49,8 @@ CHUNKS = 12
 CHUNK_SYMBOLS = 4
 CHUNK_ERRORS = 1
 MAX_DISTANCE = 58
+#: Every pair that differs in at most so many indexed symbols shares a key.
+GUARANTEED = CHUNKS * (CHUNK_ERRORS + 1) - 1
 BLOCK_ROWS = 1500
 BLOCK_SHINGLES = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -151,15 +154,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), HASHES)
 
 
+def _close(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differing symbols of each row of signatures, and whether they are few enough to look at the sets."""
+    differ = a != b
+    apart = differ.sum(axis=1)
+    return apart, (differ[:, : CHUNKS * CHUNK_SYMBOLS].sum(axis=1) <= GUARANTEED) | (apart <= MAX_DISTANCE)
+
+
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) within MAX_DISTANCE whose set sizes allow the similarity asked for."""
+    """Pairs (a, b) of close signatures whose set sizes allow the similarity asked for."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _batches(whole, 4096)):
             if batch.num_rows:
-                apart = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
-                yield batch.filter(pa.array(apart <= MAX_DISTANCE)).select(["a", "b"])
+                yield batch.filter(pa.array(_close(_matrix(batch.column(2)), _matrix(batch.column(3)))[1])).select(["a", "b"])
 
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILARITY_PERCENT
     joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b", "sig_a", "sig_b")
@@ -257,8 +266,8 @@ def _cross_links(members: DataFrame, sizes: DataFrame) -> DataFrame:
             agree = (indexed[at] == indexed[x]).reshape(len(at), CHUNKS, CHUNK_SYMBOLS).sum(axis=2)
             first = (agree >= CHUNK_SYMBOLS - CHUNK_ERRORS).argmax(axis=1) == chunk
             at = at[first & ((agree[:, chunk] == CHUNK_SYMBOLS - CHUNK_ERRORS) | (mask == 0))] if len(at) else at
-            apart = (signs[at] != signs[x]).sum(axis=1)
-            for y in at[np.argsort(apart, kind="stable")][: int((apart <= MAX_DISTANCE).sum())]:
+            apart, near = _close(signs[at], signs[x])
+            for y in at[near][np.argsort(apart[near], kind="stable")]:
                 if roots[x] != roots[y]:
                     both = _overlap(sets[x], sets[y])
                     if both * 100 >= (sizes[x] + sizes[y] - both) * SIMILARITY_PERCENT:
