@@ -3,10 +3,12 @@
 Shallow randomised trees are grown on a bounded sample of labelled documents; every path from a
 root is a rule, a conjunction of comparisons on statistics. A logistic model with lasso penalty
 weighs the rules, most weights become zero, and what is left is compiled into one Spark expression
-that scores every document inside code generation.
+that scores every document on the JVM.
 
 Only the fit sees labels, and only of rows whose crc32(id) mod ``FOLDS`` is not ``HELD_OUT``. The fit
 takes at most ``MAX_FIT_ROWS`` of them, in the order of a hash of the id; all documents are scored.
+Labels are counted first, and only those whose hash lies below the share that the bound leaves are
+sorted and sent to the driver, so what it gets does not grow with the labels.
 
 Defined cases: null and empty texts have all statistics zero and get a score like any other; without
 labels of both kinds the score is the smoothed share of label 1; repeated rows get repeated results;
@@ -208,6 +210,17 @@ def _marked(labels: DataFrame, label: str) -> DataFrame:
     return labels.select("doc_id", F.col(label).cast("double").alias("label")).filter(F.col("label").isin(0.0, 1.0) & (_fold() != HELD_OUT))
 
 
+def _first(rows: DataFrame, most: int, *ties: str) -> DataFrame:
+    """The first ``most`` rows in the order of a hash of their ids; hardly more than these are sorted."""
+    share = most / max(rows.count(), 1)
+    order = F.xxhash64("doc_id")
+    if share < 0.5:  # a hash is even: six standard deviations on top never leave too few
+        bound = int(2**64 * (share + 6 * (share / max(most, 1)) ** 0.5 * share**0.5)) - 2**63
+        some = rows.filter(order <= F.lit(min(bound, 2**63 - 1)).cast("long"))
+        rows = some if some.count() >= most else rows  # one id may repeat beyond all evenness
+    return rows.orderBy(order, "doc_id", *ties).limit(most)
+
+
 def _fit(sample: DataFrame) -> RuleEnsemble:
     rows = sample.select("label", *FEATURES).toPandas()
     return fit_rules(rows[list(FEATURES)].to_numpy(dtype=np.float64).reshape(-1, len(FEATURES)), rows["label"].to_numpy(dtype=np.float64))
@@ -216,15 +229,15 @@ def _fit(sample: DataFrame) -> RuleEnsemble:
 def fit_from(measured: DataFrame, labels: DataFrame, *, label: str = "quality", max_fit_rows: int = MAX_FIT_ROWS) -> RuleEnsemble:
     """Fit on measured rows: at most ``max_fit_rows`` labelled ones outside the held-out fold."""
     found = _marked(labels, label).join(measured, "doc_id")
-    return _fit(found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", *FEATURES).limit(max_fit_rows))
+    return _fit(_first(found, max_fit_rows, "label", *FEATURES))
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "quality", max_fit_rows: int = MAX_FIT_ROWS) -> RuleEnsemble:
     """Fit on texts: measures only those documents that at most ``max_fit_rows`` labels pick."""
-    picked = _marked(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_fit_rows)
+    picked = _first(_marked(labels, label), max_fit_rows, "label")
     measured = docs.select("doc_id", F.col(text).alias("__text")).join(F.broadcast(picked), "doc_id")
     measured = measured.select("doc_id", "label", statistics(F.col("__text")).alias("s")).select("doc_id", "label", "s.*")
-    return _fit(measured.orderBy(F.xxhash64("doc_id"), "doc_id", "label", *FEATURES).limit(max_fit_rows))
+    return _fit(_first(materialise(measured, "quality-sample"), max_fit_rows, "label", *FEATURES))
 
 
 def op6_rule_ensemble(spark, sf_dir: str) -> DataFrame:
