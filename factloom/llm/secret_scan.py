@@ -59,6 +59,11 @@ FEATURES = (
 )
 
 
+def _words(listed: list[str]) -> str:
+    """Pattern of these words as words or parts of identifiers: no letter stands beside them ("test", not "latest")."""
+    return r"(?<![a-z])(?:" + "|".join(listed) + r")s?(?![a-z])"
+
+
 def _share(value: Column, pattern: str) -> Column:
     """Share of the value's characters that a class of characters holds."""
     return F.char_length(F.regexp_replace(value, f"[^{pattern}]", "")) / F.greatest(F.char_length(value), F.lit(1))
@@ -105,8 +110,8 @@ def features(c: Column) -> dict[str, Column]:
         "address": _flag(F.lower(c["part"]).rlike(r"https?:|www\.|@|\.(?:com|org|net|io|example)\b")),
         "extension": _flag(F.lower(value).rlike(r"\.[a-z]{1,4}[0-9]?$")),
         "hex": _flag(F.lower(value).rlike("^(?:0x)?[0-9a-f]+$")),
-        "announced": _flag(around.rlike("|".join(ANNOUNCE))),
-        "example": _flag(around.rlike("|".join(EXAMPLES))),
+        "announced": _flag(around.rlike(_words(ANNOUNCE))),
+        "example": _flag(F.regexp_replace(around, r"\S*@\S*|https?://\S*", " ").rlike(_words(EXAMPLES))),
         "assigned": _flag(F.concat_ws(" ", c["before"], c["part"]).rlike(r"(?i)(?:" + "|".join(ANNOUNCE) + r")[a-z_]*[\"']?\s*[:=]")),
         "quoted": _flag(c["part"].rlike("[\"'`]")),
     }
