@@ -18,26 +18,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder. Only a local session without one gets a temporary folder (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of it.
 
-    This cuts lineage and survives lost executors; the folder belongs to the job and may be
-    removed once the job's result has been written.
+    This cuts lineage and survives lost executors; the folder belongs to the job. ``remove_scratch``
+    takes tables away that nothing reads any more.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """A mark for ``remove_scratch``: tables written from now on come after it."""
+    return len(_written)
+
+
+def remove_scratch(spark: SparkSession, since: int, until: int) -> None:
+    """Remove the tables that ``materialise`` wrote between two marks."""
+    jvm = spark.sparkContext._jvm
+    for path in _written[since:until]:
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable."""
     return F.transform(F.array(value), body)[0]

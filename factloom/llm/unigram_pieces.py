@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of scored pieces.
 
-The model file's pieces and log scores are read from its protocol buffer. Text is escaped the
+The model file's pieces and log scores are read from its protocol buffer; models whose normalizer
+rewrites characters or drops white space are refused, as their ids would differ. Text is escaped the
 SentencePiece way (a marker in front and for every space), and the best-scoring segmentation is
 found by Viterbi over the trie. Characters without a piece become their UTF-8 bytes' pieces, or the
 unknown piece in models without byte fallback.
@@ -86,7 +87,10 @@ class PieceModel:
                 scores.append(struct.unpack("<f", piece[2])[0])
                 types.append(piece[3])
             elif number == 3:
-                prefix = bool(dict(_fields(value)).get(3, 1))
+                settings = dict(_fields(value))
+                if settings.get(2) or settings.get(4, 1) or not settings.get(5, 1):
+                    raise ValueError("models that rewrite characters or white space before they segment are not supported")
+                prefix = bool(settings.get(3, 1))
         return cls(pieces, scores, types, prefix).build()
 
     def build(self) -> PieceModel:

@@ -256,6 +256,24 @@ def test_pieces_against_the_library():
             assert total(ours) >= total(theirs), text
 
 
+def test_decoding_on_spark(spark):
+    coder = unigram_pieces.PieceCoder(unigram_pieces.PieceModel.load(unigram_pieces.default_model()))
+    texts = ["plain words", " two  spaces ", "é一😀\n", ""]
+    rows = [(i, np.frombuffer(coder.encode(t), "<u4").tolist()) for i, t in enumerate(texts)] + [(9, None)]
+    got = {r.doc_id: r.text for r in unigram_pieces.decode_pieces(spark.createDataFrame(rows, "doc_id long, ids array<int>"), unigram_pieces.default_model()).collect()}
+    assert got == {**dict(enumerate(texts)), 9: ""}
+
+
+def test_models_that_rewrite_text_are_refused(tmp_path):
+    with open(unigram_pieces.default_model(), "rb") as f:
+        raw = f.read()
+    for settings in (b"\x12\x01x\x20\x00", b"\x20\x01", b""):  # a character map; white space dropped; the same by default
+        path = tmp_path / f"{len(settings)}.model"
+        path.write_bytes(raw + b"\x1a" + bytes([len(settings)]) + settings)
+        with pytest.raises(ValueError, match="not supported"):
+            unigram_pieces.PieceModel.load(str(path))
+
+
 def test_word_cache_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -270,6 +288,54 @@ def test_word_cache_equals_the_library():
             assert ids[start:end].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def plain_statistics(text):
+    """The statistics of one text in plain Python."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = {}
+    for i in range(len(words) - 2):
+        grams.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(3)}
+    n, chars, rows = max(len(words), 1), max(sum(map(len, words)), 1), max(len(lines), 1)
+    share = lambda letters: sum(text.count(c) for c in letters)
+    return {
+        "n_words": len(words), "word_len": sum(map(len, words)) / n, "symbols": share("#*$%&|<>") / chars, "dup_lines": (len(lines) - len(set(lines))) / rows,
+        "repeats": len(covered) / n, "upper": share(rule_ensemble.UPPER) / chars, "digits": share("0123456789") / chars, "marks": share("!?") / chars,
+        "distinct": len(set(words)) / n, "line_words": len(words) / rows, "bare": sum(len(w) == 1 for w in words) / n,
+    }
+
+
+def plain_score(model, values):
+    z = model.intercept + sum(w for conditions, w in model.rules if all((values[c.feature] > c.threshold) == c.above for c in conditions))
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_on_spark_equal_plain_ones(spark):
+    rng = random.Random(6)
+    pieces = ["word ", "Word! ", "a ", "12 ", "#$ ", "same line here\n", "x y z x y z ", "é漢 ", "\t", "\n"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(120)] + [None, "", " \n ", "word " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("#" not in (t or "")), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    measured = docs.select("doc_id", rule_ensemble.statistics(F.col("text")).alias("s")).select("doc_id", "s.*")
+    model = rule_ensemble.fit_from(measured, labels)
+    assert model.rules
+    for r in measured.select("*", model.column().alias("score")).collect():
+        want = plain_statistics(texts[r.doc_id])
+        assert all(abs(r[k] - v) < 1e-9 for k, v in want.items()), (r, want)
+        assert abs(r.score - plain_score(model, want)) < 1e-9
+    got = {r.doc_id: r.score for r in rule_ensemble.score_quality(docs, labels).collect()}
+    assert all(abs(got[i] - plain_score(model, plain_statistics(t))) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_bounded_sample_is_the_first_by_hash(spark):
+    frame = spark.range(5000).withColumnRenamed("id", "doc_id").withColumn("label", F.lit(1.0))
+    plain = [r.doc_id for r in frame.orderBy(F.xxhash64("doc_id")).limit(300).collect()]
+    assert [r.doc_id for r in rule_ensemble._first(frame, 300).collect()] == plain
+    same = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"))
+    assert rule_ensemble._first(same, 100).count() == 100
+
+
 def test_thresholds_differ_between_groups_and_resist_junk(spark):
     """A source of code keeps its symbols; junk, a fifth of one source, moves no bounds."""
     rng = random.Random(3)

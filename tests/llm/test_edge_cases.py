@@ -128,6 +128,41 @@ def test_secret_scan_takes_every_value_of_a_word(spark):
     assert clean[1] == "open https://example.com/very/long/path?token=<secret>&page=2 now"
 
 
+def plain_score(forest, values):
+    def walk(node):
+        while not isinstance(node, float):
+            feature, threshold, left, right = node
+            node = left if values[secret_scan.FEATURES[feature]] <= threshold else right
+        return node
+
+    return sum(map(walk, forest.trees)) / len(forest.trees)
+
+
+def test_secret_scores_equal_plain_trees(spark):
+    """The compiled expression against the trees walked in Python, on features that Spark and Python both compute."""
+    forest = secret_scan.Forest.fit(secret_scan.labelled_findings(spark, 900))
+    texts = [r.text for r in secret_scan.labelled_findings(spark, 200, seed=9).collect()]
+    texts += ["mail bob@mail6.example.com token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\" end", "latest contest password=hunter2Zx81kQpL0vRt done"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = frame.select("doc_id", F.explode(secret_scan.candidates(F.col("text"))).alias("c"))
+    features = rows.select("doc_id", "c.position", "c.value", *[v.alias(k) for k, v in secret_scan.features(F.col("c")).items()]).collect()
+    scored = {(r.doc_id, r.position, r.value): r for r in secret_scan.scan_secrets(frame, forest).collect()}
+    assert len(scored) == len({(r.doc_id, r.position, r.value) for r in features}) > 150
+    for r in features:
+        assert abs(scored[r.doc_id, r.position, r.value].score - plain_score(forest, r)) < 1e-9
+        assert r.length == len(r.value) and abs(r.digits - sum(c.isascii() and c.isdigit() for c in r.value) / len(r.value)) < 1e-9
+        assert r.slashes == r.value.count("/") and abs(r.distinct - len(set(r.value)) / len(r.value)) < 1e-9
+    planted = [r for r in scored.values() if r.doc_id >= 200]
+    assert all(r.is_secret for r in planted if r.value in ("9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "hunter2Zx81kQpL0vRt")) and len(planted) >= 2
+
+
+def test_secret_scan_of_very_long_texts(spark):
+    forest = secret_scan.Forest.fit(secret_scan.labelled_findings(spark, 900))
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    frame = spark.createDataFrame([(1, "plain words " * 20_000 + f'token = "{key}" ' + "more words " * 20_000)], "doc_id long, text string")
+    assert [(r.value, r.is_secret) for r in secret_scan.scan_secrets(frame, forest).collect()] == [(key, True)]
+
+
 def test_secret_forest_on_held_out_findings(spark):
     made = secret_scan.labelled_findings(spark, 1200, seed=3)
     forest = secret_scan.Forest.fit(secret_scan.labelled_findings(spark, 1200, seed=4))
