@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import let, materialise, table, word_count
+from factloom.llm.common import let, materialise, remove_scratch, scratch_mark, table, word_count
 from factloom.llm.mixing import mix_sources
 from factloom.llm.near_dedup import near_duplicates
 from factloom.llm.rule_ensemble import CUTOFF, fit_sample, statistics
@@ -80,6 +80,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
+    before = scratch_mark()
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        result = stage(spark, docs, sf_dir)
+        inner = scratch_mark()
+        docs = materialise(result, f"stage-{name}")
+        # What the stage wrote, and its input, are read no more once its result is written.
+        remove_scratch(spark, before, inner)
+        before = inner
     return docs
