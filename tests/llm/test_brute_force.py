@@ -198,12 +198,33 @@ def test_edits_equal_recounting():
                 low = min(start, len(text))
                 text = text[:low] + new + text[min(max(stop, low), len(text)) :]
                 assert tree.text == text and tree.total() == len(counter.encoding.encode_ordinary(text))
+                if rng.random() < 0.5:  # kept and taken up again
+                    encoded = tree.encoded
+                    tree = edit_counts.CountTree.kept(tree.text, *tree.state(), counter)
+                    tree.encoded = encoded
     long = edit_counts.CountTree("many words here " * 2000, counter)
     long.edit(16_000, 16_004, "new")
     assert long.encoded < 12  # of six thousand pre-tokens
     edit_counts.LEAF = 128
 
 
+def test_kept_trees_take_edits_without_recounting(spark, tmp_path):
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    counter = edit_counts.PieceCounter(ranks)
+    texts = ["many words here " * 3000, "short one", None, "", "don't  stop\n\n now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    edit_counts.build_trees(docs, ranks=ranks).write.parquet(str(tmp_path / "first"))
+    one = F.array(F.struct(F.lit(5).alias("start"), F.lit(9).alias("stop"), F.lit("new é").alias("text")))
+    edit_counts.edit_trees(spark.read.parquet(str(tmp_path / "first")), one, ranks=ranks).write.parquet(str(tmp_path / "second"))
+    again = edit_counts.edit_trees(spark.read.parquet(str(tmp_path / "second")).withColumn("n_tokens", F.col("n_edited_tokens")), one, ranks=ranks)
+    for r in again.collect():
+        text = texts[r.doc_id] or ""
+        for _ in range(2):
+            text = text[:5] + "new é" + text[9:]
+        assert r.text == text and r.n_edited_tokens == len(counter.encoding.encode_ordinary(text)) and r.n_reencoded < 12
+        assert sum(r.sizes) == len(text) and sum(r.counts) == r.n_edited_tokens == sum(r.leaf_tokens) and sum(r.leaf_chars) == len(text)
+
+
 def segmentations(text, model, coder):
     """Best score over every segmentation, by trying all."""
     score = {p: coder.score[i] for i, p in enumerate(model.pieces) if model.types[i] == unigram_pieces.NORMAL}

@@ -36,7 +36,9 @@ RUN = {
     "near_dedup": lambda s, d: near_dedup.near_duplicates(d),
     "mixing": lambda s, d: mixing.mix_sources(d.select("doc_id", "source", word_count(F.col("text")).alias("size"))),
     "pieces": lambda s, d: unigram_pieces.encode_pieces(d, unigram_pieces.default_model()),
-    "edits": lambda s, d: edit_counts.count_with_edits(d, edit_counts.revision(F.col("text"), F.col("doc_id")), ranks=tokenizers.path("byte_bpe_50k.tiktoken")),
+    "edits": lambda s, d: edit_counts.edit_trees(
+        edit_counts.build_trees(d, ranks=tokenizers.path("byte_bpe_50k.tiktoken")), edit_counts.revision(F.col("text"), F.col("doc_id")), ranks=tokenizers.path("byte_bpe_50k.tiktoken")
+    ),
 }
 
 
