@@ -115,3 +115,24 @@ def context_declared(revisions: DataFrame, *flags: str) -> DataFrame:
     for f in flags:
         answered = F.col(f).isNotNull() if answered is None else answered & F.col(f).isNotNull()
     return revisions.groupBy("product_id").agg(F.min(F.when(answered, F.col("revised_at"))).alias("declared_at"))
+
+
+def apply_step_events(events: DataFrame) -> DataFrame:
+    """(product_id, surface_id, accepted_capture_id, skip_reason) after all events, applied in the order of seq.
+
+    events: product_id, surface_id, seq, action (accept, retake, skip, clear), capture_id, reason. To
+    accept sets the capture and lifts a skip; to skip sets the reason and drops the capture; to clear
+    lifts a skip; to retake drops the capture if it is the accepted one. Only what lies after the
+    last event that sets or drops a part matters, so two windows say it without a fold.
+    """
+    step = W.partitionBy("product_id", "surface_id").orderBy("seq")
+    so_far = step.rowsBetween(W.unboundedPreceding, -1)
+    action = F.col("action")
+    setter = F.when(action == "accept", F.col("capture_id")).when(action == "skip", F.lit(""))
+    standing = F.last(setter, ignorenulls=True).over(so_far)
+    drops = (action == "retake") & (standing == F.col("capture_id"))
+    dropped = events.withColumn("__set", F.coalesce(setter, F.when(drops, F.lit(""))))
+    reason = F.when(action == "skip", F.coalesce("reason", F.lit("other"))).when(action.isin("accept", "clear"), F.lit(""))
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("seq")))
+    final = dropped.withColumn("__reason", reason).groupBy("product_id", "surface_id").agg(last(F.col("__set")).alias("c"), last(F.col("__reason")).alias("r"))
+    return final.select("product_id", "surface_id", F.nullif("c", F.lit("")).alias("accepted_capture_id"), F.nullif("r", F.lit("")).alias("skip_reason"))

@@ -100,3 +100,40 @@ def job_message(counts: DataFrame) -> DataFrame:
     """(run_id, message): a run's status counts as one line."""
     parts = counts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("status", "n"))).alias("c"))
     return parts.select("run_id", F.array_join(F.transform("c", lambda x: F.format_string("%d %s", x["n"], F.lower(x["status"]))), ", ").alias("message"))
+
+
+def session_artifacts(artifacts: DataFrame) -> DataFrame:
+    """Artifacts of every session in their order: place counts from 1, those without an index first."""
+    order = W.partitionBy("capture_session_id").orderBy(F.col("sequence_index").asc_nulls_first(), "artifact_id")
+    return artifacts.withColumn("place", F.row_number().over(order))
+
+
+def without_retakes(artifacts: DataFrame, verdicts: DataFrame, skip: bool = False) -> DataFrame:
+    """Artifacts to read: all, or with ``skip`` those that no quality verdict (artifact_id, verdict) sends back."""
+    return artifacts.join(verdicts.filter("verdict = 'RETAKE'").select("artifact_id"), "artifact_id", "left_anti") if skip else artifacts
+
+
+def quarantine_detail(runs: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """Every quarantined run with the reason and problems that its record holds, reviewed or not."""
+    held = quarantined.select("run_id", "reason", "problems", "quarantined_at", "reviewed_at")
+    return runs.filter("status = 'quarantined'").join(held, "run_id", "left")
+
+
+def extraction_job(products: DataFrame, images: DataFrame, steps: DataFrame) -> DataFrame:
+    """(product_id, payload): the JSON that asks for a product's extraction.
+
+    products: product_id, required, resolved, captured, complete. images: product_id, sequence_index,
+    artifact_id, surface, sha256. steps: product_id, surface_id, status, skip_reason, skip_note.
+    """
+    entry = F.struct("sequence_index", "artifact_id", "surface", "sha256")
+    listed = images.groupBy("product_id").agg(F.array_sort(F.collect_list(entry)).alias("images"))
+    of = lambda status: F.array_sort(F.collect_list(F.when(F.col("status") == status, F.col("surface_id"))))
+    skipped = F.array_sort(F.collect_list(F.when(F.col("status") == "skipped", F.struct("surface_id", F.col("skip_reason").alias("reason"), F.col("skip_note").alias("note")))))
+    told = steps.groupBy("product_id").agg(of("pending").alias("unresolved"), skipped.alias("skipped"), of("capturedNeedsReview").alias("review"))
+    joined = products.join(listed, "product_id", "left").join(told, "product_id", "left")
+    covered = F.struct(
+        F.col("required").alias("required_surfaces"), F.col("resolved").alias("resolved_surfaces"), F.col("captured").alias("captured_surfaces"), F.col("complete"),
+        F.coalesce("unresolved", F.array().cast("array<string>")).alias("unresolved_surfaces"), F.col("skipped").alias("skipped_surfaces"), F.col("review").alias("surfaces_needing_manual_review"),
+    )
+    body = F.struct(F.concat(F.lit("CS-"), F.col("product_id")).alias("capture_session_id"), F.concat(F.lit("PKG-"), F.col("product_id")).alias("package_id"), F.col("images"), covered.alias("coverage"))
+    return joined.select("product_id", F.to_json(body).alias("payload"))

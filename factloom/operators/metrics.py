@@ -104,3 +104,33 @@ def latency_p95(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def separates(auc: Column) -> Column:
     return F.abs(auc - 0.5) > 0.15
+
+
+def engine_rollup(scored: DataFrame, latencies: DataFrame) -> DataFrame:
+    """Per engine: mean error rates over matched lines, mean and 95th latency; 0 where there is nothing to average.
+
+    scored: engine, cer, wer of every prediction that has a truth region; latencies: engine, ms.
+    """
+    rates = scored.groupBy("engine").agg(F.avg("cer").alias("mean_cer"), F.avg("wer").alias("mean_wer"), F.count("*").alias("matched"))
+    times = latencies.groupBy("engine").agg(F.avg("ms").alias("mean_latency_ms")).join(latency_p95(latencies, ["engine"], "ms").withColumnRenamed("p95", "p95_latency_ms"), "engine")
+    return rates.join(times, "engine", "full").na.fill(0)
+
+
+#: Features of which a low value is bad; of all others a high one is.
+LOW_IS_BAD = {
+    "blur_laplacian_variance": True, "rms_contrast": True, "mean_luminance": True,
+    "clipped_fraction": False, "largest_specular_blob_fraction": False, "dominant_edge_skew_degrees": False,
+}
+
+
+def calibration(samples: DataFrame) -> DataFrame:
+    """Per feature: AUC, how many samples it rests on, and whether it tells failures from successes (samples: feature, value, failed)."""
+    found = roc_auc(samples, ["feature"])
+    return found.select("feature", F.round("auc", 4).alias("roc_auc"), F.col("samples").alias("sample_count"), F.coalesce(separates(F.col("auc")), F.lit(False)).alias("separates_failures"))
+
+
+def calibration_candidates(samples: DataFrame) -> DataFrame:
+    """Per feature and cutoff: confusion counts, the bad side being the feature's own."""
+    low = F.col("feature").isin(*[f for f, is_low in LOW_IS_BAD.items() if not is_low])
+    sides = [threshold_sweep(samples.filter(~low), ["feature"], True), threshold_sweep(samples.filter(low), ["feature"], False)]
+    return sides[0].unionByName(sides[1])

@@ -292,3 +292,132 @@ def field_scores(spark, d):
         F.min("l_returnflag").alias("low"), F.max("l_returnflag").alias("high")
     )
     return metrics.field_scores(rows.filter("n % 2 = 0").select("image", "field", F.col("low").alias("value")), rows.filter("n % 3 <> 0").select("image", "field", F.col("high").alias("value")))
+
+
+@query("""SELECT l_returnflag AS engine, avg(l_discount)::DOUBLE AS mean_cer, avg(l_tax)::DOUBLE AS mean_wer, count(*) AS matched, avg(l_extendedprice)::DOUBLE AS mean_latency_ms,
+ (list_sort(list(l_extendedprice)))[1 + floor(count(*) * 95 / 100)::INT]::DOUBLE AS p95_latency_ms FROM lineitem GROUP BY 1""")
+def engine_rollup(spark, d):
+    """Return flags as engines, discounts and taxes as error rates, prices as latencies."""
+    rows = table(spark, d, "lineitem").withColumn("engine", F.col("l_returnflag"))
+    scored = rows.select("engine", F.col("l_discount").alias("cer"), F.col("l_tax").alias("wer"))
+    found = metrics.engine_rollup(scored, rows.select("engine", F.col("l_extendedprice").alias("ms")))
+    return found.select("engine", *[F.col(c).cast("double").alias(c) for c in ("mean_cer", "mean_wer")], "matched", *[F.col(c).cast("double").alias(c) for c in ("mean_latency_ms", "p95_latency_ms")])
+
+
+_SAMPLES_SQL = """samples AS (SELECT CASE l_linenumber % 2 WHEN 0 THEN 'rms_contrast' ELSE 'clipped_fraction' END AS feature, l_quantity::DOUBLE AS value, l_returnflag = 'R' AS failed FROM lineitem)"""
+
+
+def _samples(spark, d):
+    feature = F.when(F.col("l_linenumber") % 2 == 0, "rms_contrast").otherwise("clipped_fraction")
+    return table(spark, d, "lineitem").select(feature.alias("feature"), F.col("l_quantity").cast("double").alias("value"), (F.col("l_returnflag") == "R").alias("failed"))
+
+
+@query(f"""WITH {_SAMPLES_SQL}, p AS (SELECT feature, value, count(*) FILTER (failed) AS bad, count(*) FILTER (NOT failed) AS good FROM samples GROUP BY 1, 2),
+ a AS (SELECT x.feature, sum(x.bad * y.good * CASE WHEN x.value < y.value THEN 1.0 WHEN x.value = y.value THEN 0.5 ELSE 0 END) / (sum(x.bad * y.good)) AS auc FROM p x JOIN p y USING (feature) GROUP BY 1)
+ SELECT feature, round(auc, 4)::DOUBLE AS roc_auc, (SELECT count(*) FROM samples s WHERE s.feature = a.feature) AS sample_count, abs(auc - 0.5) > 0.15 AS separates_failures FROM a""")
+def calibration(spark, d):
+    return metrics.calibration(_samples(spark, d))
+
+
+@query(f"""WITH {_SAMPLES_SQL}, t AS (SELECT DISTINCT feature, value AS threshold FROM samples)
+ SELECT t.feature, threshold, count(*) FILTER (bad AND failed) AS true_positive, count(*) FILTER (bad AND NOT failed) AS false_positive, count(*) FILTER (NOT bad AND failed) AS false_negative,
+ count(*) FILTER (NOT bad AND NOT failed) AS true_negative FROM (SELECT t.*, s.failed, CASE t.feature WHEN 'rms_contrast' THEN s.value < t.threshold ELSE s.value > t.threshold END AS bad FROM t JOIN samples s USING (feature)) t GROUP BY 1, 2""")
+def calibration_candidates(spark, d):
+    return metrics.calibration_candidates(_samples(spark, d))
+
+
+@query("""WITH e AS (SELECT user_id AS product_id, event_id % 4 AS surface_id, event_id AS seq, ['accept', 'retake', 'skip', 'clear', 'accept'][1 + event_id // 4 % 5] AS action, 'C' || event_id // 4 % 3 AS capture_id, 'r' || event_id % 3 AS reason FROM events),
+ f AS (SELECT product_id, surface_id, list_reduce(list_prepend({'a': 'begin', 'c': '', 'c2': '', 'r': '', 'r2': ''}, list({'a': action, 'c': '', 'c2': capture_id, 'r': '', 'r2': reason} ORDER BY seq)),
+ lambda s, x: {'a': x.a, 'c': CASE x.a WHEN 'accept' THEN x.c2 WHEN 'skip' THEN '' WHEN 'retake' THEN CASE WHEN s.c = x.c2 THEN '' ELSE s.c END ELSE s.c END, 'c2': '',
+ 'r': CASE x.a WHEN 'skip' THEN x.r2 WHEN 'accept' THEN '' WHEN 'clear' THEN '' ELSE s.r END, 'r2': ''}) AS s FROM e GROUP BY 1, 2)
+ SELECT product_id, surface_id, nullif(s.c, '') AS accepted_capture_id, nullif(s.r, '') AS skip_reason FROM f""")
+def step_transitions(spark, d):
+    """Events of four surfaces a user, folded by windows here and one by one in the SQL."""
+    e = table(spark, d, "events")
+    kinds = F.array(*[F.lit(k) for k in ("accept", "retake", "skip", "clear", "accept")])
+    turn = F.floor(F.col("event_id") / 4)
+    rows = e.select(
+        F.col("user_id").alias("product_id"), (F.col("event_id") % 4).alias("surface_id"), F.col("event_id").alias("seq"), F.get(kinds, (turn % 5).cast("int")).alias("action"),
+        F.concat(F.lit("C"), (turn % 3).cast("string")).alias("capture_id"), F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")).alias("reason"),
+    )
+    return coverage.apply_step_events(rows)
+
+
+@query("""SELECT l_orderkey AS capture_session_id, l_linenumber AS artifact_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_quantity > 5 THEN l_quantity END ASC NULLS FIRST, l_linenumber)::INT AS place
+ FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) WHERE NOT (l_linenumber = 2 AND l_quantity > 40)""")
+def session_artifacts(spark, d):
+    """Artifacts in their sessions' order, without those that their quality sends back."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("capture_session_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").alias("q"))
+    rows = rows.withColumn("artifact_id", F.concat_ws("-", "capture_session_id", "n")).withColumn("sequence_index", F.when(F.col("q") > 5, F.col("q")))
+    verdicts = rows.filter("n = 2 AND q > 40").select("artifact_id", F.lit("RETAKE").alias("verdict"))
+    found = ingest.session_artifacts(ingest.without_retakes(rows, verdicts, skip=True))
+    return found.select("capture_session_id", F.col("n").alias("artifact_id"), "place")
+
+
+@query("""SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'projection_facts_divergence' END AS reason, o_orderkey % 6 = 0 AS reviewed FROM orders WHERE o_orderstatus = 'F'""")
+def quarantine_detail(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "quarantined").otherwise("completed").alias("status"))
+    held = orders.filter("run_id % 3 = 0").select(
+        "run_id", F.lit("projection_facts_divergence").alias("reason"), F.array(F.lit("package.mrp")).alias("problems"), F.lit(1).alias("quarantined_at"), F.when(F.col("run_id") % 6 == 0, 2).alias("reviewed_at")
+    )
+    return ingest.quarantine_detail(orders, held).select("run_id", "reason", F.col("reviewed_at").isNotNull().alias("reviewed"))
+
+
+@query("""SELECT o_orderkey AS product_id, '{"capture_session_id":"CS-' || o_orderkey || '","package_id":"PKG-' || o_orderkey || '","images":[{"sequence_index":1,"artifact_id":"A1","surface":"front","sha256":"aa"},{"sequence_index":2,"artifact_id":"A2","surface":"back","sha256":"bb"}],'
+ || '"coverage":{"required_surfaces":3,"resolved_surfaces":3,"captured_surfaces":2,"complete":true,"unresolved_surfaces":[],"skipped_surfaces":[{"surface_id":"left","reason":"notPresent"}],"surfaces_needing_manual_review":["back"]}}' AS payload FROM orders""")
+def extraction_job_payloads(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("product_id"))
+    image = lambda i, a, s, h: F.struct(F.lit(i).alias("sequence_index"), F.lit(a).alias("artifact_id"), F.lit(s).alias("surface"), F.lit(h).alias("sha256"))
+    step = lambda s, t, r=None: F.struct(F.lit(s).alias("surface_id"), F.lit(t).alias("status"), F.lit(r).cast("string").alias("skip_reason"), F.lit(None).cast("string").alias("skip_note"))
+    images = orders.select("product_id", F.inline(F.array(image(2, "A2", "back", "bb"), image(1, "A1", "front", "aa"))))
+    steps = orders.select("product_id", F.inline(F.array(step("front", "captured"), step("back", "capturedNeedsReview"), step("left", "skipped", "notPresent"))))
+    products = orders.select("product_id", F.lit(3).alias("required"), F.lit(3).alias("resolved"), F.lit(2).alias("captured"), F.lit(True).alias("complete"))
+    made = ingest.extraction_job(products, images, steps)
+    return made.select(F.col("product_id").cast("long").alias("product_id"), "payload")
+
+
+@query("""SELECT event_id, ['queued', 'inFlight', 'succeeded', 'queued', 'succeeded'][1 + (event_id // 3) % 5] AS retried,
+ CASE event_id % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failedPermanent' ELSE 'queued' END AS status, (event_id % 7 + 2)::INT AS attempt_count, event_id % 7 + 1 >= 3 OR event_id % 20 >= 15 AS manual FROM events""")
+def retry_and_attempts(spark, d):
+    """Manual retry, the transition after an attempt, and the gate to manual entry."""
+    e = table(spark, d, "events")
+    status = F.get(F.array(*[F.lit(s) for s in ("queued", "inFlight", "succeeded", "failedPermanent", "succeeded")]), (F.floor(F.col("event_id") / 3) % 5).cast("int"))
+    outcome = F.when(F.col("event_id") % 3 == 0, "succeeded").when(F.col("event_id") % 3 == 1, "permanent").otherwise("network")
+    after = upload_queue.after_attempt(outcome, (F.col("event_id") % 7 + 1).cast("int"))
+    return e.select(
+        "event_id", upload_queue.retried(status).alias("retried"), after["status"].alias("status"), after["attempt_count"].alias("attempt_count"),
+        coverage.manual_entry_allowed(F.col("event_id") % 7 + 1, F.col("event_id") % 20).alias("manual"),
+    )
+
+
+@query("""SELECT l_orderkey AS product_id, coalesce(min(l_linenumber) FILTER (l_returnflag <> 'N' AND l_quantity > 10), 0)::INT AS declared_at FROM lineitem GROUP BY 1""")
+def context_declared(spark, d):
+    """The first revision of an order's lines that answers both flags."""
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("product_id"), F.col("l_linenumber").cast("int").alias("revised_at"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "R").alias("imported"),
+        F.when(F.col("l_quantity") > 10, F.lit(True)).alias("retail"),
+    )
+    return coverage.context_declared(rows, "imported", "retail").na.fill(0)
+
+
+@query("""WITH p AS (SELECT l_orderkey AS image, l_linenumber AS i, l_quantity * 4.0 AS x FROM lineitem), t AS (SELECT DISTINCT l_orderkey AS image, k AS j, k * 25.0 AS x FROM lineitem, range(0, 8) r(k)),
+ o AS (SELECT p.image, i, j, greatest(0, 100 - abs(p.x - t.x)) / (200 - greatest(0, 100 - abs(p.x - t.x))) AS iou FROM p JOIN t USING (image))
+ SELECT image, i, j::INT AS j FROM (SELECT *, row_number() OVER (PARTITION BY image, i ORDER BY iou DESC, j DESC) AS n FROM o WHERE iou >= 0.5) WHERE n = 1""")
+def best_truth(spark, d):
+    """Boxes in a row: the truth region that a prediction overlaps most, the last of equals."""
+    from factloom.functions import geometry as G
+
+    lines = table(spark, d, "lineitem")
+    at = lambda x: G.bbox(x, F.lit(0.0), x + 100, F.lit(10.0))
+    predictions = lines.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("ordinal"), at(F.col("l_quantity").cast("double") * 4).alias("geom"))
+    truths = lines.select(F.col("l_orderkey").alias("image")).distinct().withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return metrics.best_truth(predictions, truths.withColumn("geom", at(F.col("ordinal") * 25.0)))
+
+
+@query("""SELECT l_orderkey AS capture_id, l_linenumber AS seq FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber // 2 ORDER BY l_linenumber % 2 DESC) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) WHERE n = 1""")
+def distinct_lines(spark, d):
+    """Every odd line holds the even one before it: of a pair the larger, odd one stays."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("capture_id"), F.col("l_linenumber").alias("seq")).distinct()
+    top, odd = F.floor(F.col("seq") / 2) * 50.0, F.col("seq") % 2
+    boxes = rows.select("capture_id", "seq", F.lit(0.0).alias("left"), top.alias("top"), (100.0 + odd * 100).alias("right"), (top + 20).alias("bottom"))
+    return coverage.distinct_lines(boxes).select("capture_id", F.col("seq").cast("int").alias("seq"))
