@@ -189,13 +189,23 @@ def snapshot_hashes(spark, d):
     return projection.hashes(facts, headers)
 
 
-@query(f"""WITH {_ONCE} SELECT run_id, seq, q::DOUBLE AS amount FROM once""")
+@query(f"""WITH {_ONCE} SELECT run_id, seq, CASE seq % 3 WHEN 0 THEN 'package.mrp' WHEN 1 THEN 'declarations.best_before' ELSE 'declarations.consumer_care' END AS field,
+ CASE seq % 3 WHEN 0 THEN 'amount=' || printf('%.6f', q::DOUBLE) || '|currency=INR' WHEN 1 THEN 'text=2027-01' ELSE 'text=Consumer Care: care' || q || '@acme.example' END AS value FROM once""")
 def context_attribution(spark, d):
-    """A label and its price on two lines: the line above gives the price its field."""
-    lines = extraction.split_labels(once(spark, d))
-    found = attribution.attribute(extraction.prepared(lines)).filter("field = 'package.mrp'")
-    # The label line borrows the amount below it, the price line the label above it: one declaration.
-    return found.select("run_id", F.floor(F.col("seq") / 2).cast("int").alias("seq"), F.col("value")["amount"].alias("amount")).distinct()
+    """A label and what it labels on two lines: each of them lends the other what it lacks."""
+    found = attribution.attribute(extraction.prepared(extraction.split_labels(once(spark, d))))
+    # The label's line borrows the amount below it, the amount's line the label above it: one declaration.
+    return found.select("run_id", F.floor(F.col("seq") / 2).cast("int").alias("seq"), "field", V.canonical(F.col("value")).alias("value")).distinct()
+
+
+@query(f"""WITH {_ONCE}, k AS (SELECT *, seq % 8 AS k FROM once)
+ SELECT run_id, seq, ['declarations.best_before', 'package.unit_sale_price', 'declarations.consumer_care', 'declarations.generic_name', 'declarations.importer', 'declarations.packer'][1 + k] AS field,
+ CASE k WHEN 0 THEN 'text=2027-01' WHEN 1 THEN 'amount=' || printf('%.6f', q::DOUBLE) || '|currency=INR|per_unit=g|per_value=1.000000' WHEN 2 THEN 'text=Consumer Care: care' || q || '@acme.example'
+ WHEN 3 THEN 'text=Refined Sunflower Oil' WHEN 4 THEN 'address=Mumbai|name=Gamma ' || s ELSE 'address=Nashik|name=Beta ' || s END AS value, 0.97::DOUBLE AS confidence FROM k WHERE k < 6""")
+def other_declarations(spark, d):
+    """Best before, unit price, care, generic name, importer and packer; marketers and offers are none."""
+    found = attribution.attribute(extraction.prepared(extraction.other_lines(once(spark, d))))
+    return found.select("run_id", F.floor(F.col("seq") / 2).cast("int").alias("seq"), "field", V.canonical(F.col("value")).alias("value"), F.col("attribution_confidence").alias("confidence"))
 
 
 @query(f"""WITH {_ONCE} SELECT run_id, 'package.net_quantity' AS field, count(DISTINCT 500 + q % 3 * 100)::BIGINT AS n_values FROM once GROUP BY 1 HAVING count(DISTINCT q % 3) > 1 AND count(DISTINCT seq % 3) > 1""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import geometry as G
@@ -26,16 +26,36 @@ def lines_of_orders(once: DataFrame) -> DataFrame:
     )
 
 
-def split_labels(once: DataFrame) -> DataFrame:
-    """A price's label and its amount as two lines, one under the other, an artifact for each (run_id, seq)."""
-    part = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("M.R.P.").alias("text")), F.struct(F.lit(1).alias("k"), F.concat(F.lit("Rs. "), F.col("q").cast("string")).alias("text"))))
+def _alone(once: DataFrame, *texts: Column) -> DataFrame:
+    """An artifact for each (run_id, seq) with these texts as lines, one under the other."""
+    part = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), t.alias("text")) for k, t in enumerate(texts)]))
     y = F.col("p.k") * 45.0 + 300
-    return once.select("run_id", "seq", part.alias("p")).select(
+    return once.select("run_id", "seq", part.alias("p")).filter("p.text is not null").select(
         "run_id", F.concat(F.lit("A"), F.col("seq").cast("string")).alias("artifact_id"), (F.col("seq") * 2 + F.col("p.k")).alias("seq"), F.col("p.text").alias("text"),
         G.bbox(F.lit(0.0), y, F.lit(300.0), y + 40).alias("geom"), F.lit(0.96).alias("confidence"), F.lit("front").alias("surface"),
     )
 
 
+def split_labels(once: DataFrame) -> DataFrame:
+    """A label and what it labels as two lines: a price, a date or a contact by line number."""
+    k, number = F.col("seq") % 3, F.col("q").cast("string")
+    label = F.when(k == 0, "M.R.P.").when(k == 1, "Best Before").otherwise("Consumer Care:")
+    told = F.when(k == 0, F.concat(F.lit("Rs. "), number)).when(k == 1, "01/2027").otherwise(F.concat(F.lit("care"), number, F.lit("@acme.example")))
+    return _alone(once, label, told)
+
+
+def other_lines(once: DataFrame) -> DataFrame:
+    """Lines of the kinds that ``lines_of_orders`` lacks, each in an artifact of its own."""
+    k, number, maker = F.col("seq") % 8, F.col("q").cast("string"), F.col("s").cast("string")
+    return _alone(
+        once,
+        F.when(k == 0, "Best Before: 01/2027").when(k == 1, F.concat(F.lit("Unit Sale Price: Rs "), number, F.lit(" per g")))
+        .when(k == 2, F.concat(F.lit("Consumer Care: care"), number, F.lit("@acme.example"))).when(k == 3, "Generic Name: Refined Sunflower Oil")
+        .when(k == 4, F.concat(F.lit("Imported by: Gamma "), maker, F.lit(", Mumbai"))).when(k == 5, F.concat(F.lit("Packed by Beta "), maker, F.lit(", Nashik")))
+        .when(k == 6, F.concat(F.lit("Marketed by Delta "), maker)).otherwise(F.concat(F.lit("Special offer Rs. "), number)),
+    )
+
+
 def prepared(lines: DataFrame, near: bool = True, unicode: bool = True) -> DataFrame:
     """Usable lines, cleaned once, with their neighbours' texts; ``unicode`` folds compatible forms."""
     cleaned = T.clean_unicode(F.col("text")) if unicode else T.clean(F.col("text"))
