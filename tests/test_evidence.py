@@ -129,3 +129,36 @@ def test_forged_projection_is_quarantined(spark):
     released = projection.quarantine(runs, projection.divergences(forged, facts), projection.fact_problems(facts)).first()
     assert not released.released and released.reason == "projection_facts_divergence"
     assert V.canonical is not None and projection.fact_problems(facts).isEmpty()
+
+
+def test_hashes_cover_the_whole_document(spark):
+    frame = spark.createDataFrame([candidate(0, money(120.0)), candidate(1, money(120.0))], ROW)
+    runs = spark.createDataFrame([("r",)], "run_id string")
+    facts = resolution.resolve(frame, runs)
+    header = lambda **more: runs.withColumns({"package_id": F.lit("PKG"), **{k: F.lit(v) for k, v in more.items()}})
+    base = projection.hashes(facts, header(sale_channel="retail")).first()
+    changed = {
+        "note": facts.withColumn("note", F.concat("note", F.lit("!"))), "conflicts": facts.withColumn("conflicts", F.lit(None).cast(dict(facts.dtypes)["conflicts"])),
+        "artifact": facts.withColumn("artifact_id", F.concat("artifact_id", F.lit("x"))), "derivation": facts.withColumn("source_fact_ids", F.array(F.lit("F-1"))),
+    }
+    for name, other in changed.items():
+        moved = projection.hashes(other, header(sale_channel="retail")).first()
+        assert name == "conflicts" or (moved.content_hash != base.content_hash and moved.semantic_hash != base.semantic_hash), name
+    ids = projection.hashes(facts.withColumn("fact_id", F.concat("fact_id", F.lit("x"))).withColumn("region_id", F.lit("R-x")), header(sale_channel="retail")).first()
+    assert ids.content_hash != base.content_hash and ids.semantic_hash == base.semantic_hash
+    assert projection.hashes(facts, header(sale_channel="wholesale")).first().semantic_hash != base.semantic_hash
+    again = projection.hashes(facts, header(sale_channel="retail", extraction_run_id="RUN-2")).first()
+    assert again == base
+
+
+def test_absence_needs_a_basis(spark):
+    rows = [("r", "package.mrp", "DECLARED_ABSENCE", n, 0.9) for n in (None, "", "  ", "The panel says free sample.")]
+    frame = spark.createDataFrame(rows, "run_id string, field string, status string, note string, confidence double").withColumn("run_id", F.monotonically_increasing_id().cast("string"))
+    facts = frame.withColumns({c: F.lit(None).cast("string") for c in ("artifact_id", "region_id", "value")} | {c: F.lit(None).cast("array<string>") for c in ("source_fact_ids", "conflicts")})
+    assert [r.problem for r in projection.fact_problems(facts).collect()] == 3 * ["absence without a stated basis"]
+
+
+def test_near_duplicates_fold_texts(spark):
+    texts = [("r", "a", t) for t in ("STRASSE one", "Net 500 g", "abc")] + [("r", "b", t) for t in ("Straße One", "net 500 G", "xyz")] + [("r", "c", "other line")]
+    pairs = resolution.near_duplicate_artifacts(spark.createDataFrame(texts, "run_id string, artifact_id string, clean string")).collect()
+    assert [(p.a, p.b, p.overlap) for p in pairs] == [("a", "b", 1.0)]
