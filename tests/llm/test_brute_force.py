@@ -171,11 +171,11 @@ def test_audio_recall_on_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: (r.text or "").encode()[:12_000] for r in docs.select("doc_id", "text").collect()}
     grams = lambda t: {t[i : i + 40] for i in range(0, len(t) - 39)}
-    queries = [i for i in sorted(texts) if i % 50 == 0]
+    queries = [i for i in sorted(texts) if i % 50 == 0][:6]
     asked = set().union(*[grams(texts[i]) for i in queries])
     some = {i: t for i, t in texts.items() if i in queries or any(t[k : k + 40] in asked for k in range(0, len(t) - 39, 7))}
     frame = spark.createDataFrame([(i, bytearray(t)) for i, t in some.items()], "doc_id long, pcm binary")
-    got = {(r.query_id, r.class_id) for r in af.match_recordings(frame, "pcm", F.col("doc_id") % 50 == 0).collect() if r.query_id is not None}
+    got = {(r.query_id, r.class_id) for r in af.match_recordings(frame, "pcm", F.col("doc_id").isin(queries)).collect() if r.query_id is not None}
     want = brute_matches(queries, some)
     assert got <= want and len(got) >= 0.9 * len(want) > 0
 
