@@ -8,18 +8,19 @@ from factloom.plans.registry import query, table
 from factloom.sources import files
 
 
-@query("""WITH w AS (SELECT doc_id AS image, i, string_split(text, chr(10))[1] AS l FROM (SELECT doc_id, text, unnest(range(0, len(string_split(string_split(text, chr(10))[1], ' ')))) AS i FROM documents)),
- t AS (SELECT image, i, string_split(l, ' ')[1 + i] AS text, i // 5 AS line FROM w) SELECT image, line::INT AS line, string_agg(text, ' ' ORDER BY i) AS text, min(i % 5) * 50 AS l, max(i % 5) * 50 + 40 AS r, round(avg(50 + i % 5) / 100, 9) AS confidence,
- (row_number() OVER (PARTITION BY image ORDER BY min(i)) - 1)::INT AS seq FROM t WHERE trim(text) <> '' GROUP BY image, line""")
+@query("""WITH p AS (SELECT doc_id AS image, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS par FROM documents),
+ w AS (SELECT image, par, unnest(string_split(l, ' ')) AS text, generate_subscripts(string_split(l, ' '), 1) - 1 AS i FROM p), t AS (SELECT *, i // 5 AS line FROM w)
+ SELECT image, par::INT AS par, line::INT AS line, string_agg(text, ' ' ORDER BY i) AS text, min(i % 5) * 50 AS l, max(i % 5) * 50 + 40 AS r, round(avg(50 + i % 5) / 100, 9) AS confidence,
+ (row_number() OVER (PARTITION BY image ORDER BY par, min(i)) - 1)::INT AS seq FROM t WHERE trim(text) <> '' GROUP BY image, par, line""")
 def words_to_lines(spark, d):
-    """Words of each document's first line as recognised words, five to a printed line."""
-    first = F.split(F.get(F.split("text", "\n", -1), F.lit(0)), " ", -1)
-    words = table(spark, d, "documents").select(F.col("doc_id").alias("image"), F.posexplode(first).alias("seq", "text"))
+    """Words of whole documents as recognised words: a paragraph for each of their lines, five words to a printed line."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("image"), F.posexplode(F.split("text", "\n", -1)).alias("par", "l"))
+    words = lines.select("image", "par", F.posexplode(F.split("l", " ", -1)).alias("i", "text"))
     laid = words.select(
-        "image", F.lit(1).alias("page"), F.lit(1).alias("block"), F.lit(1).alias("par"), F.floor(F.col("seq") / 5).cast("int").alias("line"), "seq", "text",
-        (F.lit(50.0) + F.col("seq") % 5).alias("confidence"), (F.col("seq") % 5 * 50).alias("x"), F.lit(0).alias("y"), F.lit(40).alias("w"), F.lit(20).alias("h"),
-    )
-    return files.words_to_lines(laid).select("image", "line", "text", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), F.round("confidence", 9).alias("confidence"), "seq")
+        "image", F.lit(1).alias("page"), F.lit(1).alias("block"), "par", F.floor(F.col("i") / 5).cast("int").alias("line"), (F.col("par") * F.lit(2**32) + F.col("i")).alias("seq"), "text",
+        (F.lit(50.0) + F.col("i") % 5).alias("confidence"), (F.col("i") % 5 * 50).alias("x"), (F.col("par") * 30).alias("y"), F.lit(40).alias("w"), F.lit(20).alias("h"),
+    )
+    return files.words_to_lines(laid).select("image", "par", "line", "text", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), F.round("confidence", 9).alias("confidence"), "seq")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'qr' WHEN 1 THEN 'ean13' WHEN 2 THEN 'upca' ELSE 'other' END AS symbology, CASE WHEN p_partkey % 4 = 0 THEN 'liveScan' ELSE 'manualEntry' END AS entry_mode FROM part""")
