@@ -31,17 +31,33 @@ ROLES = (
     ("marketer", ("marketed by", "marketer")),
 )
 UNITS = {
-    "g": "g gm gms gram grams ग्राम", "kg": "kg kgs kilogram kilograms किग्रा", "mg": "mg milligram milligrams",
-    "ml": "ml mls millilitre milliliter मिली", "l": "l ltr ltrs litre liter litres liters", "cm": "cm centimetre centimeter",
-    "mm": "mm millimetre millimeter", "m": "m metre meter", "N": "n no nos pcs pieces units u",
+    "g": ("g", "gm", "gms", "gram", "grams", "ग्राम"),
+    "kg": ("kg", "kgs", "kilogram", "kilograms", "किग्रा"),
+    "mg": ("mg", "milligram", "milligrams"),
+    "ml": ("ml", "mls", "millilitre", "milliliter", "मिली"),
+    "l": ("l", "ltr", "ltrs", "litre", "liter", "litres", "liters"),
+    "cm": ("cm", "centimetre", "centimeter"),
+    "mm": ("mm", "millimetre", "millimeter"),
+    "m": ("m", "metre", "meter"),
+    "N": ("n", "no", "nos", "pcs", "pieces", "units", "u"),
 }
 BASE_UNITS = {
     "mg": ("g", 0.001), "g": ("g", 1.0), "kg": ("g", 1000.0), "ml": ("ml", 1.0), "l": ("ml", 1000.0),
     "mm": ("mm", 1.0), "cm": ("mm", 10.0), "m": ("mm", 1000.0), "N": ("N", 1.0),
 }
 MONTHS = (
-    "jan january", "feb february", "mar march", "apr april", "may", "jun june", "jul july", "aug august", "sep sept september",
-    "oct october", "nov november", "dec december",
+    ("jan", "january"),
+    ("feb", "february"),
+    ("mar", "march"),
+    ("apr", "april"),
+    ("may",),
+    ("jun", "june"),
+    ("jul", "july"),
+    ("aug", "august"),
+    ("sep", "sept", "september"),
+    ("oct", "october"),
+    ("nov", "november"),
+    ("dec", "december"),
 )
 LETTER = r"a-zA-Zऀ-ॿ"
 MONEY = r"(?i)(?:₹|rs\.?|inr|rupees)\s*([0-9OolIS,. /-]+)"
@@ -133,7 +149,7 @@ def mentions_not_for_retail(text: Column) -> Column:
 
 def unit_of(token: Column) -> Column:
     """Canonical unit of a spelling, or null."""
-    spellings = {alias: unit for unit, names in UNITS.items() for alias in names.split()}
+    spellings = {alias: unit for unit, names in UNITS.items() for alias in names}
     return F.try_element_at(_map(spellings), F.lower(token))
 
 
@@ -172,7 +188,7 @@ def normal_year(year: Column) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    names = {n: i + 1 for i, row in enumerate(MONTHS) for n in row.split()}
+    names = {n: i + 1 for i, row in enumerate(MONTHS) for n in row}
     return F.try_element_at(_map(names), F.lower(name))
 
 

@@ -309,7 +309,7 @@ def engine_rollup(spark, d):
 _SAMPLES_SQL = """samples AS (SELECT CASE l_linenumber % 2 WHEN 0 THEN 'rms_contrast' ELSE 'clipped_fraction' END AS feature, l_quantity::DOUBLE AS value, l_returnflag = 'R' AS failed FROM lineitem)"""
 
 
-def _samples(spark, d):
+def _engine_samples(spark, d):
     feature = F.when(F.col("l_linenumber") % 2 == 0, "rms_contrast").otherwise("clipped_fraction")
     return table(spark, d, "lineitem").select(feature.alias("feature"), F.col("l_quantity").cast("double").alias("value"), (F.col("l_returnflag") == "R").alias("failed"))
 
@@ -318,14 +318,14 @@ def _samples(spark, d):
  a AS (SELECT x.feature, sum(x.bad * y.good * CASE WHEN x.value < y.value THEN 1.0 WHEN x.value = y.value THEN 0.5 ELSE 0 END) / (sum(x.bad * y.good)) AS auc FROM p x JOIN p y USING (feature) GROUP BY 1)
  SELECT feature, round(auc, 4)::DOUBLE AS roc_auc, (SELECT count(*) FROM samples s WHERE s.feature = a.feature) AS sample_count, abs(auc - 0.5) > 0.15 AS separates_failures FROM a""")
 def calibration(spark, d):
-    return metrics.calibration(_samples(spark, d))
+    return metrics.calibration(_engine_samples(spark, d))
 
 
 @query(f"""WITH {_SAMPLES_SQL}, t AS (SELECT DISTINCT feature, value AS threshold FROM samples)
  SELECT t.feature, threshold, count(*) FILTER (bad AND failed) AS true_positive, count(*) FILTER (bad AND NOT failed) AS false_positive, count(*) FILTER (NOT bad AND failed) AS false_negative,
  count(*) FILTER (NOT bad AND NOT failed) AS true_negative FROM (SELECT t.*, s.failed, CASE t.feature WHEN 'rms_contrast' THEN s.value < t.threshold ELSE s.value > t.threshold END AS bad FROM t JOIN samples s USING (feature)) t GROUP BY 1, 2""")
 def calibration_candidates(spark, d):
-    return metrics.calibration_candidates(_samples(spark, d))
+    return metrics.calibration_candidates(_engine_samples(spark, d))
 
 
 @query("""WITH e AS (SELECT user_id AS product_id, event_id % 4 AS surface_id, event_id AS seq, ['accept', 'retake', 'skip', 'clear', 'accept'][1 + event_id // 4 % 5] AS action, 'C' || event_id // 4 % 3 AS capture_id, 'r' || event_id % 3 AS reason FROM events),
