@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import audio_fingerprint, conversation_repair, edit_counts, html_template, mixing, near_dedup, quality_rules, rule_ensemble, secret_scan, token_files, unigram_pieces
+from factloom.llm import audio_fingerprint, conversation_repair, edit_counts, hard_negatives, html_template, mixing, near_dedup, quality_rules, rule_ensemble, secret_scan, token_files, unigram_pieces
 
 QUERIES = {
     "op1_audio_fingerprint": audio_fingerprint.op1_audio_fingerprint,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_html_template": html_template.op10_html_template,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
