@@ -119,6 +119,55 @@ def boundary_gradient(image: np.ndarray) -> float:
     return float(np.abs(np.concatenate(steps)).mean())
 
 
+def edge_pixels(grey: np.ndarray, low: float = 60.0, high: float = 180.0) -> np.ndarray:
+    """Thin edges: ridges of the gradient above ``low`` that are connected with one above ``high``."""
+    v = np.pad(grey.astype(np.float64), 1, mode="edge")
+    across, down = v[:-2] + 2 * v[1:-1] + v[2:], v[:, :-2] + 2 * v[:, 1:-1] + v[:, 2:]
+    gx, gy = across[:, 2:] - across[:, :-2], down[2:] - down[:-2]
+    strength = np.abs(gx) + np.abs(gy)
+    around = np.pad(strength, 1)
+    at = lambda dy, dx: around[1 + dy : 1 + dy + strength.shape[0], 1 + dx : 1 + dx + strength.shape[1]]
+    flat, steep = np.abs(gy) <= np.abs(gx) * np.tan(np.pi / 8), np.abs(gy) >= np.abs(gx) * np.tan(3 * np.pi / 8)
+    falling = gx * gy >= 0
+    before = np.select([flat, steep, falling], [at(0, -1), at(-1, 0), at(-1, -1)], at(-1, 1))
+    after = np.select([flat, steep, falling], [at(0, 1), at(1, 0), at(1, 1)], at(1, -1))
+    ridge = (strength > before) & np.where(flat | steep, strength >= after, strength > after)
+    weak = np.pad(ridge & (strength > low), 1).ravel()
+    row = strength.shape[1] + 2
+    front = np.flatnonzero(np.pad(ridge & (strength > high), 1))
+    found = np.zeros_like(weak)
+    found[front] = True
+    steps = np.array([-row - 1, -row, -row + 1, -1, 1, row - 1, row, row + 1])
+    while len(front):
+        front = np.unique((front[:, None] + steps).ravel())
+        front = front[weak[front] & ~found[front]]
+        found[front] = True
+    return found.reshape(-1, row)[1:-1, 1:-1]
+
+
+def line_votes(edges: np.ndarray) -> np.ndarray:
+    """Votes by (whole degree of the normal, distance): how many edge pixels lie on each line."""
+    y, x = np.nonzero(edges)
+    reach = sum(edges.shape)
+    angles = np.deg2rad(np.arange(180))
+    return np.stack([np.bincount(np.rint(x * np.cos(a) + y * np.sin(a)).astype(np.int64) + reach, minlength=2 * reach + 1) for a in angles])
+
+
+def dominant_skew(grey: np.ndarray, votes: int = 160, most: int = 60) -> float | None:
+    """Median angle of the ``most`` strongest straight lines in degrees, folded to [-45, 45); None without lines.
+
+    A line is a local peak of more than ``votes`` votes. Diagnostic only: no verdict rests on it.
+    """
+    table = np.pad(line_votes(edge_pixels(grey)), 1)
+    own = table[1:-1, 1:-1]
+    peak = (own > votes) & (own > table[1:-1, :-2]) & (own >= table[1:-1, 2:]) & (own > table[:-2, 1:-1]) & (own >= table[2:, 1:-1])
+    degrees, _ = np.nonzero(peak)
+    if not len(degrees):
+        return None
+    strongest = degrees[np.argsort(-own[peak], kind="stable")[:most]]
+    return float(np.median((strongest - 90 + 45) % 90 - 45))
+
+
 def measure_images(images: DataFrame) -> DataFrame:
     """Measurements of (image_id, height, width, channels, data), bytes in rows, blue first.
 
@@ -131,7 +180,7 @@ def measure_images(images: DataFrame) -> DataFrame:
             rows = []
             for i, h, w, c, data in zip(pdf["image_id"], pdf["height"], pdf["width"], pdf["channels"], pdf["data"], strict=True):
                 if data is None or h * w * c != len(data) or h * w == 0:
-                    rows.append((i, *[None] * 8))
+                    rows.append((i, *[None] * 9))
                     continue
                 raw = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c).astype(np.float64)
                 grey = area_resize(raw[:, :, 0] if c == 1 else raw[:, :, :3] @ np.array([0.114, 0.587, 0.299]))
@@ -139,12 +188,12 @@ def measure_images(images: DataFrame) -> DataFrame:
                 filled, touches = framing(grey)
                 rows.append((
                     i, float(inner.var()), float(grey.mean()), float(((grey <= 16) | (grey >= 239)).mean()), float(grey.std()),
-                    largest_blob(grey >= 250, True) / grey.size, filled, touches, boundary_gradient(grey),
+                    largest_blob(grey >= 250, True) / grey.size, filled, touches, boundary_gradient(grey), dominant_skew(np.rint(grey)),
                 ))
-            yield pd.DataFrame(rows, columns=["image_id", "sharpness", "luminance", "clipped", "contrast", "glare", "filled", "touches_edge", "boundary"])
+            yield pd.DataFrame(rows, columns=["image_id", "sharpness", "luminance", "clipped", "contrast", "glare", "filled", "touches_edge", "boundary", "skew"])
 
     return images.select("image_id", "height", "width", "channels", "data").mapInPandas(
-        measure, "image_id string, sharpness double, luminance double, clipped double, contrast double, glare double, filled double, touches_edge boolean, boundary double"
+        measure, "image_id string, sharpness double, luminance double, clipped double, contrast double, glare double, filled double, touches_edge boolean, boundary double, skew double"
     )
 
 
