@@ -10,7 +10,8 @@
 4. The matrix has a cell for each token and group. Of two sets with Jaccard similarity t the larger
    can miss at most a share of 1 - t of its tokens in the other, so both hold one of the first
    n - ceil(t n) + 1 tokens of the other in any order all sets share: only those cells are kept and
-   looked up. Frequent tokens come last in that order.
+   looked up. Frequent tokens come last in that order. The places of the shared ones bound what the
+   rest can add.
 5. A node asks the groups that hold a looked-up token and a node of a larger component than its own
    (of equal ones the later), so two components are asked about once and parts of one never.
 6. In a task, a group's whole token union bounds each query: fewer than t |Q| of Q's tokens in the
@@ -218,31 +219,44 @@ def links_inside(members: DataFrame) -> DataFrame:
 
 
 def cells_of(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(token, doc_id) of the first tokens of every row."""
+    """(token, doc_id, at) of the first tokens of every row; at is the token's place in the order all sets share."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, "text"):
             first = [first_tokens(s, frequent, counts) if len(s) else s for s in sets]
             owner = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), part.column("doc_id").take(owner)], names=["token", "doc_id"])
+            places = np.concatenate([np.arange(len(f), dtype=np.int32) for f in first])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), part.column("doc_id").take(owner), pa.array(places)], names=["token", "doc_id", "at"])
 
-    return docs.mapInArrow(work, f"token long, doc_id {dict(docs.dtypes)['doc_id']}")
+    return docs.mapInArrow(work, f"token long, doc_id {dict(docs.dtypes)['doc_id']}, at int")
 
 
 def candidates(cells: DataFrame, places: DataFrame) -> DataFrame:
-    """(node, grp) to look into: groups that hold one of a node's first tokens and a larger component.
+    """(node, grp) to look into: groups of larger components whose looked-up tokens leave room for enough overlap.
 
-    places: doc_id, node, n, grp, rank (size and name of the node's component), top (the greatest rank of its group).
+    places: doc_id, node, n, grp, members (of the group), rank (size and name of the node's component),
+    top (the greatest rank of its group). With a set of m tokens an overlap of p (n + m) / (100 + p) is
+    needed. Of a group of one, all shared tokens after the last shared one of the first tokens come
+    after it in both sets; in larger groups, all others come after the end of one set's first tokens.
     """
     held = cells.withColumn("held", F.count("*").over(W.partitionBy("token"))).filter("held > 1").drop("held")
     known = held.join(places.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("doc_id", "__id")
     of_token = W.partitionBy("token")
     known = known.withColumn("most", F.max("rank").over(of_token)).withColumn("least", F.min("rank").over(of_token)).filter("most != least")
     known = materialise(known, "groups-cells")
-    asking = known.filter("rank < most").select("token", "node", "n", "rank").distinct()
-    matrix = known.filter("rank > least").groupBy("token", "grp").agg(F.max("top").alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
+    asking = known.filter("rank < most").select("token", "node", "n", "at", "rank").distinct()
+    matrix = known.filter("rank > least").groupBy("token", "grp").agg(
+        F.max("top").alias("top"), F.max("members").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at") - 1).alias("rest")
+    )
     fits = (F.col("n") * 100 >= F.col("low") * SIMILARITY_PERCENT) & (F.col("n") * SIMILARITY_PERCENT <= F.col("high") * 100)
-    return asking.join(matrix, "token").filter(fits & (F.col("rank") < F.col("top"))).select("node", "grp").distinct()
+    met = asking.join(matrix, "token").filter(fits & (F.col("rank") < F.col("top")))
+    pairs = met.groupBy("node", "grp").agg(
+        F.count("*").alias("shared"), F.max(F.struct("at", "rest")).alias("last"), F.first("n").alias("n"), F.first("members").alias("members"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    after = lambda n: F.floor((n * SIMILARITY_PERCENT + 99) / 100) - 1
+    more = F.when(F.col("members") == 1, F.least(F.col("n") - F.col("last.at") - 1, F.col("last.rest"))).otherwise(F.greatest(after(F.col("n")), after(F.col("high"))))
+    enough = (F.col("shared") + more) * (100 + SIMILARITY_PERCENT) >= (F.col("n") + F.col("low")) * SIMILARITY_PERCENT
+    return pairs.filter(enough).select("node", "grp")
 
 
 def links_across(pairs: DataFrame, members: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -289,7 +303,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     comps = _components(groups, links)
     ranked = comps.join(comps.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("node", "comp", F.struct("size", "comp").alias("rank"))
     placed = groups.select("node", "n", "grp").join(ranked, "node")
-    placed = placed.join(placed.groupBy("grp").agg(F.max("rank").alias("top")), "grp")
+    placed = placed.join(placed.groupBy("grp").agg(F.max("rank").alias("top"), F.count("*").alias("members")), "grp")
     placed = materialise(placed, "groups-placed")
     where = rows.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").drop("digest").distinct().join(placed.drop("comp"), "node")
     pairs = candidates(cells_of(docs, *frequent_tokens(docs)), materialise(where, "groups-where"))
