@@ -136,3 +136,20 @@ def apply_step_events(events: DataFrame) -> DataFrame:
     last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("seq")))
     final = dropped.withColumn("__reason", reason).groupBy("product_id", "surface_id").agg(last(F.col("__set")).alias("c"), last(F.col("__reason")).alias("r"))
     return final.select("product_id", "surface_id", F.nullif("c", F.lit("")).alias("accepted_capture_id"), F.nullif("r", F.lit("")).alias("skip_reason"))
+
+
+def finish_gate(states: DataFrame, context_complete: DataFrame) -> DataFrame:
+    """(product_id, outstanding, may_finish): required steps and a context still open; finishing needs none of them.
+
+    states: product_id, ordinal, surface_id, is_required, status; context_complete: product_id, complete.
+    """
+    waiting = F.when(F.col("is_required") & (F.col("status") == "pending"), F.struct("ordinal", "surface_id"))
+    steps = states.groupBy("product_id").agg(F.transform(F.array_sort(F.collect_list(waiting)), lambda s: s["surface_id"]).alias("open"))
+    joined = steps.join(context_complete, "product_id", "left")
+    also = F.when(F.coalesce("complete", F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("context")))
+    return joined.select("product_id", F.concat("open", also).alias("outstanding")).withColumn("may_finish", F.size("outstanding") == 0)
+
+
+def accept_gate(disposition: Column) -> Column:
+    """Whether a capture may be accepted as it is: all but a blocked one."""
+    return disposition != "blocked"

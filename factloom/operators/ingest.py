@@ -96,10 +96,17 @@ def transport_outcome(status: Column) -> Column:
     return F.when(status.between(200, 299), "succeeded").when(status.isNull() | status.isin(408, 429) | (status >= 500), "retry").otherwise("permanent")
 
 
-def job_message(counts: DataFrame) -> DataFrame:
-    """(run_id, message): a run's status counts as one line."""
+#: What a job's answer says.
+HELD_BACK = "The generated snapshot did not pass contract validation and has been quarantined for engineering review. No snapshot was released."
+COMPLETE = "Extraction complete. Fact statuses: "
+
+
+def job_message(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run_id, message): a run's status counts (run_id, status, n) as one line, or that it is held back (runs: run_id, quarantined)."""
     parts = counts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("status", "n"))).alias("c"))
-    return parts.select("run_id", F.array_join(F.transform("c", lambda x: F.format_string("%d %s", x["n"], F.lower(x["status"]))), ", ").alias("message"))
+    told = F.array_join(F.transform("c", lambda x: F.format_string("%s=%d", x["status"], x["n"])), ", ")
+    message = F.when(F.col("quarantined"), HELD_BACK).otherwise(F.concat(F.lit(COMPLETE), F.coalesce(F.nullif(told, F.lit("")), F.lit("none"))))
+    return runs.join(parts, "run_id", "left").select("run_id", message.alias("message"))
 
 
 def session_artifacts(artifacts: DataFrame) -> DataFrame:

@@ -70,3 +70,21 @@ def retried(status: Column) -> Column:
 def counters(tasks: DataFrame, *keys: str) -> DataFrame:
     one = lambda s, name: F.count_if(F.col("status") == s).alias(name)
     return tasks.groupBy(*keys).agg(one("queued", "pending"), one("inFlight", "in_flight"), one("succeeded", "succeeded"), one("failedPermanent", "failed"))
+
+
+def enqueue_artifacts(tasks: DataFrame, captures: DataFrame, now: Column) -> DataFrame:
+    """The queue with a task for every accepted capture that has none yet, due at once, behind what is queued.
+
+    tasks: task_id, seq, product_id, kind, status, attempts, next_attempt_at, capture_id, payload;
+    captures: capture_id, product_id, captured_at, payload (its metadata bundle).
+    """
+    new = captures.join(tasks.filter("kind = 'artifact'").select("capture_id"), "capture_id", "left_anti")
+    last = tasks.groupBy("product_id").agg(F.max("seq").alias("last"))
+    place = F.row_number().over(W.partitionBy("product_id").orderBy("captured_at", "capture_id"))
+    placed = new.withColumn("place", place).join(last, "product_id", "left")
+    made = {
+        "task_id": F.concat(F.lit("UP-"), F.col("capture_id").cast("string")), "seq": F.coalesce("last", F.lit(0)) + F.col("place"), "product_id": F.col("product_id"), "kind": F.lit("artifact"),
+        "status": F.lit("queued"), "attempts": F.lit(0), "next_attempt_at": now, "capture_id": F.col("capture_id"), "payload": F.col("payload"),
+    }
+    kinds = dict(tasks.dtypes)
+    return tasks.unionByName(placed.select(*[made[c].cast(kinds[c]).alias(c) if c in made else F.lit(None).cast(kinds[c]).alias(c) for c in tasks.columns]))

@@ -54,8 +54,8 @@ def json_or_null(text: Column, schema: str) -> Column:
 
 
 def exif_kept(tags: Column, longest: int = 256) -> Column:
-    """Tags without maker notes and thumbnails, values cut to a bounded length."""
-    kept = F.map_filter(tags, lambda k, v: ~k.contains("MakerNote") & ~k.contains("Thumbnail"))
+    """Tags without maker notes, thumbnails and empty values, values cut to a bounded length."""
+    kept = F.map_filter(tags, lambda k, v: ~(k.contains("MakerNote") | k.startswith("Thumbnail") | k.contains("JPEGThumbnail")) & (v != ""))
     return F.transform_values(kept, lambda k, v: F.substring(v, 1, longest))
 
 
@@ -74,13 +74,45 @@ def words_to_lines(words: DataFrame) -> DataFrame:
     return lines.withColumn("seq", F.row_number().over(W.partitionBy("image").orderBy("first", *keys)) - 1).drop("first")
 
 
+def _elements(text: Column) -> Column:
+    """Elements of a JSON array as JSON texts; empty where it is no array."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def recognised_entries(passes: DataFrame) -> DataFrame:
+    """Nested results of several recognition passes an image to lines with quadrilaterals.
+
+    passes: image, pass, language, result (JSON: blocks of entries, an entry being four corners and a
+    pair of text and confidence). Null blocks hold nothing; an entry that is malformed, has no text or
+    not exactly four corners is left out and spoils no other. Lines are in the order of pass, block and
+    entry; a confidence that is missing or no number stays null, it is never made up.
+    """
+    blocks = passes.select("image", "pass", "language", F.posexplode(_elements(F.col("result"))).alias("block", "b"))
+    entries = blocks.select("image", "pass", "language", "block", F.posexplode(_elements(F.col("b"))).alias("entry", "e"))
+    parts = entries.withColumn("parts", _elements(F.col("e"))).withColumn("read", _elements(F.get("parts", F.lit(1))))
+    corners = F.transform(_elements(F.get("parts", F.lit(0))), lambda p: F.from_json(p, "array<double>"))
+    ring = F.transform(corners, lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")))
+    told = parts.withColumn("ring", ring).withColumn("text", F.get("read", F.lit(0)))
+    whole = (F.size("read") == 2) & (F.size("ring") == 4) & F.forall("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull()) & (F.trim("text") != "")
+    geom = F.struct(F.lit("QUADRILATERAL").alias("type"), F.col("ring").alias("points"), F.lit("original_image_px").alias("space"))
+    good = told.filter(whole).select("image", "pass", "block", "entry", "text", geom.alias("geom"), F.get("read", F.lit(1)).try_cast("double").alias("confidence"), "language")
+    return good.withColumn("seq", F.row_number().over(W.partitionBy("image").orderBy("pass", "block", "entry")) - 1).drop("pass", "block", "entry")
+
+
+def recognition_errors(passes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(image, error): what went wrong in the passes of images of which no line was read (passes: image, pass, language, error)."""
+    none = passes.filter("error IS NOT NULL").join(lines.select("image").distinct(), "image", "left_anti")
+    told = none.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("pass", "language", "error"))).alias("e"))
+    return told.select("image", F.array_join(F.transform("e", lambda e: F.concat(e["language"], F.lit(": "), e["error"])), "; ").alias("error"))
+
+
 def scripted_lines(images: DataFrame, script: DataFrame) -> DataFrame:
     """A stand-in for recognition: the lines a script table has for each image."""
     return images.select("image").join(script, "image")
 
 
 #: Recognition engines by name: functions from a table of images to a table of lines.
-ENGINES: dict[str, Callable[..., DataFrame]] = {"words": words_to_lines, "scripted": scripted_lines}
+ENGINES: dict[str, Callable[..., DataFrame]] = {"words": words_to_lines, "entries": recognised_entries, "scripted": scripted_lines}
 
 
 def register_engine(name: str, engine: Callable[..., DataFrame]) -> None:
