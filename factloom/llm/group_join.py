@@ -1,8 +1,8 @@
 """N-gram Jaccard join over a token-group matrix.
 
 1. Every text becomes its set of five-word shingles, its tokens; equal sets are one node.
-2. Nodes are partitioned into groups of similar ones: a node has ``BANDS`` keys of two minima each
-   and joins the group of the key that most nodes have, or is a group of its own. Groups of more than
+2. Nodes are partitioned into groups of similar ones: a node has ``BANDS`` keys of ``BAND_ROWS``
+   minima each and joins the group of the key that most nodes have, or is a group of its own. Groups of more than
    ``GROUP_ROWS`` nodes or ``GROUP_TOKENS`` tokens are split by hash; one node of such a key is a
    guest in all its parts, so that they become linked.
 3. Inside a group, sets are compared exactly through the group's postings. Nodes already connected
@@ -14,7 +14,9 @@
    rest can add.
 5. A node asks the groups that hold a looked-up token and a node of a larger component than its own
    (of equal ones the later), so two components are asked about once and parts of one never.
-6. In a task, a group's whole token union bounds each query: fewer than t |Q| of Q's tokens in the
+6. Each set has a bitmap of the parities of its tokens per bucket. Two bitmaps differ in no more bits
+   than the sets differ in tokens, so pairs whose bitmaps differ in too many need no look at the sets.
+7. In a task, a group's whole token union bounds each query: fewer than t |Q| of Q's tokens in the
    union and the group stays shut; otherwise it is opened and its members are compared exactly.
    Queries of a group are dealt in chunks.
 
@@ -42,7 +44,7 @@ from factloom.llm.common import materialise, table
 from factloom.llm.near_dedup import connected_components, shingle_sets
 
 SIMILARITY_PERCENT = 80
-BANDS, BAND_ROWS = 8, 2
+BANDS, BAND_ROWS = 8, 4
 GROUP_ROWS, GROUP_TOKENS = 1000, 1_000_000
 QUERY_ROWS, QUERY_TOKENS = 2000, 2_000_000
 SAMPLE, SEEN_IN_SAMPLE, MOST_FREQUENT = 16, 3, 1 << 18
@@ -98,8 +100,22 @@ def first_tokens(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -
     return tokens[np.argsort(often, kind="stable")[:count]]  # tokens come sorted by hash
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """A bit for each bucket of hashes: whether the set has an odd number of tokens in it; about half as many buckets as tokens."""
+    power = max(6, int(len(tokens)).bit_length() - 1)
+    return np.packbits((np.bincount((tokens >> np.uint64(64 - power)).astype(np.int64), minlength=1 << power) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two parity bitmaps differ, on the scale of the coarser one; at most the tokens in which the sets differ."""
+    x, y = (np.unpackbits(np.frombuffer(t, np.uint8)) for t in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    return int(((x.reshape(len(y), -1).sum(axis=1) & 1) != y).sum())
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty) and band keys of every row."""
+    """doc_id, n_shingles, digest of the set (null if empty), band keys and parities of every row."""
     made = np.random.Generator(np.random.PCG64(20250511)).integers(0, 2**64, size=(2, BANDS * BAND_ROWS), dtype=np.uint64)
     mult, add = made[0] | np.uint64(1), made[1]
 
@@ -117,10 +133,11 @@ def sketches(docs: DataFrame) -> DataFrame:
         for part, sets in _sets(batches, "text"):
             digests = pa.array([_digest(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), digests, _lists([keys(s) if len(s) else s for s in sets])], names=["doc_id", "n_shingles", "digest", "keys"]
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), digests, _lists([keys(s) if len(s) else s for s in sets]), pa.array([parities(s) for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "keys", "bits"],
             )
 
-    return docs.mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, digest binary, keys array<long>")
+    return docs.mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, digest binary, keys array<long>, bits binary")
 
 
 def grouped(nodes: DataFrame) -> DataFrame:
@@ -145,18 +162,30 @@ def members_with_guests(groups: DataFrame) -> DataFrame:
     return own.unionByName(guests).distinct()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens) of the wanted nodes (node, doc_id, digest), made again from the whole text of a row of theirs."""
+def sets_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(grp, chunk, node, comp, tokens) of the wanted places of nodes, made again from the whole text of a row of theirs.
+
+    wanted: node, doc_id, digest, comp, places (array of grp and chunk). A set is made once and copied to its
+    places; it is nowhere stored. Rows that repeat an id and a text give a set again, which does no harm.
+    """
+    place = "array<struct<grp:long,chunk:int>>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, "text"):
             same = pa.array([_digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column("node"), _lists(sets)], names=["node", "tokens"]).filter(same)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "comp", "places")), _lists(sets)], names=["node", "comp", "places", "tokens"]).filter(same)
 
-    side = wanted.select("node", F.col("doc_id").alias("__id"), "digest")
+    side = wanted.select("node", F.col("doc_id").alias("__id"), "digest", "comp", F.col("places").cast(place).alias("places"))
     side = F.broadcast(side) if wanted.count() <= BROADCAST_ROWS else side
-    texts = docs.join(side, docs["doc_id"].eqNullSafe(F.col("__id"))).select("node", "digest", "text")
-    return texts.mapInArrow(work, "node long, tokens array<long>").dropDuplicates(["node"])  # an id may repeat with the same text
+    texts = docs.join(side, docs["doc_id"].eqNullSafe(F.col("__id"))).select("node", "digest", "comp", "places", "text")
+    made = texts.mapInArrow(work, f"node long, comp long, places {place}, tokens array<long>")
+    return made.select("node", "comp", "tokens", F.explode("places").alias("p")).select("p.grp", "p.chunk", "node", "comp", "tokens")
+
+
+def placed_at(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Wanted nodes of ``sets_at`` from (node, grp, chunk); names: node, doc_id, digest, comp."""
+    listed = rows.groupBy("node").agg(F.collect_set(F.struct("grp", "chunk")).alias("places"))
+    return materialise(listed.join(names, "node"), "groups-wanted")
 
 
 class Postings:
@@ -211,7 +240,8 @@ def links_inside(members: DataFrame) -> DataFrame:
                 continue
             for y in index.similar(len(sets[x]), index.overlaps(places[x])):
                 if roots[y] != roots[x]:
-                    links.append((nodes[x], nodes[y]))
+                    if nodes[x] != nodes[y]:
+                        links.append((nodes[x], nodes[y]))
                     roots[roots == roots[y]] = roots[x]
         return _links(links)
 
@@ -259,15 +289,30 @@ def candidates(cells: DataFrame, places: DataFrame) -> DataFrame:
     return pairs.filter(enough).select("node", "grp")
 
 
-def links_across(pairs: DataFrame, members: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Links (a, b) of nodes with members of the groups they ask; pairs: node, grp, n; members: grp, node."""
+def near_enough(pairs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (node, grp, n) whose group has a member that the sizes and parities leave possible; members: grp, node; nodes: node, n, bits."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, a, b = (batch.column(c).to_pylist() for c in ("n", "m", "bits", "other_bits"))
+            total = [x + y for x, y in zip(n, m, strict=True)]
+            apart = [t - 2 * -(-t * SIMILARITY_PERCENT // (100 + SIMILARITY_PERCENT)) for t in total]
+            kept = [differing(x, y) <= most for x, y, most in zip(a, b, apart, strict=True)]
+            yield batch.select(["node", "grp", "n"]).filter(pa.array(kept, pa.bool_()))
+
+    other = members.select("grp", F.col("node").alias("other")).join(nodes.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("other_bits")), "other")
+    met = pairs.join(nodes.select("node", "n", "bits"), "node").join(other, "grp")
+    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * SIMILARITY_PERCENT) & (F.col("node") != F.col("other"))
+    return met.filter(fits).select("node", "grp", "n", "m", "bits", "other_bits").mapInArrow(work, "node long, grp long, n long").distinct()
+
+
+def links_across(docs: DataFrame, pairs: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes with members of the groups they ask; pairs: node, grp, n; members: grp, node; names: node, doc_id, digest, comp."""
     share = F.greatest(F.ceil(F.count("*") / QUERY_ROWS), F.ceil(F.sum("n") / QUERY_TOKENS)).cast("int")
-    sizes = pairs.groupBy("grp").agg(share.alias("chunks"))
-    asked = pairs.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(5)), "chunks").cast("int")).select("grp", "chunk", "node").join(sets, "node")
-    opened = members.join(sizes, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("grp", "chunk", "node")
-    # Both sides read the sets: columns of one side need names of their own for the cogroup.
-    again = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
-    opened = again(opened.join(comps, "node").join(again(sets), "node"))
+    sizes = materialise(pairs.groupBy("grp").agg(share.alias("chunks")), "groups-chunks")
+    asked = pairs.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(5)), "chunks").cast("int")).select("node", "grp", "chunk")
+    opened = members.join(sizes, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", "grp", "chunk")
+    queries, held = sets_at(docs, placed_at(asked, names)), sets_at(docs, placed_at(opened, names))
 
     def work(queries, group):
         if not queries.num_rows or not group.num_rows:
@@ -284,21 +329,20 @@ def links_across(pairs: DataFrame, members: DataFrame, sets: DataFrame, comps: D
                     links.append((node, nodes[y]))
         return _links(links)
 
-    return asked.groupBy("grp", "chunk").cogroup(opened.groupBy("grp", "chunk")).applyInArrow(work, "a long, b long")
+    return queries.groupBy("grp", "chunk").cogroup(held.groupBy("grp", "chunk")).applyInArrow(work, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", F.col(text).alias("text"))
     rows = materialise(sketches(docs), "groups-rows")
-    nodes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    nodes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "groups-nodes")
     groups = materialise(grouped(nodes), "groups-groups")
 
-    members = materialise(members_with_guests(groups.filter("key IS NOT NULL")), "groups-members")
+    members = members_with_guests(groups.filter("key IS NOT NULL")).withColumn("chunk", F.lit(0))
     names = nodes.select("node", "doc_id", "digest")
-    sets = materialise(sets_of(docs, materialise(names.join(members.select("node").distinct(), "node"), "groups-wanted")), "groups-sets")
-    links = materialise(links_inside(members.join(sets, "node")), "groups-links")
+    links = materialise(links_inside(sets_at(docs, placed_at(members, names.withColumn("comp", F.col("node"))))), "groups-links")
 
     comps = _components(groups, links)
     ranked = comps.join(comps.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("node", "comp", F.struct("size", "comp").alias("rank"))
@@ -307,12 +351,11 @@ def jaccard_components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     placed = materialise(placed, "groups-placed")
     where = rows.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").drop("digest").distinct().join(placed.drop("comp"), "node")
     pairs = candidates(cells_of(docs, *frequent_tokens(docs)), materialise(where, "groups-where"))
-    pairs = materialise(pairs.join(nodes.select("node", "n"), "node"), "groups-pairs")
+    pairs = materialise(pairs, "groups-asking")
+    pairs = materialise(near_enough(pairs, placed.join(pairs.select("grp").distinct(), "grp", "left_semi"), nodes), "groups-pairs")
     if not pairs.isEmpty():
         asked = placed.select("node", "grp").join(pairs.select("grp").distinct(), "grp", "left_semi")
-        wanted = asked.select("node").unionByName(pairs.select("node")).distinct().join(sets.select("node"), "node", "left_anti")
-        more = materialise(sets_of(docs, materialise(names.join(wanted, "node"), "groups-wanted")), "groups-sets")
-        across = materialise(links_across(pairs, asked, sets.unionByName(more), placed.select("node", "comp")), "groups-links")
+        across = materialise(links_across(docs, pairs, asked, names.join(placed.select("node", "comp"), "node")), "groups-links")
         comps = _components(groups, links.unionByName(across))
 
     named = comps.join(nodes.select("node", "digest", "doc_id"), "node")

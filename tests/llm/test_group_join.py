@@ -84,6 +84,17 @@ def test_first_tokens_meet():
             assert len(np.intersect1d(G.first_tokens(a, often, counts), G.first_tokens(b, often, counts)))
 
 
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 64, 500, 3000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        for drop in (0, n // 10, n):
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop + n // 3 * (drop == 0) + 1, dtype=np.uint64)]))
+            assert G.differing(G.parities(a), G.parities(b)) <= len(np.setxor1d(a, b))
+    far = [np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2)) for _ in range(2)]
+    assert G.differing(*map(G.parities, far)) > 222 and G.differing(G.parities(far[0]), G.parities(far[0])) == 0
+
+
 def test_empty_table(spark):
     assert G.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
