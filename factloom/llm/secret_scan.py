@@ -1,10 +1,11 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a long run of key characters with a digit or mixed case in it, or a value of six or
-more characters, not all digits, that a word such as "password" assigns; a word may hold several.
+more characters that a word such as "password" assigns, all digits only where it is a password, or the
+password of a login in an address; a word may hold several.
 Its features are its length, the transitions between
 character classes, how much of it common words cover, whether it looks like a path, address or
-identifier, and which words stand around it. The forest is trained by Spark's own learner from
+identifier, whether it begins as issued keys do, and which words stand around it. The forest is trained by Spark's own learner from
 labelled findings; ``labelled_findings`` makes a bounded set of them by rule, and any other table of
 (text, label) pairs with one candidate each can take its place. The trees are then compiled into
 one expression, so that scanning, scoring and redaction are one pass over each row without a join,
@@ -29,7 +30,7 @@ from factloom.llm.common import let, table
 MIN_RUN = 16
 MIN_ASSIGNED = 6
 TREES = 24
-DEPTH = 6
+DEPTH = 8
 CUTOFF = 0.5
 NEAR_WORDS = 3
 MASK = "<secret>"
@@ -38,6 +39,9 @@ SEED = 17
 RUN = r"[A-Za-z0-9+/_=.~\-]"
 NAMED = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api_?key|credential)s?[\"']?"
 ASSIGNED = NAMED + r"\s*[:=]\s*[\"']?"
+PASSWORD = r"(?i)(?:passw|pwd)"
+#: A login in an address, its password as the group.
+LOGIN = r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@]*:([^\s/@]{6,})@"
 #: An assigned value: up to its quote, or else up to a delimiter; "&" is one only before the next name of a URL's query.
 VALUE = r"(?:(?<=\")(?!<)[^\s\"]{6,}|(?<=')(?!<)[^\s']{6,}|(?:[^\s\"'`,;&<>]|&(?![A-Za-z_][\w.\-]*=)){6,})"
 #: Fixed lists: words of code, paths and prose that keys don't hold; words that announce a secret or an example.
@@ -53,9 +57,15 @@ DICTIONARY = (
 ).split()
 ANNOUNCE = "token secret password passwd pwd key apikey api_key credential auth bearer private access signature".split()
 EXAMPLES = "example sample dummy placeholder changeme your test fake xxxx todo sha1 sha256 sha512 md5 checksum digest commit revision uuid guid hash etag version build".split()
+#: Fixed list: how keys begin that services issue.
+PREFIXES = (
+    "AKIA", "ASIA", "AIza", "ya29.", "eyJ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "pk_live_", "sk-", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-",
+    "npm_", "pypi-", "hf_", "SG.", "shpat_", "dop_v1_", "dckr_pat_",
+)
 FEATURES = (
     "length", "transitions", "digits", "upper", "lower", "vowels", "longest_letters", "consonants", "entropy", "distinct", "covered",
     "slashes", "dots", "dashes", "underscores", "uuid", "address", "extension", "hex", "announced", "example", "assigned", "quoted",
+    "prefixed", "login",
 )
 
 
@@ -114,6 +124,8 @@ def features(c: Column) -> dict[str, Column]:
         "example": _flag(F.regexp_replace(around, r"\S*@\S*|https?://\S*", " ").rlike(_words(EXAMPLES))),
         "assigned": _flag(F.concat_ws(" ", c["before"], c["part"]).rlike(r"(?i)(?:" + "|".join(ANNOUNCE) + r")[a-z_]*[\"']?\s*[:=]")),
         "quoted": _flag(c["part"].rlike("[\"'`]")),
+        "prefixed": _flag(value.rlike("^(?:" + "|".join(p.replace(".", r"\.") for p in PREFIXES) + ")")),
+        "login": _flag(c["part"].rlike("^" + LOGIN)),
     }
 
 
@@ -124,7 +136,7 @@ def candidates(text: Column) -> Column:
     what is left of it. ``part`` is the assignment, or the word for a run.
     """
     whole = F.coalesce(text, F.lit(""))
-    worth_it = whole.rlike(f"{RUN}{{{MIN_RUN},}}") | whole.rlike(ASSIGNED + VALUE)
+    worth_it = whole.rlike(f"{RUN}{{{MIN_RUN},}}") | whole.rlike(ASSIGNED + VALUE) | whole.rlike(LOGIN)
     words = F.split(F.trim(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", " ")), " ")
     row = "array<struct<position:int,word:string,part:string,value:string,assigned:boolean>>"
 
@@ -140,9 +152,11 @@ def candidates(text: Column) -> Column:
             bare = F.when(part.rlike(r"[:=]\s*[\"']"), value).otherwise(F.regexp_replace(value, r"[.:)\]}]+$", ""))
             return one(part, F.regexp_replace(bare, r"^[=.\-]+", ""), True)
 
-        values = F.zip_with(F.regexp_extract_all(led, F.lit(ASSIGNED + VALUE), F.lit(0)), F.regexp_extract_all(led, F.lit(f"{ASSIGNED}({VALUE})"), F.lit(1)), assigned)
-        runs = F.regexp_extract_all(F.regexp_replace(led, ASSIGNED + VALUE, " "), F.lit(f"{RUN}{{{MIN_RUN},}}"), F.lit(0))
-        return F.concat(F.filter(values, lambda r: F.char_length(r["value"]) >= MIN_ASSIGNED), F.transform(runs, lambda v: one(w, v, False)))
+        logins = F.zip_with(F.regexp_extract_all(led, F.lit(LOGIN), F.lit(0)), F.regexp_extract_all(led, F.lit(LOGIN), F.lit(1)), assigned)
+        other = F.regexp_replace(led, LOGIN, " ")
+        values = F.zip_with(F.regexp_extract_all(other, F.lit(ASSIGNED + VALUE), F.lit(0)), F.regexp_extract_all(other, F.lit(f"{ASSIGNED}({VALUE})"), F.lit(1)), assigned)
+        runs = F.regexp_extract_all(F.regexp_replace(other, ASSIGNED + VALUE, " "), F.lit(f"{RUN}{{{MIN_RUN},}}"), F.lit(0))
+        return F.concat(F.filter(F.concat(logins, values), lambda r: F.char_length(r["value"]) >= MIN_ASSIGNED), F.transform(runs, lambda v: one(w, v, False)))
 
     def found(every: Column) -> Column:
         def led(w: Column, i: Column) -> Column:
@@ -150,13 +164,16 @@ def candidates(text: Column) -> Column:
             return let(
                 near(every, i - 2, i),
                 lambda before: F.concat(
-                    F.when(before.rlike(ASSIGNED + "$"), "token=").when(before.rlike(NAMED + "$") & w.rlike("^[:=]"), "token").otherwise(""), w),
+                    F.when(before.rlike(ASSIGNED + "$"), F.concat(name(before), F.lit("="))).when(before.rlike(NAMED + "$") & w.rlike("^[:=]"), name(before)).otherwise(""), w),
             )
 
+        def name(before: Column) -> Column:
+            return F.when(before.rlike(PASSWORD + r"\S*\s*[:=]?\s*[\"']?$"), "pwd").otherwise("token")
+
         rows = F.flatten(F.transform(every, lambda w, i: F.when(F.char_length(w) >= MIN_ASSIGNED, let(led(w, i), lambda x: in_word(w, i, x).cast(row))).otherwise(F.array().cast(row))))
         # Prose has long words too: a candidate holds a digit, an inner capital or a sign, or is assigned.
         kept = F.filter(rows, lambda r: r["assigned"] | r["value"].rlike("[0-9+/_=~]|[a-z][A-Z]"))
-        kept = F.filter(kept, lambda r: ~r["value"].rlike(r"^(.)\1*$|^[0-9.\-]+$"))
+        kept = F.filter(kept, lambda r: ~r["value"].rlike(r"^(.)\1*$|^[0-9.\-]+$") | (r["assigned"] & r["part"].rlike(PASSWORD) & r["value"].rlike("^[0-9]+$") & ~r["value"].rlike(r"^(.)\1*$")))
         return F.transform(
             kept,
             lambda r: F.struct(
@@ -207,7 +224,7 @@ class Forest:
         return total / F.lit(float(max(len(self.trees), 1)))
 
 
-def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = SEED) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = SEED) -> DataFrame:
     """A bounded table of (text, label) made by rule: real-looking secrets and look-alikes in context."""
     rng = random.Random(seed)
     letters, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz"
@@ -217,7 +234,7 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = SEED) -
     compound = lambda n: "".join(rng.choices(syllables, k=n))
     name = lambda sep: sep.join(rng.choices(DICTIONARY, k=rng.randint(3, 5)))
     positive = [
-        lambda: pick("0123456789abcdef", rng.choice((32, 40, 48, 64))),
+        *[lambda: pick("0123456789abcdef", rng.choice((32, 40, 48, 64)))] * 2,
         lambda: pick(letters + "0123456789", rng.randint(20, 44)),
         lambda: pick(letters + "0123456789+/", rng.choice((40, 64))) + "=" * rng.randint(0, 2),
         lambda: "AKIA" + pick(letters[:26] + "0123456789", 16),
@@ -227,6 +244,15 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = SEED) -
         lambda: pick(letters, rng.randint(3, 6)) + pick("!@#%^&*$", rng.randint(1, 2)) + pick(letters + "0123456789!@#%^&", rng.randint(3, 8)),
         lambda: "".join(rng.choices((*DICTIONARY, *syllables), k=rng.randint(4, 6))),
     ]
+    #: Values that tell themselves: they are secrets wherever they stand.
+    plain = [
+        positive[4], positive[5], positive[5], positive[6],
+        lambda: rng.choice(PREFIXES[5:]) + pick(letters + "0123456789", rng.choice((20, 24, 32, 36))),
+        lambda: rng.choice(("xoxb-", "xoxp-")) + pick("0123456789", 12) + "-" + pick("0123456789", 12) + "-" + pick(letters + "0123456789", 24),
+        lambda: pick(letters + "0123456789", rng.randint(32, 48)),
+    ]
+    login = lambda word: rng.choice(("postgres", "mysql", "mongodb", "https", "redis", "amqp")) + "://" + compound(2) + ":" + word + "@" + compound(2) + rng.choice(("", ".com", ":5432")) + "/" + compound(1)
+    neutral = ("{}", "see {}", "use {} here", "({})", "\"{}\"", "{},", "with {} set", "key: {}")
     announce = ["token = \"{}\"", "api_key: {}", "secret={}", "password = '{}'", "export AUTH_TOKEN={}", "Authorization: Bearer {}", "access_key = \"{}\"", "\"private_key\": \"{}\"", "pwd={}"]
     negative = [
         lambda: name("/") + rng.choice((".html", ".py", ".png", "/" + str(rng.randint(1, 99)))),
@@ -239,12 +265,21 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = SEED) -
         lambda: compound(6) + "/" + compound(4),
         lambda: "=" * rng.randint(3, 9) + compound(5) + "=" * rng.randint(3, 9),
         lambda: pick("0123456789", 8) + "_" + compound(4),
+        lambda: rng.choice(("order-", "IMG_", "ref-", "scan_")) + pick("0123456789", 8) + rng.choice("-_") + pick("0123456789", rng.randint(6, 9)),
+        lambda: pick("0123456789abcdef", rng.choice((32, 40, 64))),
     ]
     hashes = ["sha256: {}", "commit {}", "md5 checksum {}", "etag {}", "revision {}", "sample token = {} example"]
     made = []
     for i in range(rows):
         if i % 2:
             value, frame, label = rng.choice(positive)(), rng.choice(announce), 1
+            kind = rng.random()
+            if kind < 0.28:
+                value, frame = rng.choice(plain)(), rng.choice(neutral)
+            elif kind < 0.34:
+                value, frame = login(rng.choice((pick(letters + "0123456789", rng.randint(8, 20)), compound(2) + pick(letters + "0123456789", 8)))), rng.choice(neutral)
+            elif kind < 0.38:
+                value, frame = pick("123456789", 1) + pick("0123456789", rng.randint(5, 9)), rng.choice(("pwd={}", "password: {}", "passwd = \"{}\""))
         else:
             value, label = rng.choice(negative)(), 0
             frame = rng.choice(("{}", "see {}", "\"{}\"", "file = {}", "key: {}", "path {}"))
@@ -252,6 +287,8 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = SEED) -
                 value, frame = pick("0123456789abcdef", rng.choice((32, 40, 64))), rng.choice(hashes)
             elif rng.random() < 0.2:
                 value, frame = rng.choice(("YOUR_API_KEY_HERE", "xxxxxxxxxxxxxxxxxxxx1", "changeme_please_123", "example_token_value_1", "<placeholder_token_1>", rng.choice(DICTIONARY), compound(2))), rng.choice(announce)
+            elif rng.random() < 0.08:
+                value, frame = login(rng.choice(("password", "changeme", "your_password", "<password>", "example", "secret_here", "PASSWORD"))), rng.choice(neutral)
         text = f"{prose(4)} {frame.format(value)} {prose(3)}"
         made.append((text.upper() if rng.random() < 0.05 else text, label))
     return spark.createDataFrame(made, "text string, label int")
