@@ -4,7 +4,8 @@ One product's tasks are one key: its session, at most some dozens of artifacts,
 Events enqueue tasks and tell what became of attempts; the stream puts out which task is to be attempted
 now. A task waits for what it depends on and for the end of its backoff, for which a timer is set; only
 one task of a product is under way at a time, the lowest kind first, then queue order. Clock and timers
-are the stream's processing time, and both state and timers are in its checkpoint.
+are the stream's processing time, and both state and timers are in its checkpoint. A stream that is started
+again looks at its timers with its first batch, so a sender that starts again says so by an event.
 """
 
 from __future__ import annotations
