@@ -53,7 +53,7 @@ DOMINANT = 0.8
 #: Mean count on its pages up to which an element is one of the frame.
 ONCE = 1.2
 #: Elements whose content is never text.
-RAW = frozenset("script style noscript template iframe svg math object textarea title head".split())
+RAW = frozenset("script style noscript template iframe svg object textarea title head".split())
 #: Elements that hold menus, notices, forms and the like.
 ASIDE = frozenset("nav header footer aside form menu dialog button select option fieldset figure audio video canvas".split())
 INLINE = frozenset(
@@ -78,6 +78,12 @@ MARKED = re.compile(
     r"signup|login|search|widget|toolbar|pagination|pager|tags?|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Inside an article only what readers and advertisers add, and what asks for something, is none of it.
+MARKED_INSIDE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|popup|modal|overlay|comments?|respond|reply|replies|disqus|related|recommend\w*|"
+    r"share|sharing|social|subscribe|newsletter|signup|login|hidden)(?:$|[\s_-])",
+    re.I,
+)
 MARKED_INLINE = re.compile(r"(?:^|[\s_-])(?:ads?|adsbygoogle|advert\w*|sponsored|hidden|sr-only|screen-reader-text)(?:$|[\s_-])", re.I)
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ROLE_MAIN = re.compile(r"(?:^|[\s_-])(?:main|articlebody|article-body|post-content|entry-content)(?:$|[\s_-])", re.I)
@@ -186,7 +192,7 @@ def parse(page: str | None, way: frozenset[int] | set[int] = frozenset()) -> tup
         top = stack[-1]
         main = tag in MAIN or bool(ROLE_MAIN.search(" ".join((marks, named.get("itemprop", "")))))
         # The header of an article is part of it; an article inside a sidebar or comment list isn't.
-        marked = bool(marks) and not main and tag not in PLAIN and bool(MARKED.search(marks))
+        marked = bool(marks) and not main and tag not in PLAIN and bool((MARKED_INSIDE if top.main else MARKED).search(marks))
         aside = top.aside or unseen or marked or (tag in ASIDE and not (tag in ("header", "figure") and top.main))
         path = _hash(top.path, tag, *sorted(marks.split()))
         elements.append(Element(path, top.path, tag, main and not aside, aside))

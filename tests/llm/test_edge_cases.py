@@ -268,3 +268,13 @@ def test_mixing_water_fill(spark):
         taken[r.source] = taken.get(r.source, 0) + r.taken
         assert 0 <= r.taken <= 3 * r.size
     assert taken == {"a": 30, "b": 300, "c": 200, None: 120}
+
+
+def test_sections_of_an_article_stay_whatever_they_are_called():
+    from factloom.llm.html_template import main_text
+
+    page = (
+        '<body><nav class="menu">Menu</nav><article><h1>T</h1><p>Intro</p><section id="discussion"><h2>Discussion</h2><p>We discuss results.</p></section><section class="search"><p>Search space.</p></section>'
+        '<div class="header">Head</div><div class="side-note">Side</div><math>a+b</math><div class="comments"><p>First!</p></div><div class="ad">Buy</div><p>End</p></article><div class="search">Find</div></body>'
+    )
+    assert main_text(page) == "T\nIntro\nDiscussion\nWe discuss results.\nSearch space.\nHead\nSide\na+b\nEnd"
