@@ -14,7 +14,7 @@ from factloom.functions import values as V
 from factloom.operators import attribution, projection, resolution
 from factloom.plans import extraction
 from factloom.plans.registry import query, table
-from factloom.schemas import RESOLVED_FIELDS
+from factloom.schemas import RESOLVED_FIELDS, VALUE
 
 _ONCE = "once AS (SELECT l_orderkey AS run_id, l_linenumber AS seq, min(l_quantity)::INT AS q, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)"
 
@@ -189,6 +189,62 @@ def snapshot_hashes(spark, d):
     return projection.hashes(facts, headers)
 
 
+def _document_sql(full: bool) -> str:
+    """JSON of one order's document; without the ids that name a run if it is the meaning that counts."""
+    fact, region = (lambda f: f'"fact_id":"F-{f}",') if full else (lambda f: ""), (lambda r: f',"region_id":"R{r}"') if full else (lambda r: "")
+    place = lambda n: f'{{"artifact_id":"A{n}"{region(n)}}}'
+    reading = lambda n, c, text: f'{{"confidence":{c},"provenance":{place(n)},"value":{{"kind":"text","text":"{text}"}}}}'
+    entries = (
+        f"""'{{"confidence":0.6,"conflicts":[{reading(1, 0.6, '2027-01')},{reading(2, 0.55, '2028-01')}],{fact('b')}"field":"declarations.best_before","status":"CONFLICTING"}},'""",
+        f"""'{{"confidence":0.0,{fact('c')}"field":"declarations.consumer_care","note":"Not read.","status":"UNKNOWN"}},'""",
+        f"""'{{"confidence":' || c || ',{fact('m')}"field":"package.mrp","provenance":{{"artifact_id":"A1"{region(1)},"supporting":[' || CASE WHEN o_orderkey % 2 = 0 THEN '{place(2)},{place(3)}' ELSE '' END || ']}},"status":"OBSERVED","value":' || m || '}},'""",
+        f"""'{{"confidence":0.9,{fact('q')}"field":"package.net_quantity","provenance":{place(2)},"status":"OBSERVED","value":' || q || '}},'""",
+        f"""'{{"confidence":0.8,"derivation":{{"rule_id":"unit_sale_price/mrp-over-net-quantity","rule_version":"{T.VERSION}","source_fact_ids":["F-m","F-q"]}},{fact('u')}"field":"package.unit_sale_price","provenance":{place(1)},"status":"DERIVED","value":' || u || '}},'""",
+        f"""'{{"confidence":0.0,{fact('l')}"field":"presentation.letter_height_mm","internal_status":"NOT_TESTABLE","note":"No validated scale.","status":"UNKNOWN"}}'""",
+    )
+    head = """'{"as_of":"' || o_orderdate::DATE || '","commercial_context":{"is_ecommerce_listing":false,"is_for_retail":true,"is_imported":false,"sale_channel":"retail"},"commodity":{"classification_confidence":0.1235},"declarations":{},' || """
+    run = """'"extraction_run_id":"RUN-' || o_orderkey || '",' || """ if full else ""
+    tail = """ || '],"jurisdiction":{"country":"IN"},"package":{"mrp":' || m || ',"net_quantity":' || q || ',"unit_sale_price":' || u || '},"package_id":"PKG-' || o_orderkey || '","schema_version":"package-facts/1.1"}'"""
+    return head + run + "'\"facts\":[' || " + " || ".join(entries) + tail
+
+
+@query(f"""WITH o AS (SELECT *, 0.7 + o_orderkey % 3 * 0.05 AS c0, '{{"kind":"money","amount":' || (o_orderkey % 50 + 1.5)::DOUBLE || ',"currency":"INR"}}' AS m, '{{"kind":"quantity","qty":' || (o_orderkey % 9 + 1)::DOUBLE || ',"unit":"g"}}' AS q,
+ '{{"kind":"unit_price","amount":0.25,"currency":"INR","per_value":1.0,"per_unit":"g"}}' AS u FROM orders), d AS (SELECT *, round(c0, 4)::DOUBLE AS c FROM o)
+ SELECT o_orderkey AS run_id, {_document_sql(True)} AS document, sha256(replace({_document_sql(True)}, '"extraction_run_id":"RUN-' || o_orderkey || '",', '')) AS content_hash, sha256({_document_sql(False)}) AS semantic_hash FROM d""")
+def document_hashes(spark, d):
+    """Documents that hold a derived, a conflicting, a supported, an unknown and an untestable fact."""
+    k = F.col("o_orderkey")
+    place = lambda n: F.struct(F.lit(f"A{n}").alias("artifact_id"), F.lit(f"R{n}").alias("region_id"))
+    reading = lambda n, c, text: F.struct(V.text(F.lit(text)).alias("value"), F.lit(c).alias("confidence"), F.lit(f"A{n}").alias("artifact_id"), F.lit(f"R{n}").alias("region_id"))
+    rate = F.struct(F.lit(0.25).alias("amount"), F.lit(1.0).alias("per_value"), F.lit("g").alias("per_unit"))
+    quantity = F.struct((k % 9 + 1).cast("double").alias("value"), F.lit("g").alias("unit"))
+    told = (
+        ("declarations.best_before", "CONFLICTING", None, F.lit(0.6), "b", None, None, F.array(reading(1, 0.6, "2027-01"), reading(2, 0.55, "2028-01")), None, None),
+        ("declarations.consumer_care", "UNKNOWN", None, F.lit(0.0), "c", None, None, None, None, "Not read."),
+        ("package.mrp", "OBSERVED", V.money(k % 50 + 1.5), 0.7 + k % 3 * 0.05, "m", 1, F.when(k % 2 == 0, F.array(place(2), place(3))).otherwise(F.slice(F.array(place(2)), 1, 0)), None, None, None),
+        ("package.net_quantity", "OBSERVED", V.quantity(quantity), F.lit(0.9), "q", 2, None, None, None, None),
+        ("package.unit_sale_price", "DERIVED", V.unit_price(rate), F.lit(0.8), "u", 1, None, None, F.array(F.lit("F-m"), F.lit("F-q")), None),
+        ("presentation.letter_height_mm", "NOT_TESTABLE", None, F.lit(0.0), "l", None, None, None, None, "No validated scale."),
+    )
+    either = lambda c, kind: (F.lit(None) if c is None else c).cast(kind)
+    places, readings = "array<struct<artifact_id:string,region_id:string>>", f"array<struct<value:{VALUE},confidence:double,artifact_id:string,region_id:string>>"
+    rows = [
+        F.struct(
+            F.lit(field).alias("field"), F.lit(status).alias("status"), either(value, VALUE).alias("value"), sure.cast("double").alias("confidence"), F.lit(f"F-{name}").alias("fact_id"),
+            F.lit(at and f"A{at}").cast("string").alias("artifact_id"), F.lit(at and f"R{at}").cast("string").alias("region_id"), either(supporting, places).alias("supporting"),
+            either(conflicts, readings).alias("conflicts"), either(sources, "array<string>").alias("source_fact_ids"), F.lit(note).cast("string").alias("note"),
+        )
+        for field, status, value, sure, name, at, supporting, conflicts, sources, note in told
+    ]
+    orders = table(spark, d, "orders")
+    facts = orders.select(k.alias("run_id"), F.explode(F.array(*rows)).alias("f")).select("run_id", "f.*")
+    headers = orders.select(
+        k.alias("run_id"), F.concat(F.lit("PKG-"), k.cast("string")).alias("package_id"), F.col("o_orderdate").cast("date").alias("as_of"), F.lit("retail").alias("sale_channel"), F.lit(False).alias("is_imported"),
+        F.lit(True).alias("is_for_retail"), F.lit(False).alias("is_ecommerce_listing"), F.lit(0.12345).alias("classification_confidence"), F.concat(F.lit("RUN-"), k.cast("string")).alias("extraction_run_id"),
+    )
+    return projection.snapshot_documents(facts, headers)
+
+
 @query(f"""WITH {_ONCE} SELECT run_id, seq, CASE seq % 3 WHEN 0 THEN 'package.mrp' WHEN 1 THEN 'declarations.best_before' ELSE 'declarations.consumer_care' END AS field,
  CASE seq % 3 WHEN 0 THEN 'amount=' || printf('%.6f', q::DOUBLE) || '|currency=INR' WHEN 1 THEN 'text=2027-01' ELSE 'text=Consumer Care: care' || q || '@acme.example' END AS value FROM once""")
 def context_attribution(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import geometry as G
 from factloom.functions import text as T
 from factloom.operators import attribution, ingest, neighbours, projection, resolution
+from factloom.sources import scratch
 
 
 def lines_of_orders(once: DataFrame) -> DataFrame:
@@ -74,7 +75,8 @@ def facts_of_lines(lines: DataFrame) -> DataFrame:
 
 
 def snapshots(facts: DataFrame) -> DataFrame:
-    """One row per run: whether it is released, why not, and its hashes."""
+    """One row per run: whether it is released, why not, and its hashes; facts are made once and read five times."""
+    facts = scratch.written(facts, "facts")
     runs = facts.select("run_id").distinct()
     checked = projection.quarantine(runs, projection.divergences(projection.project(facts), facts), projection.fact_problems(facts))
     return checked.select("run_id", "released", "reason").join(projection.hashes(facts), "run_id")
