@@ -13,7 +13,9 @@
    looked up. Frequent tokens come last in that order. The places of the shared ones bound what the
    rest can add.
 5. A node asks the groups that hold a looked-up token and a node of a larger component than its own
-   (of equal ones the later), so two components are asked about once and parts of one never.
+   (of equal ones the later), so two components are asked about once and parts of one never. First
+   one node of a component asks one group of another, that with most tokens shared; then the rest
+   ask for members that are in a component other than theirs still.
 6. Each set has a bitmap of the parities of its tokens per bucket. Two bitmaps differ in no more bits
    than the sets differ in tokens, so pairs whose bitmaps differ in too many need no look at the sets.
 7. In a task, a group's whole token union bounds each query: fewer than t |Q| of Q's tokens in the
@@ -45,15 +47,15 @@ from factloom.llm.near_dedup import connected_components, shingle_sets
 
 SIMILARITY_PERCENT = 80
 BANDS, BAND_ROWS = 8, 4
-GROUP_ROWS, GROUP_TOKENS = 1000, 1_000_000
-QUERY_ROWS, QUERY_TOKENS = 2000, 2_000_000
+GROUP_ROWS, GROUP_TOKENS = 1000, 500_000
+QUERY_ROWS, QUERY_TOKENS = 2000, 1_000_000
 SAMPLE, SEEN_IN_SAMPLE, MOST_FREQUENT = 16, 3, 1 << 18
 #: Wanted nodes up to this number are sent to the scans of the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], text: str, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], text: str, rows: int = 128) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
@@ -286,11 +288,14 @@ def candidates(cells: DataFrame, places: DataFrame) -> DataFrame:
     after = lambda n: F.floor((n * SIMILARITY_PERCENT + 99) / 100) - 1
     more = F.when(F.col("members") == 1, F.least(F.col("n") - F.col("last.at") - 1, F.col("last.rest"))).otherwise(F.greatest(after(F.col("n")), after(F.col("high"))))
     enough = (F.col("shared") + more) * (100 + SIMILARITY_PERCENT) >= (F.col("n") + F.col("low")) * SIMILARITY_PERCENT
-    return pairs.filter(enough).select("node", "grp")
+    return pairs.filter(enough).select("node", "grp", "shared")
 
 
 def near_enough(pairs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (node, grp, n) whose group has a member that the sizes and parities leave possible; members: grp, node; nodes: node, n, bits."""
+    """Pairs (node, grp, n) whose group has a member of another component that the sizes and parities leave possible.
+
+    members: grp, node; nodes: node, n, bits, comp.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,9 +305,9 @@ def near_enough(pairs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataF
             kept = [differing(x, y) <= most for x, y, most in zip(a, b, apart, strict=True)]
             yield batch.select(["node", "grp", "n"]).filter(pa.array(kept, pa.bool_()))
 
-    other = members.select("grp", F.col("node").alias("other")).join(nodes.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("other_bits")), "other")
-    met = pairs.join(nodes.select("node", "n", "bits"), "node").join(other, "grp")
-    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * SIMILARITY_PERCENT) & (F.col("node") != F.col("other"))
+    other = members.select("grp", F.col("node").alias("other")).join(nodes.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("other_bits"), F.col("comp").alias("other_comp")), "other")
+    met = pairs.select("node", "grp").join(nodes.select("node", "n", "bits", "comp"), "node").join(other, "grp")
+    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * SIMILARITY_PERCENT) & (F.col("comp") != F.col("other_comp"))
     return met.filter(fits).select("node", "grp", "n", "m", "bits", "other_bits").mapInArrow(work, "node long, grp long, n long").distinct()
 
 
@@ -350,13 +355,16 @@ def jaccard_components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     placed = placed.join(placed.groupBy("grp").agg(F.max("rank").alias("top"), F.count("*").alias("members")), "grp")
     placed = materialise(placed, "groups-placed")
     where = rows.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").drop("digest").distinct().join(placed.drop("comp"), "node")
-    pairs = candidates(cells_of(docs, *frequent_tokens(docs)), materialise(where, "groups-where"))
-    pairs = materialise(pairs, "groups-asking")
-    pairs = materialise(near_enough(pairs, placed.join(pairs.select("grp").distinct(), "grp", "left_semi"), nodes), "groups-pairs")
-    if not pairs.isEmpty():
-        asked = placed.select("node", "grp").join(pairs.select("grp").distinct(), "grp", "left_semi")
-        across = materialise(links_across(docs, pairs, asked, names.join(placed.select("node", "comp"), "node")), "groups-links")
-        comps = _components(groups, links.unionByName(across))
+    asking = materialise(candidates(cells_of(docs, *frequent_tokens(docs)), materialise(where, "groups-where")), "groups-asking")
+    tops = placed.select("grp", F.col("top.comp").alias("other")).distinct()
+    best = F.max(F.struct("shared", "node", "grp")).alias("best")
+    first = asking.join(placed.select("node", "comp"), "node").join(tops, "grp").groupBy("comp", "other").agg(best).select("best.node", "best.grp")
+    first = materialise(first, "groups-first")
+    for pairs in (first, asking.join(first, ["node", "grp"], "left_anti")):
+        found = _asked(docs, pairs, placed.select("grp", "node"), nodes, comps)
+        if found is not None:
+            links = links.unionByName(found)
+            comps = _components(groups, links)
 
     named = comps.join(nodes.select("node", "digest", "doc_id"), "node")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -365,6 +373,17 @@ def jaccard_components(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return found.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _asked(docs: DataFrame, pairs: DataFrame, members: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame | None:
+    """Links that the pairs (node, grp) lead to, written out; None without any pair worth a look."""
+    known = nodes.select("node", "doc_id", "digest", "n", "bits").join(comps, "node")
+    opened = members.join(pairs.select("grp").distinct(), "grp", "left_semi")
+    near = materialise(near_enough(pairs, opened, known.select("node", "n", "bits", "comp")), "groups-pairs")
+    if near.isEmpty():
+        return None
+    opened = members.join(near.select("grp").distinct(), "grp", "left_semi")
+    return materialise(links_across(docs, near, opened, known.select("node", "doc_id", "digest", "comp")), "groups-links")
+
+
 def _components(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp) of every node, written out."""
     found = connected_components(links, "groups-stars")
