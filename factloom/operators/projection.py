@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.functions import values as V
+from factloom.operators.resolution import CROWDED
 from factloom.schemas import CONTRACT_STATUSES, INTERNAL_FIELDS, PROJECTION, SNAPSHOT_VERSION, VALUE_STATUSES
 
 
@@ -54,6 +55,7 @@ def fact_problems(facts: DataFrame) -> DataFrame:
         (~c("confidence").between(0, 1), "confidence out of range"),
         (~for_contract(c("status")).isin(*CONTRACT_STATUSES), "unknown status"),
         (~c("field").isin(*known), "unknown field"),
+        *([(F.coalesce(c("note") == CROWDED, F.lit(False)), "too many candidates")] if "note" in facts.columns else []),
     )
     single = facts.select("run_id", "field", F.explode(checks).alias("problem"))
     twice = facts.groupBy("run_id", "field").count().filter("count > 1").select("run_id", "field", F.lit("field stated twice").alias("problem"))

@@ -2,7 +2,8 @@
 
 Deduplication and value grouping depend on order, and value equality is no equivalence (a month
 equals each of its days), so they are folds over a run and field's candidates in the order of score
-and seq. Those lists are short by nature; ``MOST`` guards the assumption with an error.
+and seq. Those lists are short by nature; a run that breaks the assumption of at most ``MOST`` is not
+folded but held back, and no other run is touched.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ POLICY = "factloom-confidence-1"
 SAME_REGION = 0.60
 DECISIVE_GAP = 0.25
 MOST = 5000
+#: Note of a fact that was not resolved because its run has too many candidates; such a run is quarantined.
+CROWDED = "Too many candidates to compare."
 _BOX = "struct<l:double,t:double,r:double,b:double>"
 _MEMBER = (
     f"struct<minus:double,seq:bigint,candidate_id:string,artifact_id:string,region_id:string,space:string,box:{_BOX},value:{VALUE},fold:string,"
@@ -83,8 +86,14 @@ def _described(groups: Column) -> Column:
     return F.array_sort(F.transform(groups, one))
 
 
+def crowded(candidates: DataFrame) -> DataFrame:
+    """(run_id, field): lists of candidates that are too long to be folded in one row."""
+    return candidates.groupBy("run_id", "field").agg(F.count("*").alias("n")).filter(F.col("n") > MOST).select("run_id", "field")
+
+
 def value_groups(candidates: DataFrame) -> DataFrame:
-    """(run_id, field, groups) of candidates; see ``resolve`` for their columns."""
+    """(run_id, field, groups) of candidates, but for crowded lists; see ``resolve`` for their columns."""
+    candidates = candidates.join(crowded(candidates), ["run_id", "field"], "left_anti")
     box = G.bounds(F.col("geom"))
     value = F.col("value").cast(VALUE)
     words = F.coalesce(value["name"], value["text"])
@@ -96,8 +105,7 @@ def value_groups(candidates: DataFrame) -> DataFrame:
         F.coalesce("region_quality", F.lit(1.0)).alias("quality"),
     )
     listed = candidates.groupBy("run_id", "field").agg(F.array_sort(F.collect_list(member)).cast(f"array<{_MEMBER}>").alias("m"))
-    guarded = F.when(F.size("m") > MOST, F.raise_error(F.lit("too many candidates of one field"))).otherwise(F.col("m"))
-    grouped = listed.withColumn("m", guarded).withColumn("m", deduplicate(F.col("m"))).withColumn("groups", group_values(F.col("field"), F.col("m")))
+    grouped = listed.withColumn("m", deduplicate(F.col("m"))).withColumn("groups", group_values(F.col("field"), F.col("m")))
     return grouped.select("run_id", "field", _described(F.col("groups")).alias("groups"))
 
 
@@ -106,16 +114,16 @@ def resolve(candidates: DataFrame, runs: DataFrame, fields: tuple[str, ...] = RE
 
     candidates: run_id, field, candidate_id, artifact_id, region_id, geom, value, attribution_confidence,
     recognition_confidence, region_quality, seq. runs: run_id. Fields without candidates are UNKNOWN,
-    never absent.
+    never absent; so are those with more than ``MOST``, which say so and hold their run back.
     """
     every = runs.select("run_id").distinct().withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
-    found = every.join(value_groups(candidates), ["run_id", "field"], "left")
+    found = every.join(value_groups(candidates), ["run_id", "field"], "left").join(crowded(candidates).withColumn("crowded", F.lit(True)), ["run_id", "field"], "left")
     top, second, n = F.get("groups", F.lit(0)), F.get("groups", F.lit(1)), F.coalesce(F.size("groups"), F.lit(0))
     gap = top["confidence"] - second["confidence"]
     status = F.when(F.col("groups").isNull(), "UNKNOWN").when(n == 1, "OBSERVED").when(gap < DECISIVE_GAP, "CONFLICTING").otherwise("OBSERVED")
     rejected = F.array_join(F.transform(F.slice("groups", 2, F.greatest(n - 1, F.lit(0))), lambda g: F.format_string("%s @ %.2f", V.canonical(g["value"]), g["confidence"])), "; ")
     note = (
-        F.when(status == "UNKNOWN", "No candidate was read; that is no evidence that the declaration is absent.")
+        F.when(F.col("crowded"), CROWDED).when(status == "UNKNOWN", "No candidate was read; that is no evidence that the declaration is absent.")
         .when(status == "CONFLICTING", F.format_string("%d incompatible values within %.2f of confidence.", n, F.lit(DECISIVE_GAP)))
         .when(n > 1, F.format_string("Provisionally resolved over %d rejected reading(s); gap %.2f. Rejected: %s", n - 1, gap, rejected))
         .when(top["views"] > 1, F.format_string("Agreed across %d view(s).", top["views"]))
@@ -192,6 +200,26 @@ def near_duplicate_artifacts(texts: DataFrame, threshold: float = 0.85, min_char
     return shared.select("run_id", "a", "b", (F.col("shared") / F.col("least")).alias("overlap")).filter(F.col("overlap") >= threshold)
 
 
+def text_classes(texts: DataFrame, min_chars: int = 4) -> DataFrame:
+    """(run_id, artifact_id, class_id) of all artifacts: those with the same set of texts are one class, named by its least artifact.
+
+    Copies are members, not pairs. Texts are compared as ``near_duplicate_artifacts`` does; an artifact without any is a class of its own.
+    """
+    folded = texts.select("run_id", "artifact_id", T.folded(F.col("clean")).alias("text"))
+    kept = F.array_sort(F.collect_set(F.when(F.char_length("text") >= min_chars, F.col("text"))))
+    sets = folded.groupBy("run_id", "artifact_id").agg(kept.alias("texts"))
+    named = sets.select("run_id", "artifact_id", F.when(F.size("texts") > 0, F.sha2(F.to_json("texts"), 256)).alias("digest"))
+    least = named.filter("digest IS NOT NULL").groupBy("run_id", "digest").agg(F.min("artifact_id").alias("class_id"))
+    return named.join(least, ["run_id", "digest"], "left").select("run_id", "artifact_id", F.coalesce("class_id", "artifact_id").alias("class_id"))
+
+
+def near_duplicate_classes(texts: DataFrame, threshold: float = 0.85, min_chars: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Membership (run_id, artifact_id, class_id) and pairs of classes (run_id, a, b, overlap) that overlap: copies are never paired."""
+    members = text_classes(texts, min_chars)
+    leaders = members.select("run_id", F.col("class_id").alias("artifact_id")).distinct()
+    return members, near_duplicate_artifacts(texts.join(leaders, ["run_id", "artifact_id"], "left_semi"), threshold, min_chars)
+
+
 def surface_coverage(artifacts: DataFrame) -> DataFrame:
     """Sorted distinct surfaces, whether the front is among them, and how many artifacts a run has."""
     return artifacts.groupBy("run_id").agg(

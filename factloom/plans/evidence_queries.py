@@ -282,6 +282,16 @@ def near_duplicate_artifacts(spark, d):
     return resolution.near_duplicate_artifacts(lines).select("a", "b", F.round("overlap", 9).alias("overlap"))
 
 
+@query(r"""WITH l AS (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT lang, doc_id, replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), 'ß', 'ss') AS clean FROM l),
+ s AS (SELECT lang, doc_id, list_sort(list(DISTINCT clean)) AS texts FROM c WHERE length(clean) >= 4 GROUP BY ALL), m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, texts) AS class_id FROM s)
+ SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM (SELECT DISTINCT doc_id FROM c) LEFT JOIN m USING (doc_id)""")
+def near_duplicate_classes(spark, d):
+    """Documents of a language as artifacts of one run: those with the same lines are one class."""
+    lines = table(spark, d, "documents").select(F.col("lang").alias("run_id"), F.col("doc_id").alias("artifact_id"), F.explode(F.split("text", "\n", -1)).alias("line"))
+    members, _ = resolution.near_duplicate_classes(lines.withColumn("clean", T.clean_unicode(F.col("line"))))
+    return members.select(F.col("artifact_id").alias("doc_id"), "class_id")
+
+
 @query("""SELECT l_orderkey AS run_id, list_aggregate(list_sort(list_distinct(list(v))), 'string_agg', ',') AS surfaces, bool_or(v = 'front') AS has_front, count(*)::BIGINT AS artifacts
  FROM (SELECT l_orderkey, CASE l_linenumber % 4 WHEN 0 THEN 'front' WHEN 1 THEN 'back' WHEN 2 THEN 'extra' ELSE 'unknown' END AS v FROM lineitem) GROUP BY 1""")
 def surface_coverage(spark, d):

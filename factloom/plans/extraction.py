@@ -70,6 +70,7 @@ def facts_of_lines(lines: DataFrame) -> DataFrame:
     found = found.withColumn("region_id", T.prefixed_id("REG-", F.col("run_id"), F.col("artifact_id"), F.col("seq")))
     found = found.withColumn("candidate_id", T.prefixed_id("CAND-", F.col("run_id"), F.col("artifact_id"), F.col("seq"), F.col("field"))).withColumn("region_quality", F.lit(1.0))
     runs = lines.select("run_id").distinct()
+    found = scratch.written(found, "candidates")  # counted and folded
     facts = resolution.derive_unit_price(resolution.resolve(found, runs))
     return facts.unionByName(resolution.not_testable(runs, facts))
 

@@ -162,3 +162,28 @@ def test_near_duplicates_fold_texts(spark):
     texts = [("r", "a", t) for t in ("STRASSE one", "Net 500 g", "abc")] + [("r", "b", t) for t in ("Straße One", "net 500 G", "xyz")] + [("r", "c", "other line")]
     pairs = resolution.near_duplicate_artifacts(spark.createDataFrame(texts, "run_id string, artifact_id string, clean string")).collect()
     assert [(p.a, p.b, p.overlap) for p in pairs] == [("a", "b", 1.0)]
+
+
+def test_a_crowded_run_is_held_back_and_no_other(spark, monkeypatch):
+    from factloom.functions import values as V
+    from factloom.operators import projection
+
+    monkeypatch.setattr(resolution, "MOST", 3)
+    rows = [(run, seq) for run, n in (("few", 3), ("many", 4)) for seq in range(n)]
+    made = spark.createDataFrame(rows, "run_id string, seq int").select(
+        "run_id", F.lit("package.mrp").alias("field"), F.col("seq").cast("string").alias("candidate_id"), F.concat(F.lit("A"), "seq").alias("artifact_id"), F.concat(F.lit("R"), "seq").alias("region_id"),
+        G.bbox(F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)).alias("geom"), V.money(F.lit(10.0)).alias("value"), F.lit(0.9).alias("attribution_confidence"), F.lit(0.9).alias("recognition_confidence"), F.lit(1.0).alias("region_quality"), "seq",
+    )
+    facts = resolution.resolve(made, made, ("package.mrp",))
+    assert {r.run_id: (r.status, r.views) for r in facts.collect()} == {"few": ("OBSERVED", 3), "many": ("UNKNOWN", None)}
+    held = projection.quarantine(made.select("run_id").distinct(), projection.divergences(projection.project(facts), facts), projection.fact_problems(facts))
+    got = {r.run_id: (r.released, r.problems) for r in held.collect()}
+    assert got["few"][0] and got["many"] == (False, ["too many candidates"])
+
+
+def test_copies_are_members_and_only_classes_pair(spark):
+    texts = [("r", f"c{i:03d}", t) for i in range(200) for t in ("line one", "line two", "line three")] + [("r", "near", t) for t in ("line one", "line two", "line three", "line four")] + [("r", "none", "x"), ("s", "c000", "line one")]
+    members, pairs = resolution.near_duplicate_classes(spark.createDataFrame(texts, "run_id string, artifact_id string, clean string"))
+    got = {(r.run_id, r.artifact_id): r.class_id for r in members.collect()}
+    assert len(got) == 203 and {v for (run, _), v in got.items() if run == "r"} == {"c000", "near", "none"}
+    assert [(r.a, r.b, r.overlap) for r in pairs.collect()] == [("c000", "near", 1.0)]
