@@ -150,10 +150,12 @@ def grouped(nodes: DataFrame) -> DataFrame:
     chosen = nodes.select("node", "n").join(best, "node", "left")
     share = F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int")
     sizes = chosen.filter("key IS NOT NULL").groupBy("key").agg(share.alias("parts"), F.min("node").alias("guest"))
-    placed = chosen.join(sizes, "key", "left")
     part = F.pmod(F.xxhash64("node", F.lit(3)), "parts")
-    group = F.when(F.col("key").isNull(), F.xxhash64("node", F.lit(1))).otherwise(F.xxhash64("key", part, F.lit(2)))
-    return placed.select("node", "n", group.alias("grp"), "key", "parts", "guest")
+    shared = chosen.join(sizes, "key").select("node", "n", F.xxhash64("key", part, F.lit(2)).alias("grp"), "key", "parts", "guest")
+    kinds = dict(shared.dtypes)
+    alone = [F.lit(None).cast(kinds[c]).alias(c) for c in ("key", "parts", "guest")]
+    # Nodes without a shared key, which are most, take no part in the join: they would all meet under null.
+    return shared.unionByName(chosen.filter("key IS NULL").select("node", "n", F.xxhash64("node", F.lit(1)).alias("grp"), *alone))
 
 
 def members_with_guests(groups: DataFrame) -> DataFrame:
