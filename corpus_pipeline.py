@@ -21,6 +21,14 @@ from factloom.llm.secret_scan import Forest, labelled_findings, redact_secrets
 from factloom.llm.unigram_pieces import default_model, encode_pieces
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that the documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the rule ensemble, fitted on the folder's labels, scores at ``CUTOFF`` or more."""
     model = fit_sample(docs, table(spark, sf_dir, "labels"))
@@ -30,8 +38,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of every component of near copies."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    own = _free("kept_id", docs)
+    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +59,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mixed = mix_sources(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     share = mixed.groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken")).filter("size > 0")
-    copies = share.select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies"),
-    ).filter("__copies > 0")
-    sized = docs.select("*", word_count(F.col("text")).alias("__words"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    repeated = sized.join(copies, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__epoch"))
+    own, source, size, copies, words, epoch = (_free(n, docs) for n in ("mix_id", "mix_source", "mix_size", "mix_copies", "mix_words", "mix_epoch"))
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    repeats = share.select(F.col("doc_id").alias(own), F.col("source").alias(source), F.col("size").alias(size), times.alias(copies)).filter(F.col(copies) > 0)
+    sized = docs.select("*", word_count(F.col("text")).alias(words))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    repeated = sized.join(repeats, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(epoch))
     return repeated.select(*docs.columns)
 
 

@@ -47,3 +47,30 @@ def test_empty_documents(spark, tmp_path):
         assert docs.isEmpty(), name
         if name != "pieces":
             docs = spark.createDataFrame([], docs.schema)
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark):
+    """Null texts, ids and sources, repeated ids, a very long text and columns that the stages' own might clash with."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    body = "Die Prüfung der Waren ist in allen Märkten gleich und wird jeden Tag von neuem begonnen. "
+    rows = [
+        (1, body * 3, "a"), (2, body * 3, "a"), (2, body * 3, "a"), (None, "ein ganz anderer Text ohne Bezug zu den anderen Zeilen", "b"), (4, None, "b"), (5, "", None), (6, "kurz", None), (7, " ".join(f"w{i}" for i in range(60_000)), "b"),
+        (8, 'wir nutzen token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" hier ' + body, "a"),
+    ]
+    clash = ("mix_id", "mix_copies", "kept_id", "__id", "__copies", "__words", "__epoch", "mix_source", "taken", "size", "node", "comp", "value", "score")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for i, c in enumerate(clash):
+        docs = docs.withColumn(c, F.lit(i))
+    kept = P.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((str(r.doc_id) for r in kept.collect())) == ["1", "4", "5", "6", "7", "8", "None"]
+    clean = P.secrets(spark, docs, "")
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert clean.columns == docs.columns and "9f86d081" not in texts[8] and texts[4] is None and texts[7] == rows[7][1]
+    mixed = P.mixing(spark, docs, "")
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {1, 2, None, 6, 7, 8}
+    coded = P.pieces(spark, docs, "")
+    assert coded.count() == len(rows)
+    none = docs.limit(0)
+    assert all(stage(spark, none, "").count() == 0 for stage in (P.near_dedup, P.secrets, P.mixing, P.pieces))
