@@ -11,7 +11,8 @@ from factloom.operators.ingest import first_wins
 def write_artifacts(artifacts: DataFrame, path: str) -> DataFrame:
     """Append artifacts that are not stored yet, by the first bytes of their digest; returns conflicts.
 
-    Keys that come with another digest than the stored or first one are returned and not written.
+    Keys that come with another digest than the stored or first one are returned and not written. This
+    is for one writer at a time; where several may write, ``commits.put_artifacts`` lets one of them win.
     """
     spark = artifacts.sparkSession
     try:
@@ -30,7 +31,10 @@ def write_artifacts(artifacts: DataFrame, path: str) -> DataFrame:
 
 
 def append_run(parts: dict[str, DataFrame], folder: str) -> None:
-    """Append one run's tables, each to its own folder; Spark's commit makes each append whole."""
+    """Append one run's tables, each to its own folder; Spark's commit makes each append whole.
+
+    ``commits.record_run`` makes all of them one commit.
+    """
     for name, rows in parts.items():
         rows.write.mode("append").parquet(f"{folder}/{name}")
 
