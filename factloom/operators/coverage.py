@@ -88,10 +88,17 @@ def distinct_lines(lines: DataFrame, overlap: float = 0.6) -> DataFrame:
     return listed.select("capture_id", F.explode(kept).alias("r")).select("capture_id", "r.seq", "r.left", "r.top", "r.right", "r.bottom")
 
 
-def legibility(lines: DataFrame, min_lines: int = 3) -> DataFrame:
-    """(capture_id, n, score, verdict): too few lines fail with half their legible share, else the mean confidence, or without any the legible share, decides."""
+def legibility(lines: DataFrame, min_lines: int = 3, order: str | None = None) -> DataFrame:
+    """(capture_id, n, score, verdict): too few lines fail with half their legible share, else the mean confidence, or without any the legible share, decides.
+
+    A sum of doubles depends on its order, and a mean may lie on a bound: with the column ``order`` lines are added up by it, so that every rerun decides alike.
+    """
+    total = F.sum("confidence")
+    if order:
+        lines = lines.withColumn("so_far", total.over(W.partitionBy("capture_id").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+        total = F.max_by("so_far", order)
     stats = lines.groupBy("capture_id").agg(
-        F.count("*").alias("n"), F.avg("confidence").alias("mean"), F.avg(F.when(F.col("legible"), 1.0).otherwise(0.0)).alias("share")
+        F.count("*").alias("n"), (total / F.count("confidence")).alias("mean"), F.avg(F.when(F.col("legible"), 1.0).otherwise(0.0)).alias("share")
     )
     few, told = F.col("n") < min_lines, F.coalesce("mean", "share")
     low, high = F.when(F.col("mean").isNull(), 0.30).otherwise(0.50), F.when(F.col("mean").isNull(), 0.60).otherwise(0.70)

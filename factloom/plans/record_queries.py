@@ -156,8 +156,9 @@ def acceptance(spark, d):
 
 @query("""SELECT l_orderkey AS capture_id, count(*) AS n, round(CASE WHEN count(*) < 3 THEN avg((l_quantity > 10)::INT) * 0.5 ELSE least(avg(l_discount * 10), 1.0) END, 9)::DOUBLE AS score, CASE WHEN count(*) < 3 OR avg(l_discount * 10) < 0.5 THEN 'fail' WHEN avg(l_discount * 10) < 0.7 THEN 'warn' ELSE 'pass' END AS verdict FROM lineitem GROUP BY 1""")
 def legibility(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("capture_id"), (F.col("l_discount") * 10).alias("confidence"), (F.col("l_quantity") > 10).alias("legible"))
-    return coverage.legibility(lines).withColumn("score", F.round("score", 9))
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("capture_id"), (F.col("l_discount") * 10).alias("confidence"), (F.col("l_quantity") > 10).alias("legible"), place)
+    return coverage.legibility(lines, order="place").withColumn("score", F.round("score", 9))
 
 
 def _tasks(spark, d):

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import quality
+from factloom.plans import record_queries
 from factloom.sources import files, sinks
 from factloom.streaming import queue_state
 
@@ -108,3 +109,19 @@ def test_every_oracle_has_its_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
+
+
+def test_legibility_is_alike_however_lines_are_dealt(spark, tmp_path):
+    """0.2 + 0.4 + 0.9 depends on its order, and its mean lies on a bound: the table's order decides, in whatever parts it is read."""
+    told = [0.02, 0.04, 0.09]
+    part = lambda *at: spark.createDataFrame([(k, told[(k + i) % 3], 20.0) for i in at for k in range(300)], "l_orderkey long, l_discount double, l_quantity double").coalesce(1)
+    part(0).write.parquet(f"{tmp_path}/lineitem.parquet/p=0")
+    part(1, 2).write.parquet(f"{tmp_path}/lineitem.parquet/p=1")  # a task of its own adds up the last two
+    means = {k: (told[k % 3] * 10 + told[(k + 1) % 3] * 10 + told[(k + 2) % 3] * 10) / 3 for k in range(300)}
+    assert len({x < 0.5 for x in means.values()}) == 2
+    got = {}
+    for most in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        got[most] = {r.capture_id: r.verdict for r in record_queries.legibility(spark, str(tmp_path)).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got["128m"] == got["1k"] == {k: "fail" if x < 0.5 else "warn" for k, x in means.items()}
