@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions import geometry as G
 from factloom.functions import values as V
-from factloom.operators import projection, resolution
-from factloom.plans import extraction
+from factloom.operators import neighbours, projection, resolution
+from factloom.plans import evidence_queries, extraction
 from factloom.schemas import POINT_RING, RESOLVED_FIELDS, VALUE
+from factloom.sources import scratch
 
 ROW = f"run_id string, field string, candidate_id string, artifact_id string, region_id string, geom {POINT_RING}, value {VALUE}, attribution_confidence double, recognition_confidence double, region_quality double, seq int"
 
@@ -187,3 +188,29 @@ def test_copies_are_members_and_only_classes_pair(spark):
     got = {(r.run_id, r.artifact_id): r.class_id for r in members.collect()}
     assert len(got) == 203 and {v for (run, _), v in got.items() if run == "r"} == {"c000", "near", "none"}
     assert [(r.a, r.b, r.overlap) for r in pairs.collect()] == [("c000", "near", 1.0)]
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_neighbours_take_one_shuffle(spark):
+    lines = spark.createDataFrame([(1, "A", k, f"t{k}", (0.0, k * 30.0, 10.0, k * 30.0 + 20)) for k in range(5)], "run_id long, artifact_id string, seq int, clean string, bounds struct<l:double,t:double,r:double,b:double>")
+    found = neighbours.with_neighbours(lines)
+    assert _shuffles(found) == 1
+    # A reach of 50: one line above and one below; at exactly the reach a line still counts.
+    assert {r.seq: r.near for r in found.collect()}[2] == ["t1", "t3"]
+    near = neighbours.with_neighbours(lines, radius=3.0)
+    assert {r.seq: r.near for r in near.collect()}[2] == ["t1", "t3", "t0", "t4"]
+
+
+def test_facts_keep_no_ids_on_disk(spark, tmp_path, monkeypatch):
+    """Ids are hashes of what is kept: candidates are written without them, and divergences compare a run's facts in one row."""
+    monkeypatch.setattr(scratch, "new_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    facts = evidence_queries.order_facts(spark, "/root/testdata/sf0.001").cache()
+    assert not {"candidate_id", "region_id"} & set(spark.read.parquet(f"file://{tmp_path}/candidates").columns)
+    one = facts.filter("status = 'OBSERVED'").limit(1).cache()
+    stated = projection.project(facts).join(one.select("run_id"), "run_id").cache()
+    assert projection.divergences(stated, facts).count() == 0
+    twice = facts.unionByName(one.withColumn("value", F.lit(None).cast(facts.schema["value"].dataType)))
+    assert [(r.field, r.authoritative) for r in projection.divergences(stated, twice).collect()] == [(one.first().field, None)]
