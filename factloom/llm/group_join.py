@@ -293,24 +293,61 @@ def candidates(cells: DataFrame, places: DataFrame) -> DataFrame:
     return pairs.filter(enough).select("node", "grp", "shared")
 
 
+class Bitmaps:
+    """Parity bitmaps of a group's sets: by their length in bytes, and folded to the length of the one that asks."""
+
+    def __init__(self, bits: list[bytes]):
+        lengths = np.array([len(b) for b in bits], np.int64)
+        rows = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths).tolist()}
+        self.levels = {n: (at, np.frombuffer(b"".join(bits[i] for i in at), np.uint8).reshape(-1, n)) for n, at in rows.items()}
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    @staticmethod
+    def fold(bits: np.ndarray, length: int) -> np.ndarray:
+        """Bitmaps on a coarser scale: a bucket's parity is that of the buckets it is made of."""
+        return np.packbits(np.unpackbits(bits, axis=1).reshape(len(bits), 8 * length, -1).sum(axis=2).astype(np.uint8) & 1, axis=1)
+
+    def near(self, bits: bytes, most: np.ndarray) -> bool:
+        """Whether a set differs from this one in at most ``most`` (of every set, negative: not asked) bits."""
+        own = np.frombuffer(bits, np.uint8)[None]
+        for length, (at, held) in self.levels.items():
+            at, few = at[most[at] >= 0], held[most[at] >= 0]
+            if not len(at):
+                continue
+            if length > len(bits):
+                if (length, len(bits)) not in self.folded:
+                    self.folded[length, len(bits)] = self.fold(held, len(bits))
+                few = self.folded[length, len(bits)][most[self.levels[length][0]] >= 0]
+            asked = self.fold(own, length) if length < len(bits) else own
+            if (np.bitwise_count(few ^ asked).sum(axis=1, dtype=np.int64) <= most[at]).any():
+                return True
+        return False
+
+
 def near_enough(pairs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (node, grp, n) whose group has a member of another component that the sizes and parities leave possible.
 
-    members: grp, node; nodes: node, n, bits, comp.
+    members: grp, node; nodes: node, n, bits, comp. Askers are dealt in chunks of a group and meet its
+    members as bitmaps inside a task: what is no link of any asker is never a row.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m, a, b = (batch.column(c).to_pylist() for c in ("n", "m", "bits", "other_bits"))
-            total = [x + y for x, y in zip(n, m, strict=True)]
-            apart = [t - 2 * -(-t * SIMILARITY_PERCENT // (100 + SIMILARITY_PERCENT)) for t in total]
-            kept = [differing(x, y) <= most for x, y, most in zip(a, b, apart, strict=True)]
-            yield batch.select(["node", "grp", "n"]).filter(pa.array(kept, pa.bool_()))
-
-    other = members.select("grp", F.col("node").alias("other")).join(nodes.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("other_bits"), F.col("comp").alias("other_comp")), "other")
-    met = pairs.select("node", "grp").join(nodes.select("node", "n", "bits", "comp"), "node").join(other, "grp")
-    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * SIMILARITY_PERCENT) & (F.col("comp") != F.col("other_comp"))
-    return met.filter(fits).select("node", "grp", "n", "m", "bits", "other_bits").mapInArrow(work, "node long, grp long, n long").distinct()
+    def work(asking, group):
+        if not asking.num_rows or not group.num_rows:
+            return asking.select(["node", "grp", "n"]).slice(0, 0)
+        m, comps, held = group.column("n").to_numpy(), group.column("comp").to_numpy(), Bitmaps(group.column("bits").to_pylist())
+        kept = []
+        for n, comp, bits in zip(*(asking.column(c).to_pylist() for c in ("n", "comp", "bits")), strict=True):
+            fits = (np.minimum(n, m) * 100 >= np.maximum(n, m) * SIMILARITY_PERCENT) & (comps != comp)
+            most = n + m - 2 * -(-(n + m) * SIMILARITY_PERCENT // (100 + SIMILARITY_PERCENT))
+            kept.append(held.near(bits, np.where(fits, most, -1)))
+        return asking.select(["node", "grp", "n"]).filter(pa.array(kept, pa.bool_()))
+
+    known = nodes.select("node", "n", "bits", "comp")
+    sizes = pairs.groupBy("grp").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks"))
+    asked = pairs.select("node", "grp").join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), "chunks").cast("int")).join(known, "node")
+    opened = members.join(sizes, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(known, "node")
+    side = lambda rows: rows.select(*[F.col(c).alias(c) for c in ("grp", "chunk", "node", "n", "bits", "comp")]).groupBy("grp", "chunk")
+    return side(asked).cogroup(side(opened)).applyInArrow(work, "node long, grp long, n long")
 
 
 def links_across(docs: DataFrame, pairs: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm import group_join as G
@@ -95,6 +96,33 @@ def test_parities_never_differ_more_than_sets():
     assert G.differing(*map(G.parities, far)) > 222 and G.differing(G.parities(far[0]), G.parities(far[0])) == 0
 
 
+def test_bitmaps_of_a_group_differ_as_pairs_do():
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(0, 2**63, 1200, dtype=np.uint64) * np.uint64(2))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (1, 60, 63, 64, 90, 127, 128, 130, 250, 257, 1000, 1100)]
+    bits = [G.parities(s) for s in sets]
+    held = G.Bitmaps(bits)
+    for a in bits:
+        for y, b in enumerate(bits):
+            only = np.where(np.arange(len(bits)) == y, G.differing(a, b), -1)
+            assert held.near(a, only) and (only[y] == 0 or not held.near(a, np.where(only >= 0, only - 1, -1)))
+        assert not held.near(a, np.full(len(bits), -1))
+
+
+def test_members_that_stay_apart_are_no_rows(spark):
+    """Askers far from every member of a large group: no operator of the plan makes a row of an asker and a member."""
+    n, rng = 120, np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64) * np.uint64(2)) for _ in range(2 * n)]
+    nodes = spark.createDataFrame([(i, len(s), bytearray(G.parities(s)), i) for i, s in enumerate(sets)], "node long, n long, bits binary, comp long")
+    pairs, members = spark.range(n).select(F.col("id").alias("node"), F.lit(9).cast("long").alias("grp")), spark.range(n, 2 * n).select(F.lit(9).cast("long").alias("grp"), F.col("id").alias("node"))
+    near = G.near_enough(pairs, members, nodes)
+    assert near.collect() == []
+    same = G.near_enough(pairs, members, nodes.withColumn("bits", F.first("bits").over(W.orderBy(F.lit(0)))).withColumn("n", F.lit(60).cast("long")))
+    assert sorted(r.node for r in same.collect()) == list(range(n))
+    left = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in left and "other_comp" not in left
+
+
 def test_empty_table(spark):
     assert G.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
