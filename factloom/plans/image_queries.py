@@ -13,6 +13,10 @@ from factloom.operators import image_checks, quality
 from factloom.plans.registry import query, table
 
 
+#: Pictures that a task draws and passes on at a time.
+DRAWN_ROWS = 16
+
+
 def _drawn(rows: DataFrame, size: int, pixel) -> DataFrame:
     """Square pictures of one channel: ``pixel`` gives the brightness at (x, y)."""
     at = F.sequence(F.lit(0), F.lit(size * size - 1))
@@ -21,17 +25,20 @@ def _drawn(rows: DataFrame, size: int, pixel) -> DataFrame:
     return rows.select("image_id", side("height"), side("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(shade, "")).alias("data"))
 
 
-def _striped(rows: DataFrame, size: int = 340) -> DataFrame:
-    """A picture of tilted stripes for each (image_id, tilt)."""
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, x = np.mgrid[:size, :size]
-        for pdf in batches:
-            tilt = np.radians(pdf["tilt"].to_numpy(float))
+def _stripes(batches: Iterator[pd.DataFrame], size: int = 340) -> Iterator[pd.DataFrame]:
+    """Pictures of tilted stripes of batches of (image_id, tilt), ``DRAWN_ROWS`` at a time: a batch's rows are narrow, its pictures are not."""
+    y, x = np.mgrid[:size, :size]
+    for pdf in batches:
+        for at in range(0, len(pdf), DRAWN_ROWS):
+            part = pdf.iloc[at : at + DRAWN_ROWS]
+            tilt = np.radians(part["tilt"].to_numpy(float))
             data = [(np.floor((y * np.cos(t) - x * np.sin(t) + 0.5) / 20) % 2 * 255).astype(np.uint8).tobytes() for t in tilt]
-            yield pd.DataFrame({"image_id": pdf["image_id"], "height": size, "width": size, "channels": 1, "data": data})
+            yield pd.DataFrame({"image_id": part["image_id"], "height": size, "width": size, "channels": 1, "data": data})
+
 
-    return rows.mapInPandas(draw, "image_id string, height int, width int, channels int, data binary")
+def _striped(rows: DataFrame) -> DataFrame:
+    """A picture of tilted stripes for each (image_id, tilt)."""
+    return rows.mapInPandas(_stripes, "image_id string, height int, width int, channels int, data binary")
 
 
 @query("SELECT s_suppkey AS image_id, (s_suppkey % 61 - 30)::INT AS drawn, true AS within FROM supplier")

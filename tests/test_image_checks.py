@@ -3,10 +3,12 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from factloom.operators import image_checks as I
 from factloom.operators import quality as Q
+from factloom.plans import image_queries
 
 IMAGE = "image_id string, height int, width int, channels int, data binary"
 
@@ -93,3 +95,10 @@ def test_reports_of_odd_images_and_new_policies(spark):
     again = {r.image_id: r for r in I.judged(measures, strict, "mine").collect()}
     assert again["good"].reason == "blur" and again["good"].calibrated and len(again["good"].checks) == 1
     measures.unpersist()
+
+
+def test_pictures_are_drawn_a_few_at_a_time():
+    rows = pd.DataFrame({"image_id": [str(i) for i in range(100)], "tilt": range(100)})
+    made = list(image_queries._stripes(iter([rows, rows[:0], rows[:1]])))
+    assert max(map(len, made)) <= image_queries.DRAWN_ROWS
+    assert [i for m in made for i in m["image_id"]] == [*rows["image_id"], "0"] and {len(x) for m in made for x in m["data"]} == {340 * 340}
