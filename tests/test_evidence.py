@@ -1,5 +1,7 @@
 """Geometry, resolution, projection and the extraction plan on hand-made packages."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.functions import geometry as G
@@ -190,6 +192,21 @@ def test_copies_are_members_and_only_classes_pair(spark):
     assert [(r.a, r.b, r.overlap) for r in pairs.collect()] == [("c000", "near", 1.0)]
 
 
+def test_pairs_of_copies_are_spread_out_after_the_last_shuffle(spark, monkeypatch):
+    """All pairs of odd texts and copies, whatever the length of a list; rows of pairs of artifacts are never shuffled."""
+    monkeypatch.setattr(resolution, "MEMBERS", 7)
+    rng = random.Random(3)
+    kinds = [rng.sample([f"line {k}" for k in range(14)], rng.randint(1, 9)) for _ in range(12)]
+    sets = {(run, i): {t for t in rng.choice(kinds) + rng.choice([[], [], ["x"], ["own %d" % i]])} for run in ("r", "s") for i in range(50)}
+    rows = [(run, i, t) for (run, i), texts in sets.items() for t in texts] + [(None, 1, "line 1"), (None, 2, "line 1"), ("r", None, "line 1"), ("r", 90, None)]
+    found = resolution.near_duplicate_artifacts(spark.createDataFrame(rows, "run_id string, artifact_id int, clean string"), 0.6)
+    real = {k: {t for t in v if len(t) >= 4} for k, v in sets.items()}
+    want = [(run, a, b, len(real[run, a] & real[run, b]) / min(len(real[run, a]), len(real[run, b]))) for run in ("r", "s") for a in range(50) for b in range(a + 1, 50) if real[run, a] and real[run, b]]
+    assert sorted(map(tuple, found.collect())) == [w for w in sorted(want) if w[3] >= 0.6]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(in_a") < plan.index("Join") and plan.index("explode(in_b") < plan.index("Join")  # above all joins
+
+
 def _shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
