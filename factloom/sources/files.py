@@ -79,6 +79,19 @@ def _elements(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once a row and pass it to ``body`` as a lambda variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ring(corners: Column) -> Column:
+    """Points of a JSON array of corners, parsed at once if all are numbers; else each for itself, one that can't be read having null coordinates."""
+    points = lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))
+    numbers = lambda c: F.forall(c, lambda p: p.isNotNull() & F.forall(p, lambda v: v.isNotNull()))
+    each = F.transform(_elements(corners), lambda p: F.from_json(p, "array<double>"))
+    return F.transform(_let(F.from_json(corners, "array<array<double>>"), lambda c: F.when(numbers(c), c).otherwise(each)), points)
+
+
 def recognised_entries(passes: DataFrame) -> DataFrame:
     """Nested results of several recognition passes an image to lines with quadrilaterals.
 
@@ -87,16 +100,23 @@ def recognised_entries(passes: DataFrame) -> DataFrame:
     not exactly four corners is left out and spoils no other. Lines are in the order of pass, block and
     entry; a confidence that is missing or no number stays null, it is never made up.
     """
-    blocks = passes.select("image", "pass", "language", F.posexplode(_elements(F.col("result"))).alias("block", "b"))
-    entries = blocks.select("image", "pass", "language", "block", F.posexplode(_elements(F.col("b"))).alias("entry", "e"))
-    parts = entries.withColumn("parts", _elements(F.col("e"))).withColumn("read", _elements(F.get("parts", F.lit(1))))
-    corners = F.transform(_elements(F.get("parts", F.lit(0))), lambda p: F.from_json(p, "array<double>"))
-    ring = F.transform(corners, lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")))
-    told = parts.withColumn("ring", ring).withColumn("text", F.get("read", F.lit(0)))
-    whole = (F.size("read") == 2) & (F.size("ring") == 4) & F.forall("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull()) & (F.trim("text") != "")
-    geom = F.struct(F.lit("QUADRILATERAL").alias("type"), F.col("ring").alias("points"), F.lit("original_image_px").alias("space"))
-    good = told.filter(whole).select("image", "pass", "block", "entry", "text", geom.alias("geom"), F.get("read", F.lit(1)).try_cast("double").alias("confidence"), "language")
-    return good.withColumn("seq", F.row_number().over(W.partitionBy("image").orderBy("pass", "block", "entry")) - 1).drop("pass", "block", "entry")
+
+    def entry(e: Column, block: Column, place: Column) -> Column:
+        return _let(_elements(e), lambda parts: _let(_elements(F.get(parts, F.lit(1))), lambda read: _let(_ring(F.get(parts, F.lit(0))), lambda ring: told(read, ring, block, place))))
+
+    def told(read: Column, ring: Column, block: Column, place: Column) -> Column:
+        text = F.get(read, F.lit(0))
+        whole = (F.size(read) == 2) & (F.size(ring) == 4) & F.forall(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull()) & (F.trim(text) != "")
+        confidence = F.get(read, F.lit(1)).try_cast("double")
+        made = {"pass": F.col("pass"), "block": block, "entry": place, "text": text, "ring": ring, "confidence": confidence, "language": F.col("language")}
+        return F.when(whole, F.struct(*[c.alias(name) for name, c in made.items()]))
+
+    # Bound in lambdas, a text is parsed once; as columns, every use in a filter would parse it again.
+    good = F.filter(F.flatten(F.transform(_elements(F.col("result")), lambda b, i: F.transform(_elements(b), lambda e, k: entry(e, i, k)))), lambda x: x.isNotNull())
+    lines = passes.select("image", good.alias("lines")).groupBy("image").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
+    each = lines.select("image", F.posexplode("lines").alias("seq", "l"))
+    geom = F.struct(F.lit("QUADRILATERAL").alias("type"), F.col("l.ring").alias("points"), F.lit("original_image_px").alias("space"))
+    return each.select("image", "l.text", geom.alias("geom"), "l.confidence", "l.language", "seq")
 
 
 def recognition_errors(passes: DataFrame, lines: DataFrame) -> DataFrame:

@@ -125,3 +125,15 @@ def test_legibility_is_alike_however_lines_are_dealt(spark, tmp_path):
         got[most] = {r.capture_id: r.verdict for r in record_queries.legibility(spark, str(tmp_path)).collect()}
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got["128m"] == got["1k"] == {k: "fail" if x < 0.5 else "warn" for k, x in means.items()}
+
+
+def test_entries_are_parsed_in_one_place_and_no_window(spark):
+    quad = "[[1,2],[3.5,2],[3,4],[1,4]]"
+    odd = '[null,"x",{"a":1},[[%s,["a",NaN]],[[[1,2],["3",2],[3,4],[1,4]],["b",1]],[[[1,2],[3,2],7,[1,4]],["c",1]],[[[1,2,"z"],[3,2],[3,4],[1,null]],["d",1]],[%s,[5,"0.5"],9],[%s,["e"]],5,null]]' % (quad, quad, quad)
+    rows = [("i", 1, "hi", '[[[%s,["last",true]]]]' % quad), ("i", 0, "en", odd), ("j", 0, "en", "[[oops"), ("k", 0, "en", None)]
+    found = files.recognised_entries(spark.createDataFrame(rows, "image string, pass int, language string, result string"))
+    got = sorted((r.image, r.seq, r.text, r.language, repr(r.confidence)) for r in found.collect())
+    assert got == [("i", 0, "a", "en", "nan"), ("i", 1, "5", "en", "0.5"), ("i", 2, "last", "hi", "None")]
+    assert [(p.x, p.y) for p in found.filter("seq = 0").first().geom.points] == [(1, 2), (3.5, 2), (3, 4), (1, 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and sum("from_json" in line for line in plan.splitlines()) == 1
