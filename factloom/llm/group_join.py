@@ -17,7 +17,8 @@
    one node of a component asks one group of another, that with most tokens shared; then the rest
    ask for members that are in a component other than theirs still.
 6. Each set has a bitmap of the parities of its tokens per bucket. Two bitmaps differ in no more bits
-   than the sets differ in tokens, so pairs whose bitmaps differ in too many need no look at the sets.
+   than the sets differ in tokens, so pairs whose bitmaps differ in too many need no look at the sets. Askers and a group's members
+   are compared so inside a task.
 7. In a task, a group's whole token union bounds each query: fewer than t |Q| of Q's tokens in the
    union and the group stays shut; otherwise it is opened and its members are compared exactly.
    Queries of a group are dealt in chunks.
