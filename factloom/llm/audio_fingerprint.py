@@ -16,6 +16,8 @@
    shift. Offsets are aligned in turn, most votes first, until the pair matches or none is left: a
    run of at least ``MIN_OVERLAP`` integers must have at most ``MAX_ERROR_RATE`` of its bits
    different. A pair's row tells the best run at that offset.
+5. For that, classes are dealt in parts, and a query goes once to each part that it asks: neither side's
+   integers travel by the pair. A task holds its part's classes and reads the queries past them.
 
 The index sees no pair without an equal integer: recall against every shift and offset is measured
 in the tests (at least 0.9). Neither buckets, offsets nor partners are capped. An integer that many
@@ -32,6 +34,7 @@ sound; an empty table gives an empty result; only the id and the samples are rea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from hashlib import blake2b
@@ -41,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, table
+from factloom.llm.common import materialise, remove_scratch, scratch_mark, table
 
 RATE = 8000
 FRAME = 256
@@ -58,6 +61,8 @@ BESIDE_BITS = 9
 MAX_ERROR_RATE = 0.15
 MIN_OVERLAP = 24
 QUERY_EVERY = 50
+#: Bytes of integers of the classes, over the square of the parts that they are dealt in.
+PART_BYTES = 1 << 20
 #: Stands for an integer of silence.
 SILENT = np.uint32(0xFFFFFFFF)
 CHUNK_FRAMES = 8192
@@ -298,6 +303,50 @@ def _postings(classes: DataFrame, codes: str) -> DataFrame:
     return classes.select("class_id", F.expr(codes).alias("packed")).mapInArrow(work, f"code int, class_id {kind}, seen array<struct<near:long,there:int>>")
 
 
+def _dealt(pairs: DataFrame, asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes in parts, and behind each part's classes the queries that ask some of them, with those they ask.
+
+    A class goes to its part once and a query to a part once, whatever the number of their pairs. The
+    parts' number is the root of what their classes' integers hold, so that with the input both grow
+    less than it does: the parts that a query goes to, and the integers that a task holds.
+    """
+    held = classes.agg(F.sum(F.length("codes"))).first()[0] or 0
+    parts = math.ceil(math.sqrt(held / PART_BYTES)) or 1
+    part = lambda: F.pmod(F.xxhash64("class_id"), F.lit(parts)).cast("int").alias("part")
+    wanted = pairs.groupBy("query_id", part()).agg(F.collect_list("class_id").alias("wanted")).join(asked, "query_id")
+    rows = classes.select(part(), F.col("class_id").alias("id"), "codes").unionByName(
+        wanted.select("part", F.col("query_id").alias("id"), "phases", "wanted"), allowMissingColumns=True
+    )
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("wanted").isNotNull())
+
+
+def _measure(max_error_rate: float, min_overlap: int):
+    """The matches of ``_dealt`` rows: a task holds its part's classes, and the queries pass by."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, here = {}, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64)
+                ids, found = rows.column("id"), []
+                for part, own, codes, phases, wanted in zip(*[rows.column(c).to_pylist() for c in ("part", "id", "codes", "phases", "wanted")], strict=True):
+                    if part != here:
+                        held, here = {}, part
+                    if wanted is None:
+                        held.setdefault(own, []).append(codes)  # ids that repeat have several sounds
+                        continue
+                    views = [np.frombuffer(p, dtype="<u4") for p in phases]
+                    for other, packed in ((other, packed) for other in wanted for packed in held[other]):
+                        run = best_alignment(views, np.frombuffer(packed, dtype="<u4"), max_error_rate, min_overlap)
+                        if run:
+                            found.append((own, other, *run))
+                columns = list(zip(*found, strict=True)) or [()] * 5
+                kinds = [ids.type, ids.type, pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["query_id", "class_id", "offset", "overlap", "bit_errors"])
+
+    return work
+
+
 def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate: float = MAX_ERROR_RATE, min_overlap: int = MIN_OVERLAP) -> DataFrame:
     """Members and matches in one table.
 
@@ -305,38 +354,27 @@ def match_recordings(media: DataFrame, column: str, is_query, *, max_error_rate:
     the same integers. A row with query_id says that this class matches the class of a query: at
     ``offset`` samples of the query's, with ``bit_errors`` over a run of ``overlap`` integers.
     """
+    since = scratch_mark()
     prints = materialise(fingerprint_table(media, column, is_query), "fingerprints")
+    until = scratch_mark()
     known = prints.filter("sound is not null")
     # The queries' own rows have shifts: of equal sounds, those of the least id are taken.
     phases = F.min_by("phases", F.when(F.col("asked"), F.struct("doc_id", "phases"))).alias("phases")
     classes = known.groupBy("sound").agg(F.min("doc_id").alias("class_id"), F.first("codes").alias("codes"), phases)
     classes = materialise(classes, "fingerprint-classes")
-    asked = classes.filter("phases is not null")
-    probes = _postings(asked, "phases").toDF("code", "query_id", "asked_seen")
+    members = prints.join(classes.select("sound", "class_id"), "sound", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    members = materialise(members, "fingerprint-members")
+    remove_scratch(media.sparkSession, since, until)  # the classes have the integers, the members the ids
+    asked = classes.filter("phases is not null").select(F.col("class_id").alias("query_id"), "phases")
+    probes = _postings(asked.withColumnRenamed("query_id", "class_id"), "phases").toDF("code", "query_id", "asked_seen")
     beside = F.expr(f"exists(asked_seen, a -> exists(seen, h -> {_BESIDE}))")
     shared = probes.join(_postings(classes, "array(codes)"), "code").filter((F.col("query_id") != F.col("class_id")) & beside)
     pairs = materialise(shared.select("query_id", "class_id").distinct(), "fingerprint-pairs")
-    both = pairs.join(classes.select("class_id", "codes"), "class_id").join(asked.select(F.col("class_id").alias("query_id"), "phases"), "query_id")
     kind = dict(classes.dtypes)["class_id"]
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = []
-                for phases, codes in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    views = [np.frombuffer(p, dtype="<u4") for p in phases]
-                    found.append(best_alignment(views, np.frombuffer(codes, dtype="<u4"), max_error_rate, min_overlap))
-                kept = pa.array([i for i, f in enumerate(found) if f], pa.int64())
-                numbers = [pa.array([f[k] for f in found if f], pa.int32()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(kept), part.column(1).take(kept), *numbers], names=["query_id", "class_id", "offset", "overlap", "bit_errors"])
-
-    good = both.select("query_id", "class_id", "phases", "codes").mapInArrow(measure, f"query_id {kind}, class_id {kind}, offset int, overlap int, bit_errors int")
+    dealt = _dealt(pairs, asked, classes.select("class_id", "codes"))
+    good = dealt.mapInArrow(_measure(max_error_rate, min_overlap), f"query_id {kind}, class_id {kind}, offset int, overlap int, bit_errors int")
     matches = good.select(F.col("class_id").alias("doc_id"), "class_id", "query_id", "offset", "overlap", "bit_errors")
-    members = prints.join(classes.select("sound", "class_id"), "sound", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.lit(None).cast(kind).alias("query_id"),
-        *[F.lit(None).cast("int").alias(c) for c in ("offset", "overlap", "bit_errors")],
-    )
+    members = members.select("*", F.lit(None).cast(kind).alias("query_id"), *[F.lit(None).cast("int").alias(c) for c in ("offset", "overlap", "bit_errors")])
     return members.unionByName(matches)
 
 
