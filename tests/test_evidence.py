@@ -231,3 +231,19 @@ def test_facts_keep_no_ids_on_disk(spark, tmp_path, monkeypatch):
     assert projection.divergences(stated, facts).count() == 0
     twice = facts.unionByName(one.withColumn("value", F.lit(None).cast(facts.schema["value"].dataType)))
     assert [(r.field, r.authoritative) for r in projection.divergences(stated, twice).collect()] == [(one.first().field, None)]
+
+
+def test_a_list_of_any_length_is_resolved_whole(spark):
+    """5,001 candidates of one field in one run: all are folded, the copies go, every view and every value counts."""
+    n = 5001
+    made = spark.range(n).select(
+        F.lit("r").alias("run_id"), F.lit("package.mrp").alias("field"), F.col("id").cast("string").alias("candidate_id"), F.concat(F.lit("A"), (F.col("id") % 5000).cast("string")).alias("artifact_id"),
+        F.concat(F.lit("R"), F.col("id").cast("string")).alias("region_id"), G.bbox(F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)).alias("geom"), V.money(F.when(F.col("id") % 1000 == 7, 20.0).otherwise(10.0)).alias("value"),
+        F.lit(0.9).alias("attribution_confidence"), F.lit(0.9).alias("recognition_confidence"), F.lit(1.0).alias("region_quality"), F.col("id").alias("seq"),
+    )
+    groups = resolution.value_groups(made).first().groups
+    assert [(g.value.amount, g.views, len(g.supporting)) for g in groups] == [(10.0, 4995, 4994), (20.0, 5, 4)]
+    facts = resolution.resolve(made, made, ("package.mrp",))
+    assert [(r.status, len(r.conflicts), r.confidence) for r in facts.collect()] == [("CONFLICTING", 2, groups[0].confidence)]
+    held = projection.quarantine(made.select("run_id").distinct(), projection.divergences(projection.project(facts), facts), projection.fact_problems(facts))
+    assert [(r.released, r.problems) for r in held.collect()] == [(True, None)]
