@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import geometry as G
 from factloom.functions import values as V
-from factloom.operators import neighbours, projection, resolution
+from factloom.operators import attribution, neighbours, projection, resolution
 from factloom.plans import evidence_queries, extraction
 from factloom.schemas import POINT_RING, RESOLVED_FIELDS, VALUE
 from factloom.sources import scratch
@@ -247,3 +247,14 @@ def test_a_list_of_any_length_is_resolved_whole(spark):
     assert [(r.status, len(r.conflicts), r.confidence) for r in facts.collect()] == [("CONFLICTING", 2, groups[0].confidence)]
     held = projection.quarantine(made.select("run_id").distinct(), projection.divergences(projection.project(facts), facts), projection.fact_problems(facts))
     assert [(r.released, r.problems) for r in held.collect()] == [(True, None)]
+
+
+def test_rules_read_a_line_once(spark):
+    """Labels are searched for in columns, not again in each use of a rule."""
+    lines = spark.createDataFrame([(1, "A", 0, "Packed by Beta, Nashik", "front", ["Best Before"], 0.9), (1, "A", 1, "01/2027", "front", ["MRP", "Best Before"], 0.9)], "run_id long, artifact_id string, seq int, clean string, surface string, near array<string>, confidence double")
+    found = attribution.attribute(lines)
+    assert sorted((r.seq, r.field, r.normalization_rule) for r in found.collect()) == [
+        (0, "declarations.packer", "party/packer@factloom-text-1"), (1, "declarations.best_before", "date/neighbour-label@factloom-text-1"),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("best before)") == 2

@@ -80,3 +80,9 @@ def test_udfs(spark):
     got = rows.select(word_error_rate("t", "r").alias("e"), casefold("w").alias("f")).collect()
     assert [r.e for r in got] == [2 / 3, 1.0, 0.0] and [r.f for r in got] == ["strasse", "a", None]
     assert edit_distance(list("kitten"), list("sitting")) == 3
+
+
+def test_dates_look_for_each_part_once(spark):
+    """A part of a date is searched once however often it is looked at, and an empty one is never cast: that is an exception, made and caught."""
+    plan = spark.createDataFrame([("",)], "t string").select(T.parse_date(F.col("t")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 10 and "cast(regexp_extract(" not in plan
