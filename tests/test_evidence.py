@@ -258,3 +258,20 @@ def test_rules_read_a_line_once(spark):
     ]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("best before)") == 2
+
+
+def test_a_runs_candidates_are_dealt_once_and_without_ids(spark):
+    """From candidates to facts, their projection and what diverges there is one shuffle of candidates; ids are made after it, and runs are not read again."""
+    facts = evidence_queries.order_facts(spark, "/root/testdata/sf0.001")
+    found = projection.divergences(projection.project(facts, True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ObjectHashAggregate") + plan.count("SortAggregate") <= 4  # candidates, and the runs of untestable facts
+    below = plan[plan.index("REPARTITION_BY_COL") :]
+    assert "sha2" in plan and "sha2" not in below[: below.index("FileScan")] and "Join" not in plan and "lineitem" not in plan
+    assert found.count() == 0
+
+
+def test_a_run_without_candidates_has_facts(spark):
+    lines = spark.createDataFrame([("none", "A", 0, "ACME  GOLD", box(0.0, 0.0, 9.0, 9.0), 0.9, "front"), ("one", "A", 0, "MRP Rs. 20", box(0.0, 0.0, 9.0, 9.0), 0.9, "front")], f"run_id string, artifact_id string, seq int, text string, geom {POINT_RING}, confidence double, surface string")
+    got = {(r.run_id, r.status): r.n for r in projection.status_counts(extraction.facts_of_lines(extraction.prepared(lines))).collect()}
+    assert got == {("none", "UNKNOWN"): 11, ("none", "NOT_TESTABLE"): 2, ("one", "OBSERVED"): 1, ("one", "UNKNOWN"): 10, ("one", "NOT_TESTABLE"): 2}
