@@ -75,8 +75,8 @@ def words_to_lines(words: DataFrame) -> DataFrame:
 
 
 def _elements(text: Column) -> Column:
-    """Elements of a JSON array as JSON texts; empty where it is no array."""
-    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+    """Elements of a JSON array as JSON texts; empty where it is no array. A text without a bracket is none: parsing it would be an exception, made and caught."""
+    return F.coalesce(F.when(text.contains("["), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,11 +102,13 @@ def recognised_entries(passes: DataFrame) -> DataFrame:
     """
 
     def entry(e: Column, block: Column, place: Column) -> Column:
-        return _let(_elements(e), lambda parts: _let(_elements(F.get(parts, F.lit(1))), lambda read: _let(_ring(F.get(parts, F.lit(0))), lambda ring: told(read, ring, block, place))))
+        says = lambda read: (F.size(read) == 2) & (F.trim(F.get(read, F.lit(0))) != "")  # noqa: E731  corners of others are not parsed
+        cornered = lambda parts, read: F.when(says(read), _let(_ring(F.get(parts, F.lit(0))), lambda ring: told(read, ring, block, place)))
+        return _let(_elements(e), lambda parts: _let(_elements(F.get(parts, F.lit(1))), lambda read: cornered(parts, read)))
 
     def told(read: Column, ring: Column, block: Column, place: Column) -> Column:
         text = F.get(read, F.lit(0))
-        whole = (F.size(read) == 2) & (F.size(ring) == 4) & F.forall(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull()) & (F.trim(text) != "")
+        whole = (F.size(ring) == 4) & F.forall(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
         confidence = F.get(read, F.lit(1)).try_cast("double")
         made = {"pass": F.col("pass"), "block": block, "entry": place, "text": text, "ring": ring, "confidence": confidence, "language": F.col("language")}
         return F.when(whole, F.struct(*[c.alias(name) for name, c in made.items()]))

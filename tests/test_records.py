@@ -137,3 +137,12 @@ def test_entries_are_parsed_in_one_place_and_no_window(spark):
     assert [(p.x, p.y) for p in found.filter("seq = 0").first().geom.points] == [(1, 2), (3.5, 2), (3, 4), (1, 4)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and sum("from_json" in line for line in plan.splitlines()) == 1
+
+
+def test_entries_without_a_text_have_no_corners_parsed(spark):
+    """What can be no array is not parsed, and corners only where something was read; both were exceptions or work for nothing."""
+    result = '["odd",7,[["no",["blank",1]],"odd",[[[1,2],[3,2],[3,4],[1,4]],["  ",1]],["broken",["none"]],[[[1,2],[3,2],[3,4],[1,4]],["a",0.5]]]]'
+    found = files.recognised_entries(spark.createDataFrame([("i", 0, "en", result), ("j", 0, "en", "none"), ("k", 0, "en", "\n [[[[[1,2],[3,2],[3,4],[1,4]],[\"b\",1]]]]")], "image string, pass int, language string, result string"))
+    assert sorted((r.image, r.seq, r.text) for r in found.collect()) == [("i", 0, "a"), ("k", 0, "b")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") + plan.count("contains(") >= 3
